@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from perigee.llm.bpe_transducer import op8_bpe
 from perigee.llm.chat_format import op3_chat_format
+from perigee.llm.decontaminate import OP4_SQL, op4_decontaminate
 from perigee.llm.html_extract import op9_html_extract
 from perigee.llm.language_id import op2_language_id
+from perigee.llm.near_dedup import op10_near_dedup
 from perigee.llm.quality_rules import op6_quality_rules
 from perigee.llm.token_counts import op1_token_counts
 
@@ -13,9 +15,13 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
+    "op4_decontaminate": op4_decontaminate,
     "op6_quality_rules": op6_quality_rules,
     "op8_bpe": op8_bpe,
     "op9_html_extract": op9_html_extract,
+    "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_decontaminate": OP4_SQL,
+}
