@@ -9,6 +9,8 @@ from perigee.llm.html_extract import op9_html_extract
 from perigee.llm.language_id import op2_language_id
 from perigee.llm.near_dedup import op10_near_dedup
 from perigee.llm.quality_rules import op6_quality_rules
+from perigee.llm.substring_dedup import op7_substring_dedup
+from perigee.llm.suffix_dedup import op5_suffix_dedup
 from perigee.llm.token_counts import op1_token_counts
 
 QUERIES = {
@@ -16,7 +18,9 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op4_decontaminate": op4_decontaminate,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
     "op9_html_extract": op9_html_extract,
     "op10_near_dedup": op10_near_dedup,
