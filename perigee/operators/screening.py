@@ -62,38 +62,40 @@ def sane(df: DataFrame, acceleration: float) -> DataFrame:
 
 
 def swept_boxes(states: DataFrame, cfg: Screening) -> DataFrame:
-    """``states`` (slab, id, seconds, p0*, p1*) with box borders lo*, hi* and cell borders c0*, c1*."""
+    """(slab, seconds, s): of ``states`` (slab, id, seconds, p0*, p1*) the box borders lo*, hi* and cell borders c0*, c1*.
+
+    They stay fields of one struct: as columns of their own, the join's many conditions times
+    the many renamed columns would keep the optimizer busy inferring constraints.
+    """
     grow = cfg.curvature_km(F.col("seconds"), cfg.max_acceleration_km_s2 / 2) + (cfg.radius_km + cfg.padding_km) / 2 + EPSILON_KM
-    out = states
-    for a in AXES:
-        out = out.withColumn(f"lo{a}", F.least(f"p0{a}", f"p1{a}") - grow).withColumn(f"hi{a}", F.greatest(f"p0{a}", f"p1{a}") + grow)
-    for a in AXES:
-        out = out.withColumn(f"c0{a}", F.floor(F.col(f"lo{a}") / cfg.cell_km)).withColumn(f"c1{a}", F.floor(F.col(f"hi{a}") / cfg.cell_km))
-    cells = F.lit(1)
-    for a in AXES:
-        cells = cells * (F.col(f"c1{a}") - F.col(f"c0{a}") + 1)
-    return out.withColumn("cells", cells)
+    ends = [(F.least(f"p0{a}", f"p1{a}") - grow, F.greatest(f"p0{a}", f"p1{a}") + grow) for a in AXES]
+    cells = [(F.floor(lo / cfg.cell_km), F.floor(hi / cfg.cell_km)) for lo, hi in ends]
+    number = F.lit(1)
+    for c0, c1 in cells:
+        number = number * (c1 - c0 + 1)
+    fields = [F.col("id"), *[F.col(f"{n}{a}") for n in ("p0", "p1") for a in AXES], number.alias("cells")]
+    for a, (lo, hi), (c0, c1) in zip(AXES, ends, cells, strict=True):
+        fields += [lo.alias(f"lo{a}"), hi.alias(f"hi{a}"), c0.alias(f"c0{a}"), c1.alias(f"c1{a}")]
+    return states.select("slab", "seconds", F.struct(*fields).alias("s"))
 
 
 def memberships(boxes: DataFrame) -> DataFrame:
     out = boxes
     for a in AXES:
-        out = out.withColumn(f"c{a}", F.explode(F.sequence(f"c0{a}", f"c1{a}")))
+        out = out.withColumn(f"c{a}", F.explode(F.sequence(F.col(f"s.c0{a}"), F.col(f"s.c1{a}"))))
     return out
 
 
 def box_pairs(states: DataFrame, cfg: Screening) -> DataFrame:
-    """(slab, a, b, seconds, states of both as a_*, b_*) of pairs a < b whose swept boxes overlap."""
-    keep = ["id", *[f"{n}{a}" for n in ("lo", "hi", "c0", "p0", "p1") for a in AXES]]
-    cells = memberships(swept_boxes(states, cfg).where(F.col("cells") <= cfg.max_cells_per_object))
-    base = cells.select("slab", "seconds", "cx", "cy", "cz", *keep)
-    left = base.select("slab", "seconds", "cx", "cy", "cz", *[F.col(c).alias(f"a_{c}") for c in keep])
-    right = base.select("slab", "cx", "cy", "cz", *[F.col(c).alias(f"b_{c}") for c in keep])
-    met = left.join(right, ["slab", "cx", "cy", "cz"]).where(F.col("a_id") < F.col("b_id"))
-    for a in AXES:
-        met = met.where(F.col(f"c{a}") == F.greatest(f"a_c0{a}", f"b_c0{a}"))
-        met = met.where((F.col(f"a_lo{a}") <= F.col(f"b_hi{a}")) & (F.col(f"b_lo{a}") <= F.col(f"a_hi{a}")))
-    return met
+    """(slab, seconds, a, b) of pairs a.id < b.id whose swept boxes overlap; a and b hold what :func:`swept_boxes` gives."""
+    cells = memberships(swept_boxes(states, cfg).where(F.col("s.cells") <= cfg.max_cells_per_object))
+    at = ["slab", "cx", "cy", "cz"]
+    met = cells.select(*at, "seconds", F.col("s").alias("a")).join(cells.select(*at, F.col("s").alias("b")), at)
+    met = met.where(F.col("a.id") < F.col("b.id"))
+    for x in AXES:
+        met = met.where(F.col(f"c{x}") == F.greatest(F.col(f"a.c0{x}"), F.col(f"b.c0{x}")))
+        met = met.where((F.col(f"a.lo{x}") <= F.col(f"b.hi{x}")) & (F.col(f"b.lo{x}") <= F.col(f"a.hi{x}")))
+    return met.select("slab", "seconds", "a", "b")
 
 
 def chord(pairs: DataFrame) -> DataFrame:
@@ -102,8 +104,8 @@ def chord(pairs: DataFrame) -> DataFrame:
     Steps are generated rows: a plain projection would let the optimizer push conditions on the
     distance into the cell join and evaluate them for every meeting of two boxes.
     """
-    r0 = G.sub(position("b_p0"), position("a_p0"))
-    r1 = G.sub(position("b_p1"), position("a_p1"))
+    r0 = G.sub(position("b.p0"), position("a.p0"))
+    r1 = G.sub(position("b.p1"), position("a.p1"))
     moved = pairs.select("*", F.inline(F.array(F.struct(*[c.alias(f"r{a}") for a, c in zip(AXES, r0, strict=True)], *[c.alias(f"d{a}") for a, c in zip(AXES, G.sub(r1, r0), strict=True)]))))
     r, d = position("r"), position("d")
     length = G.dot(d, d)
@@ -115,7 +117,7 @@ def chord(pairs: DataFrame) -> DataFrame:
 def candidates(states: DataFrame, cfg: Screening) -> DataFrame:
     """(slab, a, b, fraction, distance_km): pairs that may come within the radius, each once per slab."""
     near = chord(box_pairs(states, cfg)).where(F.col("distance_km") <= cfg.threshold_km(F.col("seconds")))
-    return near.select("slab", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "seconds", "fraction", "distance_km")
+    return near.select("slab", F.col("a.id").alias("a"), F.col("b.id").alias("b"), "seconds", "fraction", "distance_km")
 
 
 def admitted(found: DataFrame, cfg: Screening) -> DataFrame:
@@ -169,7 +171,7 @@ def ranked(events: DataFrame, cfg: Screening) -> DataFrame:
 def statistics(states: DataFrame, found: DataFrame, cfg: Screening) -> DataFrame:
     """One row: objects, slabs, cell memberships, possible pair intervals, candidates."""
     boxes = swept_boxes(states, cfg)
-    per_slab = boxes.groupBy("slab").agg(F.count("*").alias("n"), F.sum("cells").alias("m"))
+    per_slab = boxes.groupBy("slab").agg(F.count("*").alias("n"), F.sum("s.cells").alias("m"))
     left = per_slab.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("possible_pairs"), F.sum("m").alias("memberships"), F.count("*").alias("slabs"), F.max("n").alias("objects"))
     return left.crossJoin(F.broadcast(found.agg(F.count("*").alias("candidates"))))
 

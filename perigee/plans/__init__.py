@@ -1,0 +1,5 @@
+"""All queries over the driver's tables, by name, with the SQL that must agree."""
+
+from perigee.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
