@@ -18,7 +18,8 @@ from perigee.functions import constants as K
 from perigee.functions import geometry as G
 from perigee.functions import rf
 from perigee.operators import catalog as OC
-from perigee.operators import coverage, ephemeris, screening, timeline
+from perigee.operators import coverage, ephemeris, propagation, screening, timeline
+from perigee.streaming import folds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -600,3 +601,59 @@ def fnv_fingerprint(spark, sf):
     from perigee.functions.hashing import fnv1a64
 
     return read(spark, sf, "documents", "doc_id", "text").select("doc_id", fnv1a64("text").alias("fingerprint"))
+
+
+# propagation, admission and progress -----------------------------------------
+
+
+@query()
+def sgp4_states(spark, sf):
+    """Element sets drawn from the orders' numbers, on a grid of a day; the unit tests hold the published vectors."""
+    o = read(spark, sf, "orders", "o_orderkey", "o_totalprice", "o_custkey")
+    k = F.col("o_orderkey")
+    e = o.select(
+        k.alias("object_id"),
+        (k % 180).cast("double").alias("inclination_deg"),
+        (k * 7 % 360).cast("double").alias("node_deg"),
+        (k % 20 / 1000.0).alias("eccentricity"),
+        (k * 13 % 360).cast("double").alias("perigee_deg"),
+        (k * 31 % 360).cast("double").alias("anomaly_deg"),
+        (F.lit(11.0) + F.col("o_custkey") % 40 / 10.0).alias("motion_rev_day"),
+        (k % 10 * 1e-5).alias("bstar"),
+    )
+    s = propagation.propagate(propagation.on_grid(e, 0.0, 1440.0, 360.0))
+    return s.select("object_id", "minutes", "code", *rounded(x=F.col("x"), y=F.col("y"), z=F.col("z"), vx=F.col("vx"), vy=F.col("vy"), vz=F.col("vz")))
+
+
+@query()
+def decay_estimates(spark, sf):
+    """First times under an altitude over the grid, and how sure they are."""
+    o = read(spark, sf, "orders", "o_orderkey")
+    k = F.col("o_orderkey")
+    e = o.select(
+        k.alias("object_id"),
+        (k % 98).cast("double").alias("inclination_deg"),
+        (k * 7 % 360).cast("double").alias("node_deg"),
+        F.lit(0.001).alias("eccentricity"),
+        F.lit(0.0).alias("perigee_deg"),
+        (k * 31 % 360).cast("double").alias("anomaly_deg"),
+        (F.lit(15.5) + k % 10 / 10.0).alias("motion_rev_day"),
+        (k % 7 * 1e-4).alias("bstar"),
+    )
+    states = propagation.propagate(propagation.on_grid(e, 0.0, 14400.0, 1440.0))
+    found = propagation.decay_crossing(states, "object_id", 120.0).join(e.select("object_id", "bstar"), "object_id")
+    sure = propagation.decay_confidence(F.col("crossing_min"), F.col("horizon_min"), F.col("bstar"))
+    return found.select("object_id", "crossing_min", *rounded(lowest_km=F.col("lowest_km"), confidence=sure))
+
+
+@query()
+def rate_limit_admission(spark, sf):
+    e = read(spark, sf, "events", "event_id", "user_id", "ts").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return folds.folded(e.select("event_id", "user_id", "t"), "user_id", ["t", "event_id"], folds.rate_limit(2, 86400.0)).select("event_id", "user_id", "admitted", F.round("retry_after_s", 3).alias("retry_after_s"))
+
+
+@query()
+def progress_coalesce(spark, sf):
+    e = read(spark, sf, "events", "event_id", "user_id", "event_type", "ts", "value").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    rows = e.select("event_id", "user_id", F.col("event_type").alias("stage"), F.least(F.lit(1.0), F.abs("value") / 1000).alias("fraction"), "t")
+    return folds.folded(rows, "user_id", ["t", "event_id"], folds.coalesce_progress(0.05, 86400.0)).select("event_id", "user_id", "persisted", F.round("fraction_so_far", 6).alias("fraction_so_far"))
