@@ -8,9 +8,10 @@ import json
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a64(text: pd.Series) -> pd.Series:
     """FNV-1a of the UTF-8 bytes as 16 hex digits, null staying null.
 
@@ -40,7 +41,7 @@ def canonical_json(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_sha256(text: pd.Series) -> pd.Series:
     """SHA-256 of the canonical form of JSON texts; null for what isn't JSON."""
 

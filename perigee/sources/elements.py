@@ -23,7 +23,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def tle_blocks(texts: DataFrame) -> DataFrame:
