@@ -269,4 +269,6 @@ def repeated_starts(pieces: list[np.ndarray], window: int) -> list[np.ndarray]:
                 found[last] = found[pos[-1]] = True
             pos = pos[::-1]
             scan.take(pos, down, (left(pos) < c) & (pos > 0))
+    for a, s in zip(first[:-1].tolist(), sizes.tolist(), strict=True):
+        found[a + max(0, s - window + 1) : a + s] = False  # what would reach into the next piece
     return [found[a : a + s] for a, s in zip(first[:-1].tolist(), sizes.tolist(), strict=True)]

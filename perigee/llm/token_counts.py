@@ -1,8 +1,8 @@
 """Token counts through a digest cache.
 
-The key of a text is the SHA-256 of its normalised content (runs of ASCII white space
-become one space, ends trimmed: the tokenizer drops white space itself) and the SHA-256 of
-the tokenizer's file, its version.  Counts stored under a key are reused; of the texts that
+The key of a text is the SHA-256 of its normalised content and the SHA-256 of the tokenizer's
+file, its version.  Where the file says that the tokenizer drops white space, runs of ASCII white
+space become one space and ends are trimmed; for other tokenizers the content stays as it is.  Counts stored under a key are reused; of the texts that
 miss, each distinct one is encoded once and its count appended to the cache.
 
 Hot texts: copies fold in a partial aggregate before the shuffle, so a text that makes up a
@@ -13,6 +13,7 @@ adaptive execution splits a hot digest there, since the cache holds each key onc
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,9 +31,22 @@ def tokenizer_version(path: str) -> bytes:
         return hashlib.sha256(f.read()).digest()
 
 
-def content_digest(text: Column) -> Column:
-    squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
-    return F.unhex(F.sha2(squeezed.cast("binary"), 256))
+def drops_white_space(path: str) -> bool:
+    """Whether the file has white space runs replaced by a space and everything between matches removed."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    steps = lambda part, inner: (part or {}).get(inner, [part or {}])
+    squeezed = any(x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " " for x in steps(file["normalizer"], "normalizers"))
+    return squeezed and any(x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert") for x in steps(file["pre_tokenizer"], "pretokenizers"))
+
+
+def content_digest(text: Column, squeeze: bool) -> Column:
+    content = F.coalesce(text, F.lit(""))
+    if squeeze:
+        content = F.trim(F.regexp_replace(content, r"[ \t\n\x0B\f\r]+", " "))
+    return F.unhex(F.sha2(content.cast("binary"), 256))
 
 
 def _counter(path: str):
@@ -82,7 +96,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     spark = docs.sparkSession
     cache = cache or scratch(spark, "token-counts")
     version = tokenizer_version(tokenizer)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", content_digest(F.col("text")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", content_digest(F.col("text"), drops_white_space(tokenizer)))
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
     mine = lambda: spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == F.lit(version)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     misses = rows.groupBy("digest").agg(F.first("text").alias("text")).join(mine().select("digest"), "digest", "left_anti")
