@@ -18,7 +18,7 @@ from perigee.functions import constants as K
 from perigee.functions import geometry as G
 from perigee.functions import rf
 from perigee.operators import catalog as OC
-from perigee.operators import coverage, ephemeris, propagation, screening, timeline
+from perigee.operators import coverage, ephemeris, propagation, refinement, screening, timeline
 from perigee.streaming import folds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -657,3 +657,19 @@ def progress_coalesce(spark, sf):
     e = read(spark, sf, "events", "event_id", "user_id", "event_type", "ts", "value").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     rows = e.select("event_id", "user_id", F.col("event_type").alias("stage"), F.least(F.lit(1.0), F.abs("value") / 1000).alias("fraction"), "t")
     return folds.folded(rows, "user_id", ["t", "event_id"], folds.coalesce_progress(0.05, 86400.0)).select("event_id", "user_id", "persisted", F.round("fraction_so_far", 6).alias("fraction_so_far"))
+
+
+@query(
+    f"WITH {_CHORD} SELECT a::VARCHAR AS a, b::VARCHAR AS b, CAST(floor(1000000 + fraction * 10000.0 + 0.5) AS BIGINT) // 10 AS tca_10ms, round(distance, 4) AS miss_km FROM c WHERE distance <= 0.04 AND fraction > 0.01 AND fraction < 0.99 AND abs((fraction * 1000) - floor(fraction * 1000) - 0.5) < 0.3"
+)
+def refined_events(spark, sf):
+    """Golden-section refinement of the chord's candidates; times in hundredths of seconds, away from rounding borders."""
+    st = _states(spark, sf)
+    found = screening.candidates(st, _SCREEN).select("a", "b", "fraction")
+    s = st.select("id", F.struct("id", F.lit(1_000_000).alias("t0_ms"), *[F.col(f"p0{x}").alias(f"p{x}") for x in "xyz"], *[((F.col(f"p1{x}") - F.col(f"p0{x}")) / 10.0).alias(f"v{x}") for x in "xyz"]).alias("s"))
+    pairs = found.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    window = {"start_ms": 1_000_000, "end_ms": 1_010_000, "screen_start_ms": 1_000_000, "screen_end_ms": 1_010_000}
+    sure = (F.col("fraction") > 0.01) & (F.col("fraction") < 0.99) & (F.abs(F.col("fraction") * 1000 - F.floor(F.col("fraction") * 1000) - 0.5) < 0.3)
+    cand = pairs.where(sure).select(*[F.lit(v).cast("long").alias(k) for k, v in window.items()], F.lit(True).alias("last"), F.col("sa").alias("a"), F.col("sb").alias("b"))
+    e = refinement.refine(cand, refinement.Refinement(radius_km=0.04))
+    return e.select("a", "b", F.floor(F.col("tca_ms") / 10).cast("long").alias("tca_10ms"), F.round("miss_km", 4).alias("miss_km"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from perigee.functions import hashing, rf, sgp4
 from perigee.functions import catalog as C
 from perigee.operators import catalog as OC
-from perigee.operators import ephemeris, propagation, screening, timeline
+from perigee.operators import ephemeris, propagation, refinement, screening, timeline
 from perigee.sources import elements
 from perigee.streaming import folds
 
@@ -178,3 +178,21 @@ def test_interpolation_never_extrapolates(spark):
 def test_fnv(spark, text, want):
     f = next(v for k, v in vars(hashing).items() if k.startswith("fnv"))
     assert spark.createDataFrame([(text,)], "t string").select(f(F.col("t"))).first()[0] == want
+
+
+def test_refinement_equals_closed_form(spark):
+    rnd = random.Random(8)
+    motions = [[rnd.uniform(-20, 20) for _ in range(3)] + [rnd.uniform(-5, 5) for _ in range(3)] for _ in range(60)]
+    state = "struct<id:string,t0_ms:long,px:double,py:double,pz:double,vx:double,vy:double,vz:double>"
+    rows = [(0, 20_000, 0, 20_000, True, ("a", 0, *[0.0] * 6), (str(i), 0, *m)) for i, m in enumerate(motions)]
+    rows.append((0, 20_000, 0, 20_000, True, ("a", 0, *[0.0] * 6), ("lost", 0, *[float("nan")] * 6)))
+    pairs = spark.createDataFrame(rows, f"start_ms long, end_ms long, screen_start_ms long, screen_end_ms long, last boolean, a {state}, b {state}")
+    got = {r.b: r for r in refinement.refine(pairs, refinement.Refinement(radius_km=12.0)).collect()}
+    for i, m in enumerate(motions):
+        p, v = m[:3], m[3:]
+        t = min(20.0, max(0.0, -sum(x * y for x, y in zip(p, v)) / sum(y * y for y in v)))
+        miss = math.sqrt(sum((x + y * t) ** 2 for x, y in zip(p, v)))
+        assert (str(i) in got) == (miss <= 12.0)
+        if miss <= 12.0:
+            assert abs(got[str(i)].tca_ms - t * 1000) <= 1.0 and got[str(i)].converged and got[str(i)].boundary == (t in (0.0, 20.0))
+    assert got["lost"].tca_ms is None
