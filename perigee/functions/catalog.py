@@ -216,3 +216,9 @@ def event_quality(status: Column, flags: Column) -> Column:
 
 def search_text(*columns: Column | str) -> Column:
     return F.lower(F.concat_ws(" ", *[F.when(F.length(_c(c).cast("string")) > 0, _c(c).cast("string")) for c in columns]))
+
+
+def best_rule(rules: dict[str, tuple[int, Column]]) -> Column:
+    """(score, rule) of the rule that holds with the highest score; ties fall to the first named."""
+    tried = [F.when(held, F.struct(F.lit(score).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("rule"))) for i, (name, (score, held)) in enumerate(rules.items())]
+    return F.array_max(F.array(*tried))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigee.functions import geometry as G
@@ -53,3 +53,17 @@ def footprint_ring(points: DataFrame, lat: str, lon: str, distance_km: str, n: i
     out = out.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n))))
     a, o = G.great_circle_point(F.col(lat), F.col(lon), F.col("radius"), F.col("i") * (2 * math.pi / n))
     return out.withColumn("ring_lat", a).withColumn("ring_lon", o)
+
+
+def contour(pattern: DataFrame, phi: str, theta: str, value: str, level: float) -> DataFrame:
+    """Grid points at or over ``level`` of the pattern's peak with a neighbour under it, or at the grid's edge.
+
+    The peak is one aggregated row; neighbours are found along each line of the grid.
+    """
+    peak = pattern.agg(F.max(value).alias("__peak"))
+    up = pattern.join(F.broadcast(peak)).withColumn("__up", F.round(F.col(value) / F.col("__peak"), 6) >= level)
+    lines = (Window.partitionBy(theta).orderBy(phi), Window.partitionBy(phi).orderBy(theta))
+    inside = F.lit(True)
+    for w in lines:
+        inside = inside & F.coalesce(F.lag("__up").over(w), F.lit(False)) & F.coalesce(F.lead("__up").over(w), F.lit(False))
+    return up.withColumn("__in", inside).where(F.col("__up") & ~F.col("__in")).drop("__peak", "__up", "__in")

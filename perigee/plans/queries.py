@@ -542,10 +542,10 @@ def occlusion(spark, sf):
 @query(
     "SELECT doc_id, CASE WHEN length(text) >= 68 THEN CAST(("
     + " + ".join(f"{d} * (68 - length(replace(substr(text, 1, 68), '{d}', '')))" for d in range(1, 10))
-    + " + 68 - length(replace(substr(text, 1, 68), '-', ''))) % 10 AS INTEGER) END AS checksum FROM documents"
+    + " + 68 - length(replace(substr(text, 1, 68), '-', ''))) % 10 AS INTEGER) ELSE -1 END AS checksum FROM documents"
 )
 def tle_checksum(spark, sf):
-    return read(spark, sf, "documents", "doc_id", "text").select("doc_id", C.tle_checksum("text").alias("checksum"))
+    return read(spark, sf, "documents", "doc_id", "text").select("doc_id", F.coalesce(C.tle_checksum("text"), F.lit(-1)).alias("checksum"))
 
 
 @query("SELECT o_orderkey, lpad((o_orderkey % 500)::VARCHAR, 5, '0') AS raw, (o_orderkey % 500)::VARCHAR AS norad, least('a' || o_custkey, 'b' || o_orderkey) || '|' || greatest('a' || o_custkey, 'b' || o_orderkey) AS pair FROM orders")
@@ -673,3 +673,53 @@ def refined_events(spark, sf):
     cand = pairs.where(sure).select(*[F.lit(v).cast("long").alias(k) for k, v in window.items()], F.lit(True).alias("last"), F.col("sa").alias("a"), F.col("sb").alias("b"))
     e = refinement.refine(cand, refinement.Refinement(radius_km=0.04))
     return e.select("a", "b", F.floor(F.col("tca_ms") / 10).cast("long").alias("tca_10ms"), F.round("miss_km", 4).alias("miss_km"))
+
+
+# sky and arrays ---------------------------------------------------------------
+
+_SUN_N = "((epoch_ms(o_orderdate) / 86400000.0 + 2440587.5) - 2451545.0)"
+_SUN_LON = f"(radians(fmod(280.460 + 0.9856474 * {_SUN_N}, 360.0)) + radians(1.915) * sin(radians(fmod(357.528 + 0.9856003 * {_SUN_N}, 360.0))) + radians(0.020) * sin(2 * radians(fmod(357.528 + 0.9856003 * {_SUN_N}, 360.0))))"
+_SUN_TILT = f"radians(23.439 - 0.0000004 * {_SUN_N})"
+
+
+@query(f"SELECT o_orderkey, round(cos({_SUN_LON}), 5) AS x, round(cos({_SUN_TILT}) * sin({_SUN_LON}), 5) AS y, round(sin({_SUN_TILT}) * sin({_SUN_LON}), 5) AS z FROM orders")
+def sun_vector(spark, sf):
+    x, y, z = G.sun_direction(G.julian_day(F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("double")))
+    return read(spark, sf, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", *rounded(x=x, y=y, z=z))
+
+
+_PLANAR = """g AS (SELECT p, t, pi() * sin(radians(t)) * cos(radians(p)) AS ux, pi() * sin(radians(t)) * sin(radians(p)) AS uy FROM range(0, 360, 4) AS a(p), range(0, 91, 3) AS b(t)),
+f AS (SELECT p, t, (CASE WHEN abs(sin(ux / 2)) < 1e-9 THEN 1.0 ELSE abs(sin(8 * ux / 2) / (8 * sin(ux / 2))) END) * (CASE WHEN abs(sin(uy / 2)) < 1e-9 THEN 1.0 ELSE abs(sin(4 * uy / 2) / (4 * sin(uy / 2))) END) AS v FROM g)"""
+
+
+def _pattern(spark):
+    grid = spark.range(0, 360, 4).select(F.col("id").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(90).cast("long"), F.lit(3).cast("long"))).alias("t"))
+    turn = math.pi * F.sin(F.radians("t"))
+    return grid.select("p", "t", (G.line_array_factor(turn * F.cos(F.radians("p")), 8) * G.line_array_factor(turn * F.sin(F.radians("p")), 4)).alias("v"))
+
+
+@query(f"WITH {_PLANAR} SELECT p, t, round(v, 5) AS factor FROM f")
+def planar_array_factor(spark, sf):
+    return _pattern(spark).select("p", "t", F.round("v", 5).alias("factor"))
+
+
+@query(
+    f"""WITH {_PLANAR}, n AS (SELECT p, t, round(v / max(v) OVER (), 6) >= 0.55 AS up FROM f),
+e AS (SELECT *, coalesce(lag(up) OVER h, false) AS a, coalesce(lead(up) OVER h, false) AS b, coalesce(lag(up) OVER w, false) AS c, coalesce(lead(up) OVER w, false) AS d FROM n
+  WINDOW h AS (PARTITION BY t ORDER BY p), w AS (PARTITION BY p ORDER BY t))
+SELECT p, t FROM e WHERE up AND NOT (a AND b AND c AND d)"""
+)
+def beam_contour(spark, sf):
+    f = coverage.contour(_pattern(spark), "p", "t", "v", 0.55)
+    return f.select("p", "t")
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey < 5 THEN 'exact' WHEN c_mktsegment = 'BUILDING' THEN 'family' WHEN c_name LIKE '%7' THEN 'suffix' ELSE 'generic' END AS rule,
+  CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey < 5 THEN 115 WHEN c_mktsegment = 'BUILDING' THEN 90 WHEN c_name LIKE '%7' THEN 70 ELSE 50 END::INTEGER AS score FROM customer"""
+)
+def model_match(spark, sf):
+    c = read(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    building = F.col("c_mktsegment") == "BUILDING"
+    best = C.best_rule({"generic": (50, F.lit(True)), "suffix": (70, F.col("c_name").endswith("7")), "family": (90, building), "exact": (115, building & (F.col("c_nationkey") < 5))})
+    return c.select("c_custkey", best["rule"].alias("rule"), best["score"].alias("score"))
