@@ -161,3 +161,41 @@ def horizons_rows(texts: DataFrame) -> DataFrame:
     rows = lines.withColumn("inside", inside).where((F.col("inside") > 0) & (F.col("line") != "$$SOE")).withColumn("c", F.split("line", r"\s*,\s*")).where(F.size("c") >= 8)
     at = F.try_to_timestamp(F.regexp_replace(F.get("c", F.lit(1)), r"^A\.D\.\s*", ""), F.lit("yyyy-MMM-dd HH:mm:ss.SSSS"))
     return rows.select("path", "i", at.alias("ts"), *[F.round(F.get("c", F.lit(k + 2)).try_cast("double"), 6).alias(n) for k, n in enumerate(("x", "y", "z", "vx", "vy", "vz"))])
+
+
+PROVIDER_JSON = (
+    "provider string, object_id string, norad_id string, frame string, time_scale string, interpolation string, units struct<position:string,velocity:string>, "
+    "states array<struct<timestamp:string,position:array<double>,velocity:array<double>>>"
+)
+
+
+def provider_states(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, states) of provider ephemerides in JSON, one object per row of (path, text).
+
+    Frame, UTC and kilometre units must be said; only linear interpolation is taken.  ``files``:
+    path, identity, frame, n_states, issue; ``states`` as in :func:`oem_states`, for files without an issue.
+    """
+    j = F.from_json(F.coalesce(F.col("text"), F.lit("")), PROVIDER_JSON, {"mode": "PERMISSIVE"})
+    read = texts.select("path", j.alias("j")).select("path", "j.*")
+    said = lambda c, x: F.coalesce(F.upper(F.col(c)) == x, F.lit(False))
+    rows = F.transform("states", lambda s: F.struct(utc(s["timestamp"]).alias("ts"), s["position"].alias("p"), s["velocity"].alias("v")))
+    read = read.withColumn("rows", rows)
+    whole = lambda x: (F.size(x) == 3) & ~F.exists(x, lambda y: y.isNull() | F.isnan(y))
+    broken = F.exists("rows", lambda s: s["ts"].isNull() | ~F.coalesce(whole(s["p"]) & whole(s["v"]), F.lit(False)))
+    n = F.size("rows")
+    unordered = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get("rows", i - 1)["ts"] >= F.get("rows", i)["ts"])
+    issue = (
+        F.when(F.col("states").isNull(), "RECORD_MALFORMED")
+        .when(F.col("frame").isNull(), "FRAME_UNSUPPORTED")
+        .when(~said("time_scale", "UTC"), "TIME_SYSTEM_UNSUPPORTED")
+        .when(~(said("units.position", "KM") & said("units.velocity", "KM/S")), "UNITS_UNSUPPORTED")
+        .when(F.coalesce(F.upper("interpolation") != "LINEAR", F.lit(False)), "INTERPOLATION_UNSUPPORTED")
+        .when((n < 2) | F.coalesce(broken, F.lit(True)), "SAMPLE_INVALID")
+        .when(F.coalesce(unordered, F.lit(False)), "SAMPLE_ORDER_INVALID")
+    )
+    read = read.withColumn("issue", issue)
+    none = F.lit(None).cast("string")
+    identity = C.object_id(none, F.col("norad_id"), none, F.col("provider"), F.col("object_id"))
+    described = read.select("path", identity.alias("identity"), F.upper("frame").alias("frame"), n.alias("n_states"), "issue")
+    states = read.where("issue is null").select("path", F.posexplode("rows").alias("i", "s"))
+    return described, states.select("path", "i", "s.ts", *[F.get(F.col(f"s.{c}"), F.lit(k)).alias(n) for c, names in (("p", ("x", "y", "z")), ("v", ("vx", "vy", "vz"))) for k, n in enumerate(names)])

@@ -196,3 +196,16 @@ def test_refinement_equals_closed_form(spark):
         if miss <= 12.0:
             assert abs(got[str(i)].tca_ms - t * 1000) <= 1.0 and got[str(i)].converged and got[str(i)].boundary == (t in (0.0, 20.0))
     assert got["lost"].tca_ms is None
+
+
+def test_provider_json(spark):
+    import json
+
+    good = {"provider": "Ex Co", "object_id": "A 1", "frame": "ITRF", "time_scale": "UTC", "interpolation": "LINEAR", "units": {"position": "km", "velocity": "km/s"}, "states": [{"timestamp": f"2024-01-01T00:0{i}:00Z", "position": [7000.0, i, 0.0], "velocity": [0.0, 7.5, 0.0]} for i in range(3)]}
+    cases = {"ok": good, "units": good | {"units": {"position": "m"}}, "scale": good | {"time_scale": "TAI"}, "order": good | {"states": good["states"][::-1]}, "short": good | {"states": good["states"][:1]}, "method": good | {"interpolation": "HERMITE"}}
+    rows = [(k, json.dumps(v)) for k, v in cases.items()] + [("null", None), ("junk", "{")]
+    described, states = elements.provider_states(spark.createDataFrame(rows, "path string, text string"))
+    got = {r.path: (r.identity, r.issue) for r in described.collect()}
+    assert got["ok"] == ("obx:provider:ex-co:a-1", None)
+    assert {k: v[1] for k, v in got.items() if v[1]} == {"units": "UNITS_UNSUPPORTED", "scale": "TIME_SYSTEM_UNSUPPORTED", "order": "SAMPLE_ORDER_INVALID", "short": "SAMPLE_INVALID", "method": "INTERPOLATION_UNSUPPORTED", "null": "RECORD_MALFORMED", "junk": "RECORD_MALFORMED"}
+    assert [(r.i, r.x, r.y) for r in states.orderBy("i").collect()] == [(0, 7000.0, 0.0), (1, 7000.0, 1.0), (2, 7000.0, 2.0)]
