@@ -3,8 +3,10 @@
 A document's set holds the hashes of its distinct five-word shingles.  Documents of equal word
 sequences form a class, represented by its least id; only representatives go on.  Of each, 128
 MinHash samples give 32 bands of 4 (two sets of similarity 0.75 share none with a chance of
-5e-6) and are folded into an odd sketch, a parity bitmap of 512 bits: the population count of
-two sketches' XOR tells how many samples differ.
+5e-6).  Another 2048 samples, the least hashes of a partition of the set, are folded into an
+odd sketch, a parity bitmap of 2048 bits: the population count of two sketches' XOR tells how
+many samples differ.  A pair fails only if it differs by 4.5 deviations more than a pair of
+similarity 0.75 does on average, so sketches part high similarities closely.
 
 Buckets are never turned into all their pairs.  First each member is held against its buckets'
 least members, by sketch, and the closest is confirmed on the full sets.  Components of these
@@ -29,21 +31,12 @@ from perigee.llm.components import components
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-#: Of 128 samples, so many differ at most: at similarity 0.75 a pair exceeds it with a chance under 1e-7.
-MOST_DIFFERENT = 60
+#: Samples folded into a sketch (the bins of the partition), and its bits.
+BINS, SKETCH_BITS = 2048, 2048
+#: Deviations beyond the mean of a pair just similar enough that a sketch still passes.
+SLACK = 4.5
 _rng = np.random.Generator(np.random.PCG64(75128))
 _MULTIPLIERS = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SLOTS = _rng.integers(0, 1 << 62, SAMPLES, dtype=np.uint64)
-
-
-def most_bits(different: int = MOST_DIFFERENT, bits: int = SKETCH_BITS) -> int:
-    """XOR bits that ``different`` samples set on average, and five deviations more.
-
-    Each differing sample is flipped once in either sketch, so 2 x different flips fall on the bitmap.
-    """
-    mean = bits / 2 * (1 - (1 - 2 / bits) ** (2 * different))
-    return int(mean + 5 * np.sqrt(mean * 0.5))
 
 
 def shingles(block: S.Block) -> tuple[np.ndarray, np.ndarray, S.Words]:
@@ -74,14 +67,23 @@ def _samples(row: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, out
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of (position, sample) pairs, as 64-bit words."""
-    bits = np.zeros((len(samples), SKETCH_BITS), bool)
-    slot = (S.mix(samples.astype(np.uint64) ^ _SLOTS) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    at = np.arange(len(samples))
-    for i in range(SAMPLES):
-        bits[at, slot[:, i]] ^= True
-    return np.packbits(bits, axis=1).view(np.int64)
+def odd_sketch(row: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of each row's (bin, least hash) samples as 64-bit words, and how many bins have one."""
+    h = S.mix(x ^ np.uint64(0x6A09E667F3BCC909))
+    place = row * BINS + (h >> np.uint64(53)).astype(np.int64)
+    low = h & np.uint64((1 << 53) - 1)
+    order = np.lexsort((low, place))
+    place, low = place[order], low[order]
+    first = np.ones(len(place), bool)
+    first[1:] = place[1:] != place[:-1]
+    place, low = place[first], low[first]
+    slot = (S.mix(low + (place % BINS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    which = place // BINS
+    place, count = np.unique(which * SKETCH_BITS + slot, return_counts=True)
+    odd = place[count % 2 == 1]
+    words = np.zeros(n * (SKETCH_BITS // 64), np.uint64)
+    np.bitwise_or.at(words, odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
+    return words.view(np.int64).reshape(n, -1), np.bincount(which, minlength=n)
 
 
 def bands(samples: np.ndarray) -> np.ndarray:
@@ -92,11 +94,11 @@ def bands(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>"
+_SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>, bins long"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, text): set size, class key (128 bits of the word sequence), band keys, sketch."""
+    """Of (doc_id, text): set size, class key (128 bits of the word sequence), band keys, sketch and its samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,12 +109,16 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys = [S.signed(S.span_hash(pre, w.first[:-1], w.first[1:], seed)) for seed in (7, 8)]
                 rows, samples = _samples(row, x)
                 lists = []
-                for values, width in ((bands(samples), BANDS), (odd_sketch(samples), SKETCH_BITS // 64)):
+                sketch, bins = odd_sketch(row, x, block.n)
+                for values, width in ((bands(samples), BANDS), (sketch[rows], SKETCH_BITS // 64)):
                     size = np.zeros(block.n + 1, np.int32)
                     size[rows + 1] = width
                     lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(values.reshape(-1))))
                 part = slice(block.first, block.first + block.n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], pa.array(n.astype(np.int64)), *map(pa.array, keys), *lists], ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id")[part], pa.array(n.astype(np.int64)), *map(pa.array, keys), *lists, pa.array(bins.astype(np.int64))],
+                    ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch", "bins"],
+                )
 
     return docs.mapInArrow(run, _SIGNED)
 
@@ -135,10 +141,34 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def _close(a: str, b: str) -> Column:
-    """The odd sketches' verdict, within generated code."""
-    bits = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return bits
+def _different(a: str, b: str) -> Column:
+    """Bits in which two sketches differ, within generated code."""
+    return sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+
+
+def most_bits(size: Column, samples: Column) -> Column:
+    """Bits that may differ in a pair of ``size`` shingles and ``samples`` samples together.
+
+    For sets just similar enough, the union has size / (1 + j) shingles; ``held`` bins of the
+    partition have a least hash of it, a draw without replacement, and j of them agree.  The
+    samples that don't are as many flips, which leave fewer odd bits the more there are.
+    """
+    j, m, s = PERCENT / 100, float(BINS), float(SKETCH_BITS)
+    union = size / F.lit(1 + j)
+    held = m * (1 - F.exp(union * float(np.log1p(-1 / m))))
+    flips = F.greatest(samples - 2 * j * held, F.lit(0.0))
+    drawn = 4 * j * (1 - j) * held * (union - held) / F.greatest(union, F.lit(1.0))
+    filled = m * F.exp(-union / m) * (1 - (1 + union / m) * F.exp(-union / m))
+    blurred = s / 4 * (F.exp(flips * (4 / s)) - 1) - flips
+    most = flips + SLACK * F.sqrt(F.greatest(drawn + 0.4 * filled + blurred, F.lit(0.0))) + 1
+    return F.lit(s / 2) * (1 - F.exp(most * float(np.log1p(-2 / s))))
+
+
+def _alike(a: str, b: str) -> Column:
+    """The sketches' verdict on two structs (id, n, bins, sketch), after that of the sets' sizes."""
+    n = lambda x: F.col(f"{x}.n")
+    sizes = (100 * n(a) >= PERCENT * n(b)) & (100 * n(b) >= PERCENT * n(a))
+    return sizes & (_different(a, b) <= most_bits(n(a) + n(b), F.col(f"{a}.bins") + F.col(f"{b}.bins")))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -164,19 +194,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(signatures(base), "signatures")
     live = signed.where("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("c1", "c2").agg(F.min("doc_id").alias("cid"), F.min("doc_id").alias("doc_id"))
-    heads = live.join(classes.select("c1", "c2", "doc_id"), ["c1", "c2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "c1", "c2"]).select(F.col("doc_id").alias("id"), "bands", "sketch")
-    heads = written(heads, "heads")
-    dealt = heads.select("id", F.explode("bands").alias("key"))
+    heads = live.join(classes.select("c1", "c2", "doc_id"), ["c1", "c2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "c1", "c2"])
+    words = F.transform("bands", lambda k: F.shiftright(k, 32).cast("int"))
+    heads = written(heads.select("bands", words.alias("words"), F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bins", "sketch").alias("x")), "heads")
+    dealt = heads.select(F.col("x.id").alias("id"), F.posexplode("bands").alias("i", "key"))
     shared = dealt.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
     buckets = written(dealt.join(shared, "key"), "buckets")  # only keys that two documents share
 
-    sketches = heads.select("id", "sketch").dropDuplicates(["id"])
+    sketches = heads.select(F.col("x.id").alias("id"), "x").dropDuplicates(["id"])
     stars = buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     near = (
-        stars.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        .join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-        .withColumn("bits", _close("sa", "sb"))
-        .where(F.col("bits") <= most_bits())
+        stars.join(sketches.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
+        .join(sketches.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a")
+        .where(_alike("xa", "xb"))
+        .select("a", "b", _different("xa", "xb").alias("bits"))
     )
     closest = near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = written(confirm(closest, base), "links-1")
@@ -184,12 +215,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links)
 
     # between different components of a bucket
-    label = buckets.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    label = buckets.select("key", "i", "id").join(found, "id", "left").select("key", "i", "id", F.coalesce("component", "id").alias("c"))
     open_ = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = written(label.join(open_, "key").join(sketches, "id"), "open-buckets")
-    left = rest.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
-    right = rest.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sb"))
-    across = left.join(right, (F.col("key") == F.col("k")) & (F.col("ca") < F.col("cb")) & (_close("sa", "sb") <= most_bits())).select("a", "b").distinct()
+    whole = heads.select(F.col("x.id").alias("id"), "x", "words").dropDuplicates(["id"])
+    rest = label.join(open_, "key").join(whole, "id")
+    left = rest.select("key", "i", F.col("c").alias("ca"), F.col("x").alias("xa"), F.col("words").alias("wa"))
+    right = rest.select("key", F.col("c").alias("cb"), F.col("x").alias("xb"), F.col("words").alias("wb"))
+    first = F.coalesce(*[F.when(F.col("wa")[k] == F.col("wb")[k], k) for k in range(BANDS)])  # a pair counts in the first bucket that it shares
+    apart = (F.col("ca") < F.col("cb")) & (first == F.col("i")) & _alike("xa", "xb")
+    across = left.join(right, "key").where(apart).select(F.col("xa.id").alias("a"), F.col("xb.id").alias("b")).distinct()
     final = written(components(links.union(confirm(across, base)).union(same)), "components")
     named = signed.select("doc_id", "n_shingles").join(final.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     alone = F.col("n_shingles") == 0
