@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +36,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 class Filter:
     """A Bloom filter of 64-bit keys whose size is fixed before any row is read.
 
-    Tasks fold keys into words of the filter with a grouped bit_or, so at most ``2**log_words``
-    rows reach the driver whatever the input.  A full filter passes too many keys, never too
+    Tasks fold keys into words of the filter with a grouped bit_or and pack the words they end
+    up with, so at most 16 * ``2**log_words`` bytes in a row per task reach the driver, whatever
+    the input.  A full filter passes too many keys, never too
     few: what passes is confirmed by an exact join, so its load changes cost and not results.
     """
 
@@ -48,9 +51,17 @@ class Filter:
         at = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND((1 << log_words) - 1)
         bit = lambda shift: F.expr(f"shiftleft(1L, int(shiftrightunsigned(`{column}`, {shift}) & 63))")
         both = F.array(F.struct(at(0).alias("w"), bit(58).alias("b")), F.struct(at(26).alias("w"), bit(52).alias("b")))
-        found = keys.select(F.explode(both).alias("x")).groupBy("x.w").agg(F.bit_or("x.b").alias("b")).toPandas()
+        found = keys.select(F.explode(both).alias("x")).groupBy("x.w").agg(F.bit_or("x.b").alias("b"))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [(batch.column("w").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
+            if got:
+                w, b = (np.concatenate(x).astype(np.int64).tobytes() for x in zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([w], pa.binary()), pa.array([b], pa.binary())], ["w", "b"])
+
         words = np.zeros(1 << log_words, np.int64)
-        words[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+        for row in found.mapInArrow(pack, "w binary, b binary").collect():
+            words[np.frombuffer(row["w"], np.int64)] = np.frombuffer(row["b"], np.int64)
         return Filter(words, log_words)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
