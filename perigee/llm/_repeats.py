@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigee.llm import _seq as S
@@ -129,6 +129,18 @@ def mixed_contents(rows: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame
     return found.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.first("payload").alias("payload")).join(mixed, "anchor", "left_semi")
 
 
+def ranges_of(sorted_: Column) -> Column:
+    """Neighbouring integers of a sorted array as ranges (lo, hi), both included."""
+    none = F.expr("cast(array() as array<struct<lo:int,hi:int>>)")
+
+    def grow(acc: Column, i: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["lo"].alias("lo"), i.alias("hi"))))
+        return F.when((F.size(acc) > 0) & (last["hi"] == i - 1), joined).otherwise(F.concat(acc, F.array(F.struct(i.alias("lo"), i.alias("hi")))))
+
+    return F.aggregate(sorted_, none, grow)
+
+
 def removal_spans(placed: DataFrame, settled: DataFrame, width: int) -> DataFrame:
     """(key, spans): what to remove, in symbols of the text, sorted and disjoint.
 

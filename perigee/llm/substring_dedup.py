@@ -58,17 +58,9 @@ def _edges(contents: DataFrame) -> DataFrame:
 def _settle(contents: DataFrame) -> DataFrame:
     edges = written(_edges(contents), "edges")
     twice = edges.groupBy("edge").agg(F.sum("n").alias("n")).where("n > 1").select("edge")
+    # a path has at most window - anchor + 1 edges, so its list is bounded
     marked = edges.join(twice, "edge", "left_semi").groupBy("content").agg(F.array_sort(F.collect_set("i")).alias("at"))
-    # neighbouring edges of a path become ranges; a path has at most window - anchor + 1 edges
-    ranges = F.aggregate(
-        "at",
-        F.expr("cast(array() as array<struct<lo:int,hi:int>>)"),
-        lambda acc, i: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["hi"] == i - 1),
-            F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["lo"].alias("lo"), i.alias("hi")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(i.alias("lo"), i.alias("hi"))))),
-    )
-    return marked.select("content", ranges.alias("ranges"))
+    return marked.select("content", R.ranges_of(F.col("at")).alias("ranges"))
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

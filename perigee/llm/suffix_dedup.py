@@ -105,8 +105,9 @@ def _settle(contents: DataFrame) -> DataFrame:
     sorted_ = _sort_shards(dealt.select("anchor", "shard", "content", "n", "payload"))
     prints = written(_fingerprints(contents.join(several.select("anchor"), "anchor", "left_semi").select("content", "n", "payload")), "prints")
     twice = prints.groupBy("print").agg(F.sum("n").alias("n")).where("n > 1").select("print")
-    across = prints.join(twice, "print", "left_semi").select("content", F.array(F.struct(F.col("i").alias("lo"), F.col("i").alias("hi"))).alias("ranges"))
-    return sorted_.unionByName(across)
+    # a piece has at most window - anchor + 1 windows, so its list is bounded
+    across = prints.join(twice, "print", "left_semi").groupBy("content").agg(R.ranges_of(F.array_sort(F.collect_set("i"))).alias("ranges"))
+    return sorted_.unionByName(across).groupBy("content").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
