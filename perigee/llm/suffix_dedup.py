@@ -25,7 +25,7 @@ from perigee.llm._spark import written
 
 WINDOW, ANCHOR = 400, 200
 #: Bytes sorted at once within a task, and distinct pieces of one anchor in one shard, at most.
-SHARD_BYTES, ANCHOR_PIECES = 6 << 20, 1024
+SHARD_BYTES, ANCHOR_PIECES = 3 << 20, 1024
 
 
 def _symbols(block: S.Block):
