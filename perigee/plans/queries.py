@@ -663,18 +663,29 @@ def progress_coalesce(spark, sf):
     f"WITH {_CHORD} SELECT a::VARCHAR AS a, b::VARCHAR AS b, CAST(floor(1000000 + fraction * 10000.0 + 0.5) AS BIGINT) // 10 AS tca_10ms, round(distance, 4) AS miss_km FROM c WHERE distance <= 0.04 AND fraction > 0.01 AND fraction < 0.99 AND abs((fraction * 1000) - floor(fraction * 1000) - 0.5) < 0.3"
 )
 def refined_events(spark, sf):
-    """Golden-section refinement of the chord's candidates; times in hundredths of seconds, away from rounding borders."""
-    st = _states(spark, sf)
-    found = screening.candidates(st, _SCREEN).select("a", "b", "fraction")
-    s = st.select("id", F.struct("id", F.lit(1_000_000).alias("t0_ms"), *[F.col(f"p0{x}").alias(f"p{x}") for x in "xyz"], *[((F.col(f"p1{x}") - F.col(f"p0{x}")) / 10.0).alias(f"v{x}") for x in "xyz"]).alias("s"))
-    pairs = found.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    window = {"start_ms": 1_000_000, "end_ms": 1_010_000, "screen_start_ms": 1_000_000, "screen_end_ms": 1_010_000}
+    """The part of :func:`refined_events_whole` on which SQL can decide: times in hundredths of seconds, away from rounding borders."""
     sure = (F.col("fraction") > 0.01) & (F.col("fraction") < 0.99) & (F.abs(F.col("fraction") * 1000 - F.floor(F.col("fraction") * 1000) - 0.5) < 0.3)
-    cand = pairs.where(sure).select(*[F.lit(v).cast("long").alias(k) for k, v in window.items()], F.lit(True).alias("last"), F.col("sa").alias("a"), F.col("sb").alias("b"))
-    e = refinement.refine(cand, refinement.Refinement(radius_km=0.04))
+    e = _refined(spark, sf, screening.candidates(_states(spark, sf), _SCREEN).where(sure))
     return e.select("a", "b", F.floor(F.col("tca_ms") / 10).cast("long").alias("tca_10ms"), F.round("miss_km", 4).alias("miss_km"))
 
 
+def _refined(spark, sf, found: DataFrame) -> DataFrame:
+    s = _states(spark, sf).select("id", F.struct("id", F.lit(1_000_000).alias("t0_ms"), *[F.col(f"p0{x}").alias(f"p{x}") for x in "xyz"], *[((F.col(f"p1{x}") - F.col(f"p0{x}")) / 10.0).alias(f"v{x}") for x in "xyz"]).alias("s"))
+    pairs = found.select("a", "b").join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    window = {"start_ms": 1_000_000, "end_ms": 1_010_000, "screen_start_ms": 1_000_000, "screen_end_ms": 1_010_000}
+    cand = pairs.select(*[F.lit(v).cast("long").alias(k) for k, v in window.items()], F.lit(True).alias("last"), F.col("sa").alias("a"), F.col("sb").alias("b"))
+    return refinement.refine(cand, refinement.Refinement(radius_km=0.04))
+
+
+@query()
+def refined_events_whole(spark, sf):
+    """Golden-section refinement of every candidate of the chord, approaches at the slab's start and end included.
+
+    Tests compare it with brute force within a tolerance; at rounding borders SQL can't agree.
+    """
+    return _refined(spark, sf, screening.candidates(_states(spark, sf), _SCREEN))
+
+
 # sky and arrays ---------------------------------------------------------------
 
 _SUN_N = "((epoch_ms(o_orderdate) / 86400000.0 + 2440587.5) - 2451545.0)"

@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from perigee.plans import QUERIES, SQL
@@ -40,6 +41,25 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_refined_events_whole(spark, con):
+    """Every pair within the radius, also at the slab's start and end, by brute force over the table."""
+    ids, e = zip(*con.execute("SELECT vec_id, embedding FROM embeddings").fetchall())
+    e = np.array([x[:6] for x in e], float)
+    i, j = np.triu_indices(len(e), 1)
+    r0 = e[j, :3] - e[i, :3]
+    v = e[j, 3:] - e[i, 3:] - r0
+    at = np.clip(-(r0 * v).sum(1) / np.maximum((v * v).sum(1), 1e-300), 0, 1)
+    miss = np.sqrt(((r0 + v * at[:, None]) ** 2).sum(1))
+    pair = {k: (1_000_000 + 10_000 * at[k], miss[k]) for k in np.flatnonzero(miss <= 0.0401)}
+    want = {tuple(str(x) for x in sorted((ids[i[k]], ids[j[k]]))): x for k, x in pair.items()}
+    got = QUERIES["refined_events_whole"](spark, SF).collect()
+    found = {(r.a, r.b): r for r in got}
+    assert len(found) == len(got) and set(found) <= set(want)
+    assert {k for k, (_, m) in want.items() if m <= 0.0399} <= set(found)
+    assert all(abs(r.tca_ms - want[k][0]) <= 1 and abs(r.miss_km - want[k][1]) < 1e-4 and r.converged for k, r in found.items())
+    assert any(r.boundary for r in got)
+
+
 def test_entry_without_subpackage(spark):
     import __spark_entry__ as e
 
