@@ -190,6 +190,18 @@ def footprint_ring(spark, sf):
     return ring.select("s_suppkey", F.col("i").cast("long").alias("i"), *rounded(ring_lat=F.col("ring_lat")))
 
 
+@query(
+    f"""WITH {_POINTS}, r AS (SELECT *, acos(6378.137 / (6378.137 + 500.0 + s_suppkey % 1000)) AS radius FROM points),
+k AS (SELECT *, unnest(range(0, 129)) AS i FROM r),
+q AS (SELECT s_suppkey, i, asin(least(greatest(sin(radians(lat)) * cos(radius) + cos(radians(lat)) * sin(radius) * cos(i * (2 * pi() / 128)), -1.0), 1.0)) AS a FROM k)
+SELECT s_suppkey, i, round(degrees(a), 5) AS ring_lat FROM q"""
+)
+def footprint_ring_whole(spark, sf):
+    p = _points(spark, sf).withColumn("d", 6378.137 + 500.0 + F.col("s_suppkey") % 1000)
+    ring = coverage.footprint_ring(p, "lat", "lon", "d")
+    return ring.select("s_suppkey", F.col("i").cast("long").alias("i"), *rounded(ring_lat=F.col("ring_lat")))
+
+
 _AXIS = "pow(398600.4418 / ((n * 2.0 * pi() / 86400.0) * (n * 2.0 * pi() / 86400.0)), 1.0 / 3.0)"
 _PART = "p AS (SELECT p_partkey, p_size / 3.0 AS n, (p_partkey % 37) / 100.0 AS e, (p_partkey % 95)::DOUBLE AS i FROM part)"
 
@@ -454,6 +466,16 @@ def tick_alignment(spark, sf):
     return o.select("o_orderkey", F.explode(ticks).alias("tick")).select("o_orderkey", F.unix_millis("tick").alias("tick_ms"))
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey, date_trunc('month', o_orderdate) AS s, o_orderdate + INTERVAL 75 DAY AS e FROM orders)
+SELECT o_orderkey, epoch_ms(unnest(generate_series(s, e, INTERVAL 1 MONTH))) AS tick_ms FROM o"""
+)
+def tick_alignment_whole(spark, sf):
+    o = read(spark, sf, "orders", "o_orderkey", "o_orderdate").withColumn("t", F.col("o_orderdate").cast("timestamp"))
+    ticks = timeline.aligned_ticks(F.col("t"), F.col("t") + F.expr("interval 75 days"), "month")
+    return o.select("o_orderkey", F.explode(ticks).alias("tick")).select("o_orderkey", F.unix_millis("tick").alias("tick_ms"))
+
+
 _LEGAL = {"system": ("user",), "user": ("assistant",), "assistant": ("user",)}
 
 

@@ -60,6 +60,13 @@ def test_refined_events_whole(spark, con):
     assert any(r.boundary for r in got)
 
 
+@pytest.mark.parametrize("name,table,key", [("tick_alignment_whole", "orders", "o_orderkey"), ("footprint_ring_whole", "supplier", "s_suppkey")])
+def test_no_row_is_left_out(spark, name, table, key):
+    sf = "/root/testdata/sf0.01"
+    every = spark.read.parquet(f"{sf}/{table}.parquet").select(key).distinct().count()
+    assert QUERIES[name](spark, sf).select(key).distinct().count() == every
+
+
 def test_entry_without_subpackage(spark):
     import __spark_entry__ as e
 
