@@ -9,8 +9,10 @@ local density and not the square of the catalog, and adaptive execution splits d
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,24 +146,37 @@ def dedup_events(events: DataFrame, tolerance_s: float, pair: str = "pair_key",
     """Folds events of a pair that refine to one minimum: overlapping brackets, close times.
 
     Each event is compared with the last *kept* one, which a closer miss replaces, so this is a
-    fold and no ``lag``.  Events of one pair are those of one orbit's passes.
+    fold and no ``lag``.  Rows are dealt by pair, sorted by time and walked; the state is the one
+    event that may still be replaced, however many events a pair has.
     """
     gap = max(1.0, tolerance_s * 1000)
-    item = F.struct(F.col(tca).alias("tca"), F.col(miss).alias("miss"), F.col(ident).alias("id"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
-
-    def step(kept: Column, e: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        same = (F.size(kept) > 0) & (last["hi"] >= e["lo"]) & (e["hi"] >= last["lo"]) & (e["tca"] - last["tca"] <= gap)
-        swapped = F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(e))
-        return F.when(F.coalesce(same, F.lit(False)), F.when(e["miss"] < last["miss"], swapped).otherwise(kept)).otherwise(F.concat(kept, F.array(e)))
-
-    sorted_ = F.array_sort(F.collect_list(item))
-    grouped = events.groupBy(pair).agg(sorted_.alias("all"))
-    kinds = events.select(item.alias("x")).schema["x"].dataType.simpleString()
-    folded = F.aggregate("all", F.array().cast(f"array<{kinds}>"), step)
-    return grouped.select(pair, F.explode(folded).alias("x")).select(
-        pair, F.col("x.tca").alias(tca), F.col("x.miss").alias(miss), F.col("x.id").alias(ident), F.col("x.lo").alias(lo), F.col("x.hi").alias(hi)
-    )
+    names = [pair, tca, miss, ident, lo, hi]
+
+    def closer(a: float | None, b: float | None) -> bool:
+        return a is not None and b is not None and (a < b or (b != b and a == a))  # NaN comes last, as in Spark
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, types = None, None
+        for batch in batches:
+            types, out = batch.schema.types, []
+            for e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                whole = last is not None and last[0] == e[0] and None not in (last[1], last[4], last[5], e[1], e[4], e[5])
+                if whole and last[5] >= e[4] and e[5] >= last[4] and e[1] - last[1] <= gap:
+                    last = e if closer(e[2], last[2]) else last
+                    continue
+                if last is not None:
+                    out.append(last)
+                last = e
+            yield rows(out, types)
+        if last is not None:
+            yield rows([last], types)
+
+    def rows(out: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+
+    chosen = events.select(*names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
+    return chosen.repartition(pair).sortWithinPartitions(*names).mapInArrow(run, schema)
 
 
 def ranked(events: DataFrame, cfg: Screening) -> DataFrame:

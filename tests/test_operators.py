@@ -148,6 +148,34 @@ def test_dedup_is_a_fold(spark):
     assert sorted(r.event_id for r in got.collect()) == ["b", "d"]
 
 
+def test_dedup_keeps_one_event_per_pair(spark, capsys):
+    """A hot pair over several batches equals a plain loop, and no group is gathered."""
+    rnd = random.Random(4)
+    events = [("hot" if i % 3 else f"p{i % 40}", rnd.randrange(3_000_000), rnd.choice([0.5, 1.0, 2.0, None]), f"e{i}", 0, 0) for i in range(3000)]
+    events = [(*e[:4], e[1] - rnd.randrange(900), e[1] + rnd.randrange(900)) for e in events]
+    want, last = set(), {}
+    for e in sorted(events, key=lambda e: (e[0], e[1], e[2] is not None, e[2] or 0, e[3])):
+        k = last.get(e[0])
+        if k and k[5] >= e[4] and e[5] >= k[4] and e[1] - k[1] <= 1000:
+            if e[2] is not None and k[2] is not None and e[2] < k[2]:
+                want.discard(k[3])
+                want.add(e[3])
+                last[e[0]] = e
+        else:
+            want.add(e[3])
+            last[e[0]] = e
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        folded = screening.dedup_events(spark.createDataFrame(events, "pair_key string, tca_ms long, miss_km double, event_id string, lo_ms long, hi_ms long"), 1.0)
+        got = [r.event_id for r in folded.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(set(got)) < len(events) and set(got) == want
+    folded.explain()
+    assert "collect_list" not in capsys.readouterr().out
+
+
 def test_link_budget(spark):
     r = spark.range(1).select(rf.fspl_db(1000.0, 12.0).alias("l"), rf.noise_dbw(100e6).alias("n"), rf.delay_ms(1000.0).alias("d"), rf.fspl_db(-1.0, 12.0).alias("none")).first()
     assert abs(r.l - 174.03) < 0.02 and abs(r.n + 123.98) < 0.05 and abs(r.d - 3.3356) < 1e-4 and r.none is None
