@@ -1,12 +1,17 @@
 """Quality rules with cross-document line frequencies.
 
 Lines are hashed in normal form (lower case, words joined by one space).  Per host, the number
-of distinct documents that hold a line is counted; lines above the host's limit are removed,
-and a document that has lost too much is rejected, beside the base rules on one text.
+of distinct documents that hold a line is counted; lines above the host's limit are cut out of
+the text, and a document that has lost too much is rejected, beside the base rules on one text.
+
+The limit is a share of the host's documents, and never under a number: a host of no more
+documents than that number loses no line, not even one that all of them hold; in a host of a
+million, a line on 10,000 documents stays and one on 10,001 goes.
 
 A document counts as one row.  Map tasks add up equal (host, line) pairs before the shuffle, so
 a line held by a third of all rows sends one row per batch.  Back on the documents, only lines
-that pass a filter of fixed size are carried; an exact join confirms them.
+that pass a filter of fixed size are carried; an exact join confirms them.  The confirmed line
+numbers meet their row again by a hash of 128 bits of its content, and a second pass cuts.
 """
 
 from __future__ import annotations
@@ -15,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +43,7 @@ def _distinct(key: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 class _Lines:
-    """Lines with a word of a block: row, raw and normal hash, number of words."""
+    """Lines with a word of a block: row, number in the row's text, raw and normal hash, number of words."""
 
     def __init__(self, block: S.Block, w: S.Words):
         start, end = S.runs(block.data != 10, block.offsets)
@@ -47,6 +51,9 @@ class _Lines:
         has = b > a
         start, end, a, b = start[has], end[has], a[has], b[has]
         self.row = np.searchsorted(block.offsets, start, "right") - 1
+        ends = np.zeros(len(block.data) + 1, np.int64)
+        np.cumsum(block.data == 10, out=ends[1:])
+        self.at = ends[start] - ends[block.offsets[self.row]]
         self.words = b - a
         self.raw = S.span_hash(S.byte_prefix(block.data), start, end)
         low = S.span_hash(S.byte_prefix(S.LOWER[block.data]), w.start, w.end)
@@ -107,51 +114,61 @@ def frequent_lines(rows: DataFrame, share: float = LINE_SHARE, least: int = LINE
     return counted.join(hosts, "host").where(F.col("n") > share * F.col("docs")).select("host", "line")
 
 
-_MEASURED = "rid long, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, host long, lines array<struct<line:long,words:long>>"
+_CUT = "doc_id long, text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, removed_words long, removed_lines array<int>"
+_KEY = ["k1", "k2"]
+
+
+def _removed(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(k1, k2, gone): by content key of ``rows``, number and words of each line that is frequent in its host."""
+    filt = rows.sparkSession.sparkContext.broadcast(Filter.of(frequent, "line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2, hosts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (*_KEY, "host"))
+            for block in S.blocks(batch.column("text")):
+                lines = _Lines(block, S.words(block, S.NON_SPACE))
+                some = filt.value.has(lines.normal)
+                row = block.first + lines.row[some]
+                columns = [k1[row], k2[row], hosts[row], S.signed(lines.normal[some]), lines.at[some].astype(np.int32), lines.words[some].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [*_KEY, "host", "line", "at", "words"])
+
+    lines = rows.select(*_KEY, "host", "text").mapInArrow(run, "k1 long, k2 long, host long, line long, at int, words long")
+    return lines.join(frequent, ["host", "line"]).groupBy(*_KEY).agg(F.collect_set(F.struct("at", "words")).alias("gone"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = LINE_SHARE, least: int = LINE_DOCUMENTS, left: float = LEAST_LEFT) -> DataFrame:
-    """One row per row of ``docs``: id, counts of the base rules, removed_words, base_failed, kept.
+    """One row per row of ``docs``: id, the text without its frequent lines, counts of the base rules, removed_words, removed_lines, base_failed, kept.
 
-    Null text has no words and fails; null hosts form one host; repeated rows are counted and
-    judged each on its own; an empty table gives none.  Other columns are ignored.
+    Counts are of the whole text; removed_lines are numbers of lines in it, from 0.  Null text
+    has no words and fails; null hosts form one host; repeated rows are counted and judged each
+    on its own; an empty table gives none.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))).alias("host"))
     frequent = written(frequent_lines(rows, share, least), "frequent-lines")
-    filt = rows.sparkSession.sparkContext.broadcast(Filter.of(frequent, "line"))
+    keyed = rows.select("*", F.xxhash64("host", "doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id", "host").alias("k2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            hosts = batch.column("host")
-            for block in S.blocks(batch.column("text")):
+            texts, gone = batch.column("text"), batch.column("gone")
+            for block in S.blocks(texts):
                 w = S.words(block, S.NON_SPACE)
-                lines = _Lines(block, w)
-                m = _metrics(block, w, lines)
-                some = filt.value.has(lines.normal)
-                row, key, size = lines.row[some], S.signed(lines.normal[some]), lines.words[some]
-                offsets = np.searchsorted(row, np.arange(block.n + 1)).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(key), pa.array(size.astype(np.int64))], ["line", "words"]))
+                m = _metrics(block, w, _Lines(block, w))
                 part = slice(block.first, block.first + block.n)
+                cut, words, numbers = [], [], []
+                for text, lost in zip(texts[part], gone[part].to_pylist(), strict=True):
+                    at = {x["at"]: x["words"] for x in lost or ()}
+                    cut.append("\n".join(x for i, x in enumerate(text.as_py().split("\n")) if i not in at) if at else text.as_py())
+                    words.append(sum(at.values()))
+                    numbers.append(sorted(at))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(rid, rid + block.n)), batch.column("doc_id")[part], *(pa.array(x.astype(np.int64)) for x in m.values()), hosts[part], listed],
-                    ["rid", "doc_id", *m, "host", "lines"],
+                    [batch.column("doc_id")[part], pa.array(cut, pa.string()), *(pa.array(x.astype(np.int64)) for x in m.values()), pa.array(words, pa.int64()), pa.array(numbers, pa.list_(pa.int32()))],
+                    ["doc_id", "text", *m, "removed_words", "removed_lines"],
                 )
-                rid += block.n
 
-    measured = written(rows.mapInArrow(run, _MEASURED), "quality")
-    lines = measured.select("rid", "host", F.explode("lines").alias("x")).select("rid", "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
-    removed = lines.join(frequent, ["host", "line"]).groupBy("rid").agg(F.sum("words").alias("removed_words"))
+    cut = keyed.join(_removed(keyed, frequent), _KEY, "left").select("doc_id", "text", "gone").mapInArrow(run, _CUT)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     depleted = F.col("n_words") - F.col("removed_words") < F.lit(left) * F.col("n_words")
-    return (
-        measured.drop("host", "lines")
-        .join(removed, "rid", "left")
-        .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & ~depleted)
-        .drop("rid")
-    )
+    return cut.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -244,6 +244,26 @@ def test_quality_rules(spark):
     assert [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.removed_words, r.base_failed, r.kept) for r in got] == sorted(want, key=lambda r: r[:2])
 
 
+def test_quality_cuts_frequent_lines(spark):
+    """Cleaned text and line numbers, at both ends of host size."""
+    rows = [(i, f"{prose(12, i)}\n\n Read  MORE here \nlast {i}", "ten") for i in range(10)]  # as many as the least number: nothing goes
+    rows += [(100 + i, f"{prose(12, i)}\n\n Read  MORE here \nlast {i}\nread more here", "eleven") for i in range(11)]
+    big = [(1000 + i, f"{prose(12, i)}\n" + ("at limit" if i < 12 else "over limit" if i < 25 else f"no limit {i}"), "big") for i in range(1200)]
+    table = spark.createDataFrame([*rows, *big, rows[10], (5000, None, "eleven")], "doc_id long, text string, source string").repartition(3)
+    got = quality_rules.quality(table).collect()
+    assert len(got) == 10 + 11 + 1200 + 2
+    for r in got:
+        i = r.doc_id
+        if i == 5000:
+            assert r.text is None and r.removed_lines == []
+        elif i < 100:
+            assert (r.text, r.removed_lines) == (rows[i][1], [])
+        elif i < 1000:
+            assert (r.text, r.removed_lines, r.removed_words) == (f"{prose(12, i - 100)}\n\nlast {i - 100}", [2, 4], 6)
+        else:  # 12 of 1200 are at the share of 1 %, 13 above it
+            assert (r.text, r.removed_lines) == ((prose(12, i - 1000), [1]) if 12 <= i - 1000 < 25 else (big[i - 1000][1], []))
+
+
 # 8 ---------------------------------------------------------------------------
 
 
