@@ -315,6 +315,24 @@ def test_html_without_article():
     assert got.count("\n\n") >= 5 and prose(60, 3) in got
 
 
+def test_html_story_outside_marked_teasers():
+    story = [prose(60, i) for i in range(6)]
+    teasers = "".join(f"<article><h3><a href={i}>Teaser {i}</a></h3><p>Short words</p></article>" for i in range(5))
+    got = html_extract.main_text(f"<body class='has-sidebar'><div>{''.join(f'<p>{x}</p>' for x in story)}</div>{teasers}</body>")
+    assert all(x in got for x in story)
+
+
+def test_html_ratios_decide_within_the_mark():
+    links = "<div><a href=1>a</a><a href=2>b</a><a href=3>c</a></div>"
+    got = html_extract.main_text(f"<article><p>{prose(60, 1)}</p><p>{prose(60, 2)}</p>{links}{links}</article>")
+    assert got == f"{prose(60, 1)}\n\n{prose(60, 2)}"
+
+
+def test_html_uneven_paragraphs():
+    body = [*["x" * 150] * 4, "y" * 8000, *["x" * 150] * 4]
+    assert html_extract.main_text("<body>" + "".join(f"<p>{x}</p>" for x in body) + "</body>") == "\n\n".join(body)
+
+
 # 10 --------------------------------------------------------------------------
 
 
