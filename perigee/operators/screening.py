@@ -5,10 +5,13 @@ half of the pair's curvature and radius allowance, is exploded into grid cells;
 equi-joins on (slab, cell), and a pair counts only in its owner cell, the greatest of the two
 boxes' least cells by axis, so no ``distinct`` is needed.  Cells bound the join: cost follows
 local density and not the square of the catalog, and adaptive execution splits dense cells.
+An object whose box covers too many cells takes cells of twice the edge, and twice again, until it
+doesn't; two objects meet at the coarser level of both, so none is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +24,8 @@ from perigee.functions import geometry as G
 #: Numeric slack added to every box.
 EPSILON_KM = 1e-9
 AXES = ("x", "y", "z")
+#: Doublings of the cell's edge, at most; then a box covers two cells by axis at most.
+LEVELS = 62
 
 
 @dataclass(frozen=True)
@@ -75,27 +80,34 @@ def swept_boxes(states: DataFrame, cfg: Screening) -> DataFrame:
     number = F.lit(1)
     for c0, c1 in cells:
         number = number * (c1 - c0 + 1)
-    fields = [F.col("id"), *[F.col(f"{n}{a}") for n in ("p0", "p1") for a in AXES], number.alias("cells")]
+    at = lambda c, level: F.call_function("shiftright", c, level)
+    covered = lambda level: math.prod(at(c1, level).cast("double") - at(c0, level) + 1 for c0, c1 in cells)
+    coarser = F.try_element_at(F.filter(F.sequence(F.lit(1), F.lit(LEVELS)), lambda level: covered(level) <= cfg.max_cells_per_object), F.lit(1))
+    level = F.when(number <= cfg.max_cells_per_object, 0).otherwise(F.coalesce(coarser, F.lit(LEVELS)))
+    fields = [F.col("id"), level.cast("int").alias("level"), *[F.col(f"{n}{a}") for n in ("p0", "p1") for a in AXES], number.alias("cells")]
     for a, (lo, hi), (c0, c1) in zip(AXES, ends, cells, strict=True):
         fields += [lo.alias(f"lo{a}"), hi.alias(f"hi{a}"), c0.alias(f"c0{a}"), c1.alias(f"c1{a}")]
     return states.select("slab", "seconds", F.struct(*fields).alias("s"))
 
 
 def memberships(boxes: DataFrame) -> DataFrame:
-    out = boxes
+    """Cells of each box at its own level and at the coarser ones up to the greatest, which one row tells the driver."""
+    most = boxes.agg(F.max("s.level")).first()[0] or 0
+    out = boxes.withColumn("level", F.explode(F.sequence(F.col("s.level"), F.lit(most))))
     for a in AXES:
-        out = out.withColumn(f"c{a}", F.explode(F.sequence(F.col(f"s.c0{a}"), F.col(f"s.c1{a}"))))
+        c0, c1 = (F.call_function("shiftright", F.col(f"s.{c}{a}"), F.col("level")) for c in ("c0", "c1"))
+        out = out.withColumn(f"c{a}", F.explode(F.sequence(c0, c1)))
     return out
 
 
 def box_pairs(states: DataFrame, cfg: Screening) -> DataFrame:
     """(slab, seconds, a, b) of pairs a.id < b.id whose swept boxes overlap; a and b hold what :func:`swept_boxes` gives."""
-    cells = memberships(swept_boxes(states, cfg).where(F.col("s.cells") <= cfg.max_cells_per_object))
-    at = ["slab", "cx", "cy", "cz"]
+    cells = memberships(swept_boxes(states, cfg))
+    at = ["slab", "level", "cx", "cy", "cz"]
     met = cells.select(*at, "seconds", F.col("s").alias("a")).join(cells.select(*at, F.col("s").alias("b")), at)
-    met = met.where(F.col("a.id") < F.col("b.id"))
+    met = met.where((F.col("a.id") < F.col("b.id")) & (F.col("level") == F.greatest("a.level", "b.level")))
     for x in AXES:
-        met = met.where(F.col(f"c{x}") == F.greatest(F.col(f"a.c0{x}"), F.col(f"b.c0{x}")))
+        met = met.where(F.col(f"c{x}") == F.call_function("shiftright", F.greatest(f"a.c0{x}", f"b.c0{x}"), F.col("level")))
         met = met.where((F.col(f"a.lo{x}") <= F.col(f"b.hi{x}")) & (F.col(f"b.lo{x}") <= F.col(f"a.hi{x}")))
     return met.select("slab", "seconds", "a", "b")
 

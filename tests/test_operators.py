@@ -142,6 +142,24 @@ def test_screening_equals_brute_force(spark):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_screening_drops_no_large_box(spark):
+    """At the default cap: boxes of 8 cells, of thousands, and of nearly the whole space, in two slabs."""
+    rnd = random.Random(6)
+    objects = []
+    for i in range(90):
+        reach = (5, 300, 4000)[i % 3]
+        p = [rnd.uniform(-500, 500) for _ in range(3)]
+        objects.append((i % 2, i, 10.0, *p, *[x + rnd.uniform(-reach, reach) for x in p]))
+    schema = "slab long, id long, seconds double, " + ", ".join(f"{n}{a} double" for n in ("p0", "p1") for a in "xyz")
+    cfg = screening.Screening(radius_km=5.0, cell_km=10.0)
+    states = spark.createDataFrame(objects, schema)
+    assert screening.swept_boxes(states, cfg).where(F.col("s.cells") > cfg.max_cells_per_object).count() > 40
+    got = [(r.i, r.j) for r in screening.box_pairs(states, cfg).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).collect()]
+    box = lambda o: [(min(x, y) - 2.5, max(x, y) + 2.5) for x, y in zip(o[3:6], o[6:])]
+    want = {(p[1], q[1]) for p, q in itertools.combinations(objects, 2) if p[0] == q[0] and all(a[0] <= b[1] and b[0] <= a[1] for a, b in zip(box(p), box(q)))}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_dedup_is_a_fold(spark):
     events = [("p", 1000, 5.0, "a", 0, 2000), ("p", 1500, 4.0, "b", 900, 2500), ("p", 2300, 4.5, "c", 1400, 3000), ("p", 9000, 1.0, "d", 8000, 9500)]
     got = screening.dedup_events(spark.createDataFrame(events, "pair_key string, tca_ms long, miss_km double, event_id string, lo_ms long, hi_ms long"), 1.0)
