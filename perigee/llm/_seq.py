@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,25 +19,9 @@ U64 = np.uint64
 #: Bytes of text handled at once by the numpy kernels (a longer text forms a block of its own).
 BLOCK_BYTES = 256 << 10
 
-_B = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
-_MASK = (1 << 64) - 1
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_pows: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, 0..n."""
-    if "up" not in _pows or len(_pows["up"]) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
-        for name, base in (("up", _B), ("down", pow(_B, -1, 1 << 64))):
-            out = np.empty(size, U64)
-            out[0], have = 1, 1
-            while have < size:
-                out[have : 2 * have] = out[:have] * U64(pow(base, have, 1 << 64))
-                have *= 2
-            _pows[name] = out
-    return _pows["up"], _pows["down"]
+_LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,24 +35,46 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over ``values``; see :func:`span_hash`."""
-    up, _ = _powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two neighbouring halves.  It isn't linear in either, so that no algebra of the symbols cancels."""
+    x = a * _LEFT
+    x += b
+    x ^= x >> U64(29)
+    x *= _RIGHT
+    x ^= x >> U64(32)
+    return x
+
+
+def span_hash(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of symbols[start:end] for many ranges at once; equal contents give equal hashes.
+
+    Hashes of all stretches of 1, 2, 4, ... symbols are built in turn; a range is told by its
+    length and the two stretches, the longest that fit, at its ends.
+    """
+    size = (end - start).astype(np.int64)
+    out = np.zeros(len(size), U64)
+    level = np.frexp(size.astype(np.float64))[1] - 1
+    top = int(level.max(initial=-1))
+    have, width = symbols, 1
+    for k in range(top + 1):
+        at = np.flatnonzero(level == k)
+        if len(at):
+            out[at] = _joined(have[start[at]], have[end[at] - width])
+        if k < top:
+            have = _joined(have[:-width], have[width:])
+            width *= 2
+    return mix(out ^ mix(size.astype(U64) + U64(0x5851F42D4C957F2D + seed)))
 
 
-def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hash of values[start:end] for many ranges at once; equal contents give equal hashes."""
-    _, down = _powers(len(pre))
-    raw = (pre[end] - pre[start]) * down[start]
-    return mix(raw ^ mix((end - start).astype(U64) + U64((0x5851F42D4C957F2D + seed) & _MASK)))
+def byte_symbols(data: np.ndarray) -> np.ndarray:
+    return _BYTE[data]
 
 
-def byte_prefix(data: np.ndarray, seed: int = 0) -> np.ndarray:
-    table = _BYTE if not seed else mix(_BYTE + U64(seed))
-    return prefix(table[data])
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int = 8) -> np.ndarray:
+    """BLAKE2b of data[start:end] for many ranges, as rows of signed 64-bit integers; stands for the bytes."""
+    view = memoryview(data)
+    raw = b"".join([blake2b(view[a:b], digest_size=size).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(raw, np.int64).reshape(-1, size // 8)
 
 
 @dataclass
@@ -84,12 +91,12 @@ class Block:
 
 
 def blocks(column: pa.Array | pa.ChunkedArray, most: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Blocks of an Arrow string column; null is an empty text."""
+    """Blocks of an Arrow string or binary column; null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     n = len(column)
     if not n:
         return
@@ -148,7 +155,7 @@ def words(block: Block, kind: np.ndarray, data: np.ndarray | None = None) -> Wor
     data = block.data if data is None else data
     start, end = runs(kind[data], block.offsets)
     row = np.searchsorted(block.offsets, start, "right") - 1
-    return Words(start, end, row, span_hash(byte_prefix(data), start, end), np.searchsorted(row, np.arange(block.n + 1)))
+    return Words(start, end, row, span_hash(byte_symbols(data), start, end), np.searchsorted(row, np.arange(block.n + 1)))
 
 
 def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -176,39 +183,50 @@ class Pieces:
     A window of ``width`` symbols starts at each of lo..hi (both included); together they
     cover lo..hi+width.  Equal windows choose equal anchors, so a window can repeat only
     where its anchor repeats, and a piece is judged by what its anchor's other pieces hold.
+    In a text that goes on with a short period one piece holds its anchor at many ``places``.
     """
 
     row: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
-    at: np.ndarray
     anchor: np.ndarray
-    content: np.ndarray
+    places: np.ndarray
+
+
+def squeezed(data: np.ndarray, w: Words, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with one space after each, and where each begins: words i..j are out[at[i] : at[j + 1] - 1]."""
+    size = w.end - w.start
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(int(at[-1]), 32, np.uint8)
+    out[np.arange(int(size.sum())) + np.repeat(np.arange(w.n), size)] = data[kind[data]]
+    return out, at
 
 
-def kmer_hash(pre: np.ndarray, k: int) -> np.ndarray:
-    """The hash of every k consecutive symbols; contents alone decide it, as in :func:`span_hash`."""
-    _, down = _powers(len(pre))
-    n = len(pre) - k
-    out = pre[k:] - pre[:n]
-    out *= down[:n]
-    out *= U64(0x9FB21C651E98DF25)
-    return out ^ (out >> U64(29))
+def kmer_hash(symbols: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every k consecutive symbols; contents alone decide it."""
+    have, width = symbols, 1
+    while 2 * width <= k:
+        have = _joined(have[:-width], have[width:])
+        width *= 2
+    return _joined(have[: len(have) - (k - width)], have[k - width :])
 
 
-def pieces(pre: np.ndarray, first: np.ndarray, width: int, k: int) -> Pieces:
-    """Pieces of a block whose symbols have the prefix hashes ``pre``; rows are symbols first[i]..first[i+1]."""
+def pieces(symbols: np.ndarray, first: np.ndarray, width: int, k: int) -> Pieces:
+    """Pieces of a block of hashed symbols, of which row i has first[i]..first[i+1]; contents are left to the caller."""
     none = np.zeros(0, np.int64)
-    n = len(pre) - 1
+    n = len(symbols)
     if n < width:
-        return Pieces(none, none, none, none, none.view(U64), none.view(U64))
+        return Pieces(none, none, none, none.view(U64), none)
     low = U64(0xFFFFFFFF)  # of a key: the upper half ranks by hash, the lower holds the place
-    kmer = kmer_hash(pre, k)
+    kmer = kmer_hash(symbols, k)
     key = kmer & ~low
     key |= np.arange(len(kmer), dtype=U64)  # ties go to the leftmost
     at = (sliding_min(key, width - k + 1) & low).astype(np.int64)
+    moved = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(at[1:] != at[:-1], out=moved[1:-1])
+    held = kmer[at]
     new = np.ones(len(at), bool)
-    np.not_equal(at[1:], at[:-1], out=new[1:])
+    np.not_equal(held[1:], held[:-1], out=new[1:])
     new[first[first < len(at)]] = True
     lo = np.flatnonzero(new)
     hi = np.append(lo[1:], len(at)) - 1
@@ -216,4 +234,4 @@ def pieces(pre: np.ndarray, first: np.ndarray, width: int, k: int) -> Pieces:
     hi = np.minimum(hi, first[row + 1] - width)  # windows end with their row
     ok = hi >= lo
     lo, hi, row = lo[ok], hi[ok], row[ok]
-    return Pieces(row, lo, hi, at[lo], mix(kmer[at[lo]]), span_hash(pre, lo, hi + width, 1))
+    return Pieces(row, lo, hi, mix(held[lo]), moved[hi] - moved[lo] + 1)

@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
@@ -17,10 +18,13 @@ _local: dict[str, str] = {}
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in local tests, a temporary folder stands in.
+    Where that setting is absent a temporary folder stands in, in local mode alone: on a cluster
+    each executor would write to a disk of its own, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local.setdefault("base", tempfile.mkdtemp(prefix="perigee-"))
     return f"{base.rstrip('/')}/perigee/{name}-{uuid.uuid4().hex}"
 
@@ -30,23 +34,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`written` that nothing reads any more."""
+    for t in tables:
+        jvm, session = t.sparkSession._jvm, t.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 class Filter:
-    """A Bloom filter of 64-bit keys whose size is fixed before any row is read.
+    """A Bloom filter of 64-bit keys, sized by their number and never above ``2**MOST`` words.
 
     Tasks fold keys into words of the filter with a grouped bit_or and pack the words they end
-    up with, so at most 16 * ``2**log_words`` bytes in a row per task reach the driver, whatever
-    the input.  A full filter passes too many keys, never too
-    few: what passes is confirmed by an exact join, so its load changes cost and not results.
+    up with, so at most 16 bytes a word reach the driver, whatever the input.  A full filter
+    passes too many keys, never too few: what passes is confirmed by an exact join, so its load
+    changes cost and not results.
     """
 
+    #: Logarithms of the least and the greatest number of 64-bit words (8 KB and 16 MB).
+    LEAST, MOST = 10, 21
+
     def __init__(self, words: np.ndarray, log_words: int):
         self.words, self.log_words = words, log_words
 
     @staticmethod
-    def of(keys: DataFrame, column: str, log_words: int = 20) -> Filter:
+    def of(keys: DataFrame, column: str, n: int | None = None) -> Filter:
+        """Of ``keys`` (a table that is cheap to read twice), or of about ``n`` keys where that is known."""
+        n = keys.count() if n is None else n
+        log_words = min(Filter.MOST, max(Filter.LEAST, (n // 4).bit_length()))  # 16 bits a key or more
         h = F.col(column)
         at = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND((1 << log_words) - 1)
         bit = lambda shift: F.expr(f"shiftleft(1L, int(shiftrightunsigned(`{column}`, {shift}) & 63))")
@@ -72,3 +92,23 @@ class Filter:
         for at, bit in ((0, 58), (26, 52)):
             out &= (words[(k >> np.uint64(at)) & most] >> ((k >> np.uint64(bit)) & np.uint64(63))) & np.uint64(1) != 0
         return out
+
+    def passes(self, spark: SparkSession, key: Column) -> Column:
+        """Whether the filter has a long column's value; only that column goes to Python."""
+        sent = spark.sparkContext.broadcast(self)
+
+        @F.pandas_udf("boolean")
+        def has(x: pd.Series) -> pd.Series:
+            return pd.Series(sent.value.has(x.to_numpy(np.int64)))
+
+        return has(key)
+
+
+def apart(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that may have a key of ``keys``, and those that surely have none.
+
+    The second need no join, so that a join that few rows take part in doesn't shuffle all.
+    """
+    passes = Filter.of(keys, column).passes(rows.sparkSession, F.col(column))
+    flagged = rows.withColumn("__may", passes)
+    return flagged.where("__may").drop("__may"), flagged.where("not __may").drop("__may")
