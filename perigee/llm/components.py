@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm._spark import written
+from perigee.llm._spark import discard, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -27,17 +27,23 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component) for every node of the links (a, b) that is not its component's least.
+    """(id, component), written, for every node of the links (a, b) that is not its component's least.
 
     Each round moves edges, not groups: a node's neighbours are never gathered.  Nulls and loops
     are dropped; no links give no rows.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = _mark(edges)
-    for _ in range(rounds):
-        edges = written(_small(_large(edges)), "stars")
+    for _ in range(rounds if mark[0] else 0):
+        before, edges = edges, written(_small(_large(edges)), "stars")
+        discard(before)
         now = _mark(edges)
         if now == mark:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            break
         mark = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    else:
+        if mark[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out._scratch = edges._scratch
+    return out
