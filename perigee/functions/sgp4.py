@@ -1,14 +1,16 @@
-"""Near-Earth SGP4 on NumPy arrays, after the published model (Spacetrack Report 3 and its 2006 revision).
+"""SGP4 on NumPy arrays, after the published model (Spacetrack Report 3 and its 2006 revision).
 
 One call propagates many element sets at once; nothing loops over objects.  Orbits with periods
-of 225 minutes and more need the deep-space terms, which this kernel doesn't have: they get the
-code ``deep_space`` and no state.
+of 225 minutes and more take their deep-space terms from :mod:`perigee.functions.deep_space`; these
+depend on the date, so without an epoch such rows get the code ``deep_space`` and no state.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from perigee.functions.deep_space import DeepSpace
+
 # WGS-72 as the model uses it.
 RADIUS_KM, MU, J2, J3, J4 = 6378.135, 398600.8, 0.001082616, -0.00000253881, -0.00000165597
 XKE = 60.0 / np.sqrt(RADIUS_KM**3 / MU)
@@ -18,11 +20,11 @@ DEEP_SPACE_MINUTES = 225.0
 CODES = ("ok", "not_finite", "bad_elements", "deep_space", "mean_eccentricity", "mean_motion", "semilatus", "decayed")
 
 
-def propagate(inclination_deg, node_deg, eccentricity, perigee_deg, anomaly_deg, motion_rev_day, bstar, minutes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def propagate(inclination_deg, node_deg, eccentricity, perigee_deg, anomaly_deg, motion_rev_day, bstar, minutes, epoch_jd=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions (n, 3) in km and velocities (n, 3) in km/s in the TEME frame, and codes (indices of :data:`CODES`).
 
-    Arguments are arrays of one length; ``minutes`` count from the element set's epoch.  Rows
-    with a code have NaN states.
+    Arguments are arrays of one length; ``minutes`` count from the element set's epoch, which
+    ``epoch_jd`` gives as Julian days (NaN where unknown).  Rows with a code have NaN states.
     """
     inc, node0, e0, arg0, m0, n_day, bstar, t = (np.asarray(x, np.float64) for x in (inclination_deg, node_deg, eccentricity, perigee_deg, anomaly_deg, motion_rev_day, bstar, minutes))
     code = np.zeros(len(t), np.int64)
@@ -48,7 +50,9 @@ def propagate(inclination_deg, node_deg, eccentricity, perigee_deg, anomaly_deg,
         a0 = a1 * (1 - d1 * d1 - d1 * (1 / 3 + 134 * d1 * d1 / 81))
         n0 = kozai / (1 + base / (a0 * a0))
         a = (XKE / n0) ** (2 / 3)
-        fail(2 * np.pi / n0 >= DEEP_SPACE_MINUTES, "deep_space")
+        deep = 2 * np.pi / n0 >= DEEP_SPACE_MINUTES
+        jd = np.full(len(t), np.nan) if epoch_jd is None else np.asarray(epoch_jd, np.float64)
+        fail(deep & ~np.isfinite(jd), "deep_space")
 
         # atmospheric drag
         rp = a * (1 - e0)
@@ -71,7 +75,7 @@ def propagate(inclination_deg, node_deg, eccentricity, perigee_deg, anomaly_deg,
             eta * (2 + 0.5 * eta2) + e0 * (0.5 + 2 * eta2) - J2 * xi / (a * psi) * (-3 * x3thm1 * (1 - 2 * e_eta + eta2 * (1.5 - 0.5 * e_eta)) + 0.75 * x1mth2 * (2 * eta2 - e_eta * (1 + eta2)) * np.cos(2 * arg0))
         )
         c5 = 2 * coef1 * a * beta2 * (1 + 2.75 * (eta2 + e_eta) + e_eta * eta2)
-        simple = rp < 220 / RADIUS_KM + 1
+        simple = deep | (rp < 220 / RADIUS_KM + 1)
         d2 = 4 * a * xi * c1 * c1
         d3 = d2 * xi * c1 / 3 * (17 * a + s)
         d4 = 0.5 * d2 * xi * c1 / 3 * a * xi * (221 * a + 31 * s) * c1
@@ -106,9 +110,15 @@ def propagate(inclination_deg, node_deg, eccentricity, perigee_deg, anomaly_deg,
         shrink = np.where(simple, shrink, shrink - d2 * t2 - d3 * t3 - d4 * t4)
         drag_e = np.where(simple, drag_e, drag_e + bstar * c5 * (np.sin(m) - np.sin(m0)))
         drag_l = np.where(simple, drag_l, drag_l + t3c * t3 + t4 * (t4c + t * t5c))
-        am = a * shrink * shrink
+        far = np.flatnonzero(deep & (code == 0))
+        nm, em, tilt0, terms = n0.copy(), e0.copy(), inc.copy(), None
+        if len(far):
+            terms = DeepSpace(*(x[far] for x in (jd, e0, arg0, inc, node0, n0, m0, m_dot, arg_dot, node_dot)), XKE)
+            em[far], tilt0[far], node[far], arg[far], m[far], nm[far] = terms.secular(t[far], node[far], arg[far], m[far])
+        fail(~(nm > 0), "mean_motion")
+        am = (XKE / nm) ** (2 / 3) * shrink * shrink
         nm = XKE / am**1.5
-        em = e0 - drag_e
+        em = em - drag_e
         fail((em >= 1) | (em < -0.001), "mean_eccentricity")
         fail(~(am > 0), "mean_motion")
         em = np.maximum(em, 1e-6)
@@ -116,6 +126,14 @@ def propagate(inclination_deg, node_deg, eccentricity, perigee_deg, anomaly_deg,
         lon = np.mod(m + arg + node, 2 * np.pi)
         node, arg = np.mod(node, 2 * np.pi), np.mod(arg, 2 * np.pi)
         m = np.mod(lon - arg - node, 2 * np.pi)
+        if terms is not None:
+            em[far], tilt0[far], node[far], arg[far], m[far] = terms.periodic(t[far], em[far], tilt0[far], node[far], arg[far], m[far])
+            under = tilt0 < 0
+            tilt0, node, arg = np.where(under, -tilt0, tilt0), np.where(under, node + np.pi, node), np.where(under, arg - np.pi, arg)
+            fail((em < 0) | (em > 1), "mean_eccentricity")
+            cosi, sini = np.cos(tilt0), np.sin(tilt0)
+            theta2 = cosi * cosi
+            x3thm1, x1mth2, x7thm1 = 3 * theta2 - 1, 1 - theta2, 7 * theta2 - 1
 
         # long-period terms and Kepler's equation
         axn = em * np.cos(arg)
@@ -148,7 +166,7 @@ def propagate(inclination_deg, node_deg, eccentricity, perigee_deg, anomaly_deg,
         rr = r * (1 - 1.5 * h2 * b * x3thm1) + 0.5 * h1 * x1mth2 * cos2
         angle = angle - 0.25 * h2 * x7thm1 * sin2
         up = node + 1.5 * h2 * cosi * sin2
-        tilt = inc + 1.5 * h2 * cosi * sini * cos2
+        tilt = tilt0 + 1.5 * h2 * cosi * sini * cos2
         r_dot = r_dot - nm * h1 * x1mth2 * sin2 / XKE
         rv_dot = rv_dot + nm * h1 * (x1mth2 * cos2 + 1.5 * x3thm1) / XKE
         fail(rr < 1, "decayed")

@@ -33,30 +33,39 @@ def elements_of(tles: DataFrame, line1: str = "line1", line2: str = "line2") ->
     return tles.withColumns(fields)
 
 
-def propagate(states: DataFrame, minutes: str = "minutes", minimum_radius_km: float | None = K.EARTH_RADIUS_KM) -> DataFrame:
+def propagate(states: DataFrame, minutes: str = "minutes", minimum_radius_km: float | None = K.EARTH_RADIUS_KM, epoch: str = "epoch") -> DataFrame:
     """``states`` (the :data:`ELEMENTS` and minutes since epoch) with x, y, z, vx, vy, vz (km, km/s, TEME) and ``code``.
 
+    Periods of 225 minutes and more need the column ``epoch`` (a timestamp); without it or
+    where it is null they give ``deep_space``.
+
     Rows are vectorised batch by batch and never shuffled.  Null elements give ``not_finite``;
     positions inside the Earth (``minimum_radius_km``) give ``decayed``; rows with a code other
     than ``ok`` have null states.
     """
     out = ["x", "y", "z", "vx", "vy", "vz"]
     base = states.drop(*out, "code")
+    dated = epoch in base.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"{c} double" for c in out), "code string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             args = [batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (*ELEMENTS, minutes)]
-            position, velocity, code = sgp4.propagate(*args)
+            jd = None
+            if dated:
+                at = batch.column("__epoch_ms").cast(pa.float64()).to_numpy(zero_copy_only=False)
+                jd = at / K.MS_DAY + K.UNIX_EPOCH_JD
+            position, velocity, code = sgp4.propagate(*args, jd)
             if minimum_radius_km is not None:
                 low = (code == 0) & (np.sqrt((position**2).sum(1)) < minimum_radius_km)
                 code[low] = sgp4.CODES.index("decayed")
             bad = code != 0
             values = [pa.array(v, pa.float64(), mask=bad) for v in (*position.T, *velocity.T)]
             names = pa.array(np.array(sgp4.CODES)[code], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *values, names], [*batch.schema.names, *out, "code"])
+            kept = [n for n in batch.schema.names if n != "__epoch_ms"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *values, names], [*kept, *out, "code"])
 
-    return base.mapInArrow(run, schema)
+    return (base.withColumn("__epoch_ms", F.unix_micros(F.col(epoch).cast("timestamp")) / 1000.0) if dated else base).mapInArrow(run, schema)
 
 
 def on_grid(objects: DataFrame, start_min: float, end_min: float, step_min: float) -> DataFrame:
