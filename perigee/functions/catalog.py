@@ -172,13 +172,13 @@ def provider_token(value: Column | str) -> Column:
 def object_id(explicit: Column, norad: Column, cospar: Column, provider: Column, provider_object: Column) -> Column:
     """The first usable identity; null where an explicit one contradicts the catalog number."""
     given = F.lower(F.trim(explicit))
-    by_norad = F.concat(F.lit("obx:norad:"), F.lower(norad_id(norad)))
-    clash = given.startswith("obx:norad:") & by_norad.isNotNull() & (given != by_norad)
+    by_norad = F.concat(F.lit(K.NORAD_SCHEME), F.lower(norad_id(norad)))
+    clash = given.startswith(K.NORAD_SCHEME) & by_norad.isNotNull() & (given != by_norad)
     out = F.coalesce(
         F.when(F.length(given) > 0, given),
         by_norad,
-        F.concat(F.lit("obx:cospar:"), F.lower(designator(cospar))),
-        F.concat(F.lit("obx:provider:"), provider_token(provider), F.lit(":"), provider_token(provider_object)),
+        F.concat(F.lit(K.COSPAR_SCHEME), F.lower(designator(cospar))),
+        F.concat(F.lit(K.PROVIDER_SCHEME), provider_token(provider), F.lit(":"), provider_token(provider_object)),
     )
     return F.when(~F.coalesce(clash, F.lit(False)), out)
 

@@ -41,3 +41,11 @@ LIFECYCLE_SPELLINGS = {
     "RETIRED": ("RETIRED", "REMOVED"),
 }
 NO_DATA = "no data"
+
+# Prefixes of identities by scheme.
+ID_SCHEME = "obx:"
+NORAD_SCHEME, COSPAR_SCHEME, PROVIDER_SCHEME = ID_SCHEME + "norad:", ID_SCHEME + "cospar:", ID_SCHEME + "provider:"
+
+# Screening jobs.
+JOB_STATES = ("QUEUED", "RUNNING", "CANCEL_REQUESTED", "SUCCEEDED", "FAILED", "CANCELLED", "TIMED_OUT")
+TERMINAL_STATES = ("SUCCEEDED", "FAILED", "CANCELLED", "TIMED_OUT")
