@@ -79,7 +79,11 @@ def omm_kvn(texts: DataFrame) -> DataFrame:
     """One row per file: path, object_name, norad_id, cospar, epoch, the nine numbers, and issue (null when usable)."""
     pairs = _pairs(_lines(F.coalesce(F.col("text"), F.lit(""))))
     found = texts.select("path", pairs.alias("pairs")).withColumn("issue", _pair_issue(F.col("pairs")))
-    found = found.withColumn("m", F.when(F.col("issue").isNull(), F.map_from_entries("pairs")).otherwise(F.create_map().cast("map<string,string>")))
+    return omm_checked(found.withColumn("m", F.when(F.col("issue").isNull(), F.map_from_entries("pairs")).otherwise(F.create_map().cast("map<string,string>"))))
+
+
+def omm_checked(found: DataFrame, *kept: str) -> DataFrame:
+    """The same of fields already in a map ``m`` beside the issue they have so far; columns in ``kept`` are passed on."""
     v = lambda k: F.try_element_at("m", F.lit(k))
     is_ = lambda k, x: F.coalesce(F.upper(v(k)) == x, F.lit(False))
     number = {k: v(k).try_cast("double") for k in OMM_NUMBERS}
@@ -99,7 +103,7 @@ def omm_kvn(texts: DataFrame) -> DataFrame:
         .when(~need | ~F.coalesce(ranges, F.lit(False)), "NUMBER_INVALID")
     )
     return found.select(
-        "path", v("OBJECT_NAME").alias("object_name"), C.norad_id(v("NORAD_CAT_ID")).alias("norad_id"), C.designator(v("OBJECT_ID")).alias("cospar"), utc(v("EPOCH")).alias("epoch"), *[c.alias(k.lower()) for k, c in number.items()], issue.alias("issue")
+        "path", *kept, v("OBJECT_NAME").alias("object_name"), C.norad_id(v("NORAD_CAT_ID")).alias("norad_id"), C.designator(v("OBJECT_ID")).alias("cospar"), utc(v("EPOCH")).alias("epoch"), *[c.alias(k.lower()) for k, c in number.items()], issue.alias("issue")
     )
 
 
