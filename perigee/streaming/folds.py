@@ -22,6 +22,7 @@ class Fold:
     start: Callable[[], dict]
     step: Callable[[dict, dict], dict]
     outcome: str  # the outcome's columns, as a schema string
+    finish: Callable[[dict, dict], dict] | None = None  # state and the last row's outcome: that outcome once no more rows come
 
 
 def rate_limit(limit: int, window_s: float) -> Fold:
@@ -45,7 +46,8 @@ def rate_limit(limit: int, window_s: float) -> Fold:
 def coalesce_progress(step_fraction: float = 0.01, heartbeat_s: float = 5.0, early_stages: int = 16, cap: int = 512) -> Fold:
     """Which progress records of an attempt are persisted: first ones, new stages, steps and heartbeats.
 
-    Fractions never fall.  One record of the cap is reserved for a final flush.  Rows need t
+    Fractions never fall.  One record of the cap is reserved for a final flush: in a batch the
+    last record is persisted in any case; a stream never knows its last.  Rows need t
     (seconds), stage and fraction; outcomes are persisted and fraction_so_far.
     """
 
@@ -64,7 +66,7 @@ def coalesce_progress(step_fraction: float = 0.01, heartbeat_s: float = 5.0, ear
             state.update(kept=fraction, stage=stage, at=row["t"], n=state["n"] + 1)
         return {"persisted": out, "fraction_so_far": fraction}
 
-    return Fold(lambda: {"seen": 0.0, "kept": 0.0, "stage": None, "stages": [], "at": 0.0, "n": 0}, step, "persisted boolean, fraction_so_far double")
+    return Fold(lambda: {"seen": 0.0, "kept": 0.0, "stage": None, "stages": [], "at": 0.0, "n": 0}, step, "persisted boolean, fraction_so_far double", lambda state, out: out | {"persisted": out["persisted"] or state["n"] > 0})
 
 
 def _schema(rows: DataFrame, fold: Fold) -> str:
@@ -75,16 +77,26 @@ def folded(rows: DataFrame, key: str, order: list[str], fold: Fold) -> DataFrame
     """``rows`` with the fold's outcome, in a batch."""
     names = [x.split()[0] for x in fold.outcome.split(", ")]
 
+    def made(rows: list[dict], out: list[dict], like: pa.RecordBatch) -> pa.RecordBatch:
+        kinds = [pa.bool_() if "boolean" in kind else pa.float64() for kind in fold.outcome.split(", ")]
+        columns = [pa.array([r[n] for r in rows], f.type) for n, f in zip(like.schema.names, like.schema, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array([r[n] for r in out], k) for n, k in zip(names, kinds, strict=True))], [*like.schema.names, *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = object(), {}
+        now, state, held, like = object(), {}, None, None  # the last row waits until it is known whether its key goes on
         for batch in batches:
-            out = []
+            rows, out, like = [], [], batch
             for row in batch.to_pylist():
+                if held is not None:
+                    last, said = held
+                    rows.append(last), out.append(fold.finish(state, said) if fold.finish and row[key] != now else said)
                 if row[key] != now:
                     now, state = row[key], fold.start()
-                out.append(fold.step(state, row))
-            columns = [pa.array([r[n] for r in out], pa.bool_() if "boolean" in kind else pa.float64()) for n, kind in zip(names, fold.outcome.split(", "), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+                held = row, fold.step(state, row)
+            if rows:
+                yield made(rows, out, like)
+        if held is not None:
+            yield made([held[0]], [fold.finish(state, held[1]) if fold.finish else held[1]], like)
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, _schema(rows, fold))
 
