@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perigee.functions import catalog as C
 from perigee.functions import geometry as G
 
 #: Numeric slack added to every box.
@@ -151,7 +152,7 @@ def linear_events(found: DataFrame, slabs: DataFrame, cfg: Screening) -> DataFra
     near = found.where(F.col("distance_km") <= cfg.radius_km).join(slabs, "slab").join(F.broadcast(last))
     owned = near.where((F.col("fraction") < 1) | (F.col("slab") == F.col("last_slab")))
     tca = F.floor(F.col("start_ms") + F.col("fraction") * F.col("seconds") * 1000 + 0.5).cast("long")
-    return owned.select("slab", "a", "b", F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string")).alias("pair_key"), tca.alias("tca_ms"), F.col("distance_km").alias("miss_km"))
+    return owned.select("slab", "a", "b", C.pair_key(F.col("a").cast("string"), F.col("b").cast("string")).alias("pair_key"), tca.alias("tca_ms"), F.col("distance_km").alias("miss_km"))
 
 
 def dedup_events(events: DataFrame, tolerance_s: float, pair: str = "pair_key", tca: str = "tca_ms", miss: str = "miss_km", ident: str = "event_id", lo: str = "lo_ms", hi: str = "hi_ms") -> DataFrame:
