@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perigee.llm import bpe_transducer, decontaminate, language_id, near_dedup, suffix_dedup
-from perigee.llm._spark import written
+from perigee.llm._spark import apart, discard, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,17 +25,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of least id; of rows that share an id one stays."""
-    gone = written(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-copies")
-    left = docs.join(gone, "doc_id", "left_anti")
-    again = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    """One document of each group of near duplicates stays, the one of least id; of rows that share an id one stays.
+
+    Only texts of rows that go, or whose id occurs twice, take part in a join.
+    """
+    judged = written(near_dedup.near_duplicates(docs).select("doc_id", "kept"), "judged")
+    odd = judged.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("stays")).where("n > 1 or not stays")
+    odd = written(odd.select("doc_id", "stays", F.xxhash64("doc_id").alias("__h")), "odd")
+    may, plain = apart(docs.withColumn("__h", F.xxhash64(F.coalesce("doc_id", F.lit(0)))), odd, "__h")
+    may = may.join(odd.drop("__h"), "doc_id", "left").drop("__h")
+    once = may.where("stays").dropDuplicates(["doc_id"])
+    discard(judged)
+    return plain.select(*docs.columns).unionByName(may.where("stays is null").select(*docs.columns)).unionByName(once.select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of repeated 400-byte strings go and n_chars follows; a text left empty stays as an empty row."""
-    return suffix_dedup.remove_passages(docs)
+    """Bytes of repeated 256-byte strings, which a passage of 50 words holds, go and n_chars follows; a text left empty stays as an empty row."""
+    return suffix_dedup.remove_passages(docs, window=suffix_dedup.PASSAGE)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
