@@ -1,12 +1,14 @@
 """Main text of HTML pages by text-to-tag ratios.
 
 The standard library's parser is fed the page in chunks; its events are folded at once into
-lines (one per block element) with their text and tag counts.  The logarithm of each line's ratio
-of text to tags is smoothed with a Gaussian over its neighbours, and two-means sets the border
-between content and the rest.  Structure is a prior on the ratio: lines in elements that are never article
-text (menus, headers, footers, asides, forms, notices, adverts, comments) have ratio zero; where
-a page marks an article, lines inside it are raised and lines outside it lowered by a factor, so
-that a long story outside the mark is still found and bare links inside it need not stay.
+lines (one per block element) with their text and tag counts and the container they lie in.  The
+logarithm of each line's ratio of text to tags is smoothed with a Gaussian over its neighbours, and
+two-means sets the border between content and the rest.  The region is the innermost container
+that holds all content lines (descent ends at an element marked as the article).  Inside it a
+second clustering trims what is neither content nor between two lines of content.
+
+Structure corrects the ratios within bounds: lines in elements that are never article text
+(menus, headers, footers, asides, forms, notices, adverts, comments) have no say and no place.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 #: Lines on each side that the Gaussian reaches, and its deviation in lines.
 REACH, SIGMA = 2, 1.0
-#: Where a page marks its article: by how much ratios inside and outside it count more and less.
-INSIDE, OUTSIDE = 32.0, 2.0
+#: By how much ratios inside the region count more than the page's rest in the second clustering.
+INSIDE = 32.0
+#: Characters a tag below which a line neither begins nor ends the article, whatever its neighbours.
+LEAST = 1.0
+#: Share of the content's text that a container must hold for the region to lie within it.
+SHARE = 0.9
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title select option textarea button datalist".split())
@@ -32,6 +38,7 @@ _ASIDE = frozenset("nav footer aside form dialog menu".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+_CONTAINERS = frozenset("article blockquote div main section table td th".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: Words of class and id names that mark what is not the article.
 _WORDS = frozenset(
@@ -45,23 +52,27 @@ _FRAME = frozenset("html body article main".split())
 class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int]] = []  # tag, kind: 0 plain, 1 not article, 2 article, 3 silent
-        self.depth = [0, 0, 0, 0]
+        self.stack: list[tuple[str, int]] = []  # tag, kind: 0 plain, 1 not article, 2 article, 3 silent, 4 within a silent one
+        self.depth = [0, 0, 0, 0, 0]
         self.text: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, int]] = []  # text, tags, not article, container
+        self.parents, self.marks = [-1], [False]  # of containers; the first is the page
+        self.open = [0]
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
-        if text or self.tags:
-            self.lines.append((text, self.tags, self.depth[1] > 0, self.depth[2] > 0))
-        self.tags = 0
+        if text:  # tags of a line without text count for the next one
+            self.lines.append((text, self.tags, self.depth[1] > 0, self.open[-1]))
+            self.tags = 0
 
     def _pop(self) -> None:
         tag, kind = self.stack.pop()
         if tag in _BLOCK:
             self._flush()
+        if tag in _CONTAINERS and kind != 4:
+            self.open.pop()
         self.depth[kind] -= 1
 
     def _close(self, tags: frozenset[str] | set[str], until: frozenset[str]) -> None:
@@ -80,8 +91,8 @@ class _Lines(HTMLParser):
                 self.text.append("" if tag == "wbr" else " ")
             return
         if self.depth[3] and tag not in ("body",):
-            self.stack.append((tag, 0))
-            self.depth[0] += 1
+            self.stack.append((tag, 4))
+            self.depth[4] += 1
             return
         if tag == "body":
             self._close({"head"}, frozenset())
@@ -100,6 +111,10 @@ class _Lines(HTMLParser):
         self.stack.append((tag, kind))
         self.depth[kind] += 1
         self.tags += 1
+        if tag in _CONTAINERS:
+            self.parents.append(self.open[-1])
+            self.marks.append(kind == 2)
+            self.open.append(len(self.parents) - 1)
 
     @staticmethod
     def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -127,13 +142,38 @@ class _Lines(HTMLParser):
         if not self.depth[3]:
             self.text.append(data)
 
-    def finish(self) -> list[tuple[str, int, bool, bool]]:
+    def finish(self) -> list[tuple[str, int, bool, int]]:
         self.close()
         while self.stack:
             self._pop()
         self._flush()
         return self.lines
 
+    def region(self, weight: np.ndarray) -> int:
+        """The innermost container that holds :data:`SHARE` of the lines' weights, none of which lies around it."""
+        n = len(self.parents)
+        held = np.zeros(n)
+        np.add.at(held, [x[3] for x in self.lines], weight)
+        own = held > 0
+        for c in range(n - 1, 0, -1):  # a container comes after its parent
+            held[self.parents[c]] += held[c]
+        best = [-1] * n
+        for c in range(1, n):
+            p = self.parents[c]
+            if best[p] < 0 or held[c] > held[best[p]]:
+                best[p] = c
+        at = 0
+        while not self.marks[at] and not own[at] and best[at] >= 0 and held[best[at]] >= max(SHARE * held[at], 1e-9):
+            at = best[at]
+        return at
+
+    def inside(self, region: int) -> np.ndarray:
+        within = np.zeros(len(self.parents), bool)
+        within[region] = True
+        for c in range(region + 1, len(within)):
+            within[c] = within[self.parents[c]]
+        return within[[x[3] for x in self.lines]]
+
 
 def _threshold(x: np.ndarray) -> float:
     """The border of two-means on the values."""
@@ -150,6 +190,15 @@ def _threshold(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def smoothed(ratio: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The Gaussian mean of each line of ``part`` over its neighbours there; 0 elsewhere."""
+    weights = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2) if SIGMA else (np.arange(-REACH, REACH + 1) == 0).astype(float)
+    over = lambda x: np.convolve(np.pad(x, REACH), weights, "valid")
+    out = np.zeros(len(ratio))
+    out[part] = over(ratio * part)[part] / over(part.astype(float))[part]
+    return out
+
+
 def main_text(html: str) -> str:
     """The blocks of the article, white space within them folded, joined by blank lines."""
     parser = _Lines()
@@ -158,29 +207,23 @@ def main_text(html: str) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    banned = np.array([x[2] for x in lines])
-    marked = np.array([x[3] for x in lines]) & ~banned
-    has = np.array([bool(x[0]) for x in lines])
-    if not (has & ~banned).any():
+    live = np.array([not x[2] for x in lines])
+    if not live.any():
         return ""
-    ratio = np.log1p([len(x[0]) / max(1, x[1]) for x in lines])
-    weights = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
-    smooth = np.zeros(len(lines))
-    for part in (marked & has, ~marked & ~banned & has):  # neighbours of another part say nothing of a line
-        over = lambda x: np.convolve(np.pad(x, REACH), weights, "valid")
-        smooth[part] = over(ratio * part)[part] / over(part.astype(float))[part]
-    region = ~banned
-    if (marked & has).any():
-        smooth[has & ~banned] += np.where(marked, np.log(INSIDE), -np.log(OUTSIDE))[has & ~banned]
-        region = marked
+    size = np.array([len(x[0]) for x in lines], float)
+    ratio = np.log1p(size / np.maximum(1, [x[1] for x in lines]))
     # a line of tags alone joins the clusters, so that a page of text alone isn't parted
-    content = ~banned & has & (smooth >= _threshold(np.append(smooth[has], 0.0)))
-    kept = np.flatnonzero(content & region)
-    if len(kept):  # short lines between two kept ones of one region belong to it
-        between = np.zeros(len(lines), bool)
-        between[kept[0] : kept[-1] + 1] = True
-        content |= between & region
-    return "\n\n".join(lines[i][0] for i in np.flatnonzero(content & has))
+    border = lambda x: _threshold(np.append(x[live], 0.0))
+    smooth = smoothed(ratio, live)
+    where = parser.region(np.where(live & (smooth >= border(smooth)), size, 0.0))
+    region = parser.inside(where) & live
+    smooth = smoothed(ratio, region) + smoothed(ratio, live & ~region)  # neighbours of another part say nothing of a line
+    if where:
+        smooth[region] += np.log(INSIDE)
+    kept = np.flatnonzero(region & (smooth >= border(smooth)) & (ratio >= np.log1p(LEAST)))
+    if len(kept):  # lines between two kept ones belong to them
+        region[: kept[0]] = region[kept[-1] + 1 :] = False
+    return "\n\n".join(lines[i][0] for i in np.flatnonzero(region))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
