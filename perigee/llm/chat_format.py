@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 TURN, END = "<|turn|>", "<|end|>"
 TRAINED_ROLE = "assistant"
+#: Characters of examples that a task holds before it hands them on.
+BATCH_CHARS = 1 << 20
 EXAMPLES = "conv_id long, example long, n_turns long, text string, loss_start long, loss_end long, remainder boolean"
 
 
@@ -69,6 +71,7 @@ def expand(conversations: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = {"conv": None, "open": False}
         rows: list[tuple] = []
+        held = 0  # characters of examples not yet handed on
 
         def finish():
             if state["open"] and state["pending"]:
@@ -89,9 +92,10 @@ def expand(conversations: DataFrame) -> DataFrame:
                     state["parts"] = [whole]
                     rows.append((conv, state["example"], state["turns"], whole, state["chars"] - len(body), state["chars"] - len(END), False))
                     state["example"] += 1
-                if sum(len(r[3]) for r in rows[-1:]) > 1 << 20 or len(rows) >= 512:
+                    held += len(whole)
+                if held >= BATCH_CHARS or len(rows) >= 512:
                     yield _batch(rows)
-                    rows = []
+                    rows, held = [], 0
         finish()
         if rows:
             yield _batch(rows)
