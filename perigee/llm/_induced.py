@@ -19,18 +19,18 @@ import numpy as np
 _SENTINEL, _BREAK, _FIRST = 0, 1, 2  # symbols: end of shard, end of a piece, byte 0
 _SYMBOLS = 258
 _PAD = 511
-#: Bytes of tuples held in memory by the queues of one scan.
-QUEUE_BYTES = 96 << 20
+#: Bytes of tuples held in memory by the queues of one scan; a shard of 2 MiB has three times as many.
+QUEUE_BYTES = 4 << 20
 
 
 class _Queues:
     """A priority queue of (symbol; position, shared prefix), first in, first out for each symbol."""
 
-    def __init__(self, budget: int = QUEUE_BYTES):
+    def __init__(self, budget: int | None = None):
         self.mem: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(_SYMBOLS)]
         self.files: list = [None] * _SYMBOLS
         self.sizes: list[list[int]] = [[] for _ in range(_SYMBOLS)]
-        self.held, self.budget = 0, budget
+        self.held, self.budget = 0, budget or QUEUE_BYTES
 
     def push(self, symbol: int, pos: np.ndarray, lcp: np.ndarray) -> None:
         self.mem[symbol].append((pos, lcp))

@@ -5,10 +5,12 @@ windows with one anchor form pieces.  Equal windows have equal anchors, so
 
 - an anchor that occurs once has no repeated window,
 - an anchor whose pieces are all equal has only repeated windows,
-- the pieces of other anchors ("mixed": the ends of repeats) are settled window by window.
+- the pieces of other anchors ("mixed": the ends of repeats, and texts that go on with a short
+  period) are settled window by window.
 
 Nothing per window is shuffled before that.  Map tasks add up equal pieces first; anchors pass
-through filters of fixed size and then an exact join.  Rows are named by a hash of id and text,
+through filters of bounded size and then an exact join.  Pieces count as equal where both their
+anchors' hashes and the BLAKE2b digests of their contents agree.  Rows are named by a hash of id and text,
 so rows that repeat in full share their name and their result.
 """
 
@@ -23,17 +25,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigee.llm import _seq as S
-from perigee.llm._spark import Filter, written
+from perigee.llm._spark import Filter, discard, written
 
 
 @dataclass(frozen=True)
 class Unit:
-    """How texts are cut: window and k-mer length, the symbols of a block, what of a piece is kept to settle it."""
+    """How texts are cut: window and k-mer length, the symbols of a block, digests of pieces, what of a piece is kept to settle it."""
 
     width: int
     k: int
-    symbols: Callable[[S.Block], tuple[np.ndarray, np.ndarray, object]]  # prefix hashes, rows' firsts, context
-    payload: Callable[[object, np.ndarray, int, int], bytes]  # context, prefix hashes, lo, hi
+    symbols: Callable[[S.Block], tuple[np.ndarray, np.ndarray, object]]  # symbols' hashes, rows' firsts, context
+    quick: Callable[[object, np.ndarray, np.ndarray], np.ndarray]  # context, lo, hi; tells unequal pieces of an anchor
+    content: Callable[[object, np.ndarray, np.ndarray], np.ndarray]  # the same; stands for what a piece holds
+    payload: Callable[[object, int, int], bytes]  # context, lo, hi
+    ends: Callable[[object, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None  # context, lo, hi
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,8 +48,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _group(anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First index and count of each distinct (anchor, content)."""
-    _, first, count = np.unique(S.mix(anchor) ^ content, return_index=True, return_counts=True)
-    return first, count
+    order = np.lexsort((content, anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order)))
 
 
 def repeated_anchors(rows: DataFrame, unit: Unit) -> DataFrame:
@@ -52,47 +60,56 @@ def repeated_anchors(rows: DataFrame, unit: Unit) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [unit_pieces(block, unit)[0] for block in S.blocks(batch.column("text"))]
+            got = []
+            for block in S.blocks(batch.column("text")):
+                p, _, context = unit_pieces(block, unit)
+                got.append((p.anchor, unit.quick(context, p.lo, p.hi), p.places))
             if not got:
                 continue
-            anchor, content = (np.concatenate([getattr(p, n) for p in got]) for n in ("anchor", "content"))
+            anchor, content, places = (np.concatenate(x) for x in zip(*got, strict=True))
             first, count = _group(anchor, content)
-            yield pa.RecordBatch.from_arrays([pa.array(S.signed(anchor[first])), pa.array(S.signed(content[first])), pa.array(count.astype(np.int32))], ["anchor", "content", "n"])
+            columns = [S.signed(anchor[first]), content[first], (count * places[first]).astype(np.int32), places[first].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "content", "n", "places"])
 
-    counted = rows.select("text").mapInArrow(run, "anchor long, content long, n int")
-    grouped = counted.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-    return grouped.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+    counted = rows.select("text").mapInArrow(run, "anchor long, content long, n int, places int")
+    grouped = counted.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("places").alias("places"))
+    return grouped.where("n > 1").select("anchor", ((F.col("lo") != F.col("hi")) | (F.col("places") > 1)).alias("mixed"))
 
 
-def unit_pieces(block: S.Block, unit: Unit) -> tuple[S.Pieces, np.ndarray, np.ndarray, object]:
-    pre, first, context = unit.symbols(block)
-    return S.pieces(pre, first, unit.width, unit.k), pre, first, context
+def unit_pieces(block: S.Block, unit: Unit) -> tuple[S.Pieces, np.ndarray, object]:
+    symbols, first, context = unit.symbols(block)
+    return S.pieces(symbols, first, unit.width, unit.k), first, context
 
 
-_PLACED = "key long, lo int, hi int, anchor long, content long"
+_PLACED = "key long, lo int, hi int, anchor long, content long, tail long, head long"
 
 
 def placed_pieces(rows: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
-    """(key, lo, hi, anchor, content, mixed) of the pieces with repeated anchors; lo and hi count in their text."""
+    """(key, lo, hi, anchor, content, tail, head, mixed) of the pieces with repeated anchors; lo and hi count in their text.
+
+    tail and head are what the unit says of a piece's ends, else null.
+    """
     filt = rows.sparkSession.sparkContext.broadcast(Filter.of(anchors, "anchor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_numpy()
             for block in S.blocks(batch.column("text")):
-                p, _, first, _ = unit_pieces(block, unit)
-                some = filt.value.has(p.anchor)
+                p, first, context = unit_pieces(block, unit)
+                some = np.flatnonzero(filt.value.has(p.anchor))
                 row = p.row[some]
                 base = first[row]
+                ends = [pa.array(x) for x in unit.ends(context, p.lo[some], p.hi[some])] if unit.ends else [pa.nulls(len(some), pa.int64())] * 2
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys[block.first + row]),
                         pa.array((p.lo[some] - base).astype(np.int32)),
                         pa.array((p.hi[some] - base).astype(np.int32)),
                         pa.array(S.signed(p.anchor[some])),
-                        pa.array(S.signed(p.content[some])),
+                        pa.array(unit.content(context, p.lo[some], p.hi[some])),
+                        *ends,
                     ],
-                    ["key", "lo", "hi", "anchor", "content"],
+                    ["key", "lo", "hi", "anchor", "content", "tail", "head"],
                 )
 
     return rows.select("key", "text").mapInArrow(run, _PLACED).join(anchors, "anchor")
@@ -107,21 +124,21 @@ def mixed_contents(rows: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame
         for batch in batches:
             seen: dict[tuple[int, int], list] = {}
             for block in S.blocks(batch.column("text")):
-                p, pre, _, context = unit_pieces(block, unit)
+                p, _, context = unit_pieces(block, unit)
                 some = np.flatnonzero(filt.value.has(p.anchor))
                 if not len(some):
                     continue
-                first, count = _group(p.anchor[some], p.content[some])
-                for i, n in zip(some[first].tolist(), count.tolist(), strict=True):
-                    at = (int(p.anchor[i]), int(p.content[i]))
-                    if at in seen:
-                        seen[at][0] += n
+                anchor, content = S.signed(p.anchor[some]), unit.content(context, p.lo[some], p.hi[some])
+                first, count = _group(anchor, content)
+                for a, c, i, n in zip(anchor[first].tolist(), content[first].tolist(), some[first].tolist(), count.tolist(), strict=True):
+                    if (a, c) in seen:
+                        seen[a, c][0] += n
                     else:
-                        seen[at] = [n, unit.payload(context, pre, int(p.lo[i]), int(p.hi[i]))]
+                        seen[a, c] = [n, unit.payload(context, int(p.lo[i]), int(p.hi[i]))]
             if seen:
-                keys = np.array(list(seen), np.uint64)
+                keys = np.array(list(seen), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(S.signed(keys[:, 0].copy())), pa.array(S.signed(keys[:, 1].copy())), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.binary())],
+                    [pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.binary())],
                     ["anchor", "content", "n", "payload"],
                 )
 
@@ -144,16 +161,16 @@ def ranges_of(sorted_: Column) -> Column:
 def removal_spans(placed: DataFrame, settled: DataFrame, width: int) -> DataFrame:
     """(key, spans): what to remove, in symbols of the text, sorted and disjoint.
 
-    ``settled`` has (content, ranges) for mixed pieces: which of their windows, counted from the
-    piece's first, are repeated; contents without any are absent.
+    ``settled`` has (anchor, content, ranges) for mixed pieces: which of their windows, counted
+    from the piece's first, are repeated; contents without any are absent.
     """
     whole = placed.where("not mixed").select("key", F.col("lo"), (F.col("hi") + F.lit(width)).alias("hi"))
-    part = placed.where("mixed").select("key", "lo", "content").join(settled, "content").select("key", "lo", F.explode("ranges").alias("r"))
+    part = placed.where("mixed").select("key", "lo", "anchor", "content").join(settled, ["anchor", "content"]).select("key", "lo", F.explode("ranges").alias("r"))
     part = part.select("key", (F.col("lo") + F.col("r.lo")).alias("lo"), (F.col("lo") + F.col("r.hi") + F.lit(width)).alias("hi"))
-    return _merged(whole.unionByName(part))
+    return merged(whole.unionByName(part))
 
 
-def _merged(spans: DataFrame) -> DataFrame:
+def merged(spans: DataFrame) -> DataFrame:
     """Touching and overlapping (lo, hi) of each key become one; streamed, so a text with very many is no burden."""
     dealt = spans.repartition("key").sortWithinPartitions("key", "lo", "hi")
 
@@ -185,11 +202,9 @@ def _merged(spans: DataFrame) -> DataFrame:
 
 
 def repeat_spans(rows: DataFrame, unit: Unit, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(key, spans) of all windows of ``rows`` that start at two places at least."""
+    """(key, spans), written, of all windows of ``rows`` (key, text) that start at two places at least."""
     anchors = written(repeated_anchors(rows, unit), "anchors")
     settled = written(settle(mixed_contents(rows, anchors, unit)), "settled")
-    return written(removal_spans(placed_pieces(rows, anchors, unit), settled, unit.width), "spans")
-
-
-def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    return rows.join(spans, "key", "left")
+    spans = written(removal_spans(placed_pieces(rows, anchors, unit), settled, unit.width), "spans")
+    discard(anchors, settled)
+    return spans

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -112,3 +112,25 @@ def apart(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, Dat
     passes = Filter.of(keys, column).passes(rows.sparkSession, F.col(column))
     flagged = rows.withColumn("__may", passes)
     return flagged.where("__may").drop("__may"), flagged.where("not __may").drop("__may")
+
+
+def mapped_apart(rows: DataFrame, found: DataFrame, column: str, value: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, on: list[str] | None = None) -> DataFrame:
+    """``run`` in ``mapInArrow`` over ``rows`` left-joined with ``found`` (the key and ``value``).
+
+    Rows that surely have no match get a null ``value`` within the same pass and are not
+    shuffled; a task has one Python worker either way.
+    """
+    filt = Filter.of(found, column)
+    sent = rows.sparkSession.sparkContext.broadcast(filt)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def some() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(pa.array(~sent.value.has(batch.column(column).to_numpy())))
+                if batch.num_rows:
+                    yield batch.append_column(value, pa.nulls(batch.num_rows))
+
+        return run(some())
+
+    may = rows.where(filt.passes(rows.sparkSession, F.col(column))).join(found, on or column, "left")
+    return may.select(*rows.columns, value).mapInArrow(run, schema).unionByName(rows.mapInArrow(rest, schema))
