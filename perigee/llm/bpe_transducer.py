@@ -4,11 +4,10 @@ The merge list decides how far a token's right edge can feel what follows: a mer
 pre-empted by an earlier merge of b with its right neighbour, that one by a still earlier merge
 of the neighbour, and so on with falling ranks.  :func:`lookahead` bounds that chain in bytes.
 
-A text is read in chunks.  Pre-tokens whose end can no longer move are emitted at once; a
-pre-token longer than the chunk (a run without a break) goes through :class:`_Run`, which keeps,
-for each byte of a sliding window, the last token of the prefix that ends there, and emits the
-part on which all continuations agree.  So memory does not grow with the text.  Short
-pre-tokens are looked up in a bounded table of those met before.
+A text is read in chunks and parted into pre-tokens.  Every pre-token goes through :class:`_Run`,
+which keeps, for each byte of a sliding window, the last token of the prefix that ends there, and
+emits the part on which all continuations agree.  A run without a break is fed as it comes, so
+memory does not grow with the text; what a short pre-token gave is kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -25,8 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Code points read at once, the longest pre-token that is handled as one string, entries of the table.
-CHUNK, LONGEST, MEMO = 1 << 16, 256, 1 << 18
+#: Code points read at once, the longest pre-token that is fed at once, entries of the table.
+CHUNK, LONGEST, MEMO = 1 << 16, 256, 1 << 17
 _WS = r"\t-\r \x85\xa0  -     　"
 _KINDS = (("L", r"\p{L}"), ("N", r"\p{N}"), ("O", rf"[^{_WS}\p{{L}}\p{{N}}]"), ("S", rf"[{_WS}]"))
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -58,24 +57,30 @@ class Merges:
         self.bytes_of = {v: k for k, v in self.ids.items()} | {v: k.encode() for k, v in self.special.items()}
         self.longest = max(map(len, self.ids))
         self.single = [self.ids.get(bytes([b]), -1) for b in range(256)]
-
-    def encode_short(self, data: bytes) -> list[int]:
-        """Ids of one short pre-token, merging the least rank first, leftmost of equals."""
-        parts = [self.single[b] for b in data]
-        rank, made, none = self.rank, self.made, len(self.made)
-        ranks = [rank.get(x, none) for x in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            new = parts[i] = made[best]
-            del parts[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = rank.get((parts[i - 1], new), none)
-            if i < len(ranks):
-                ranks[i] = rank.get((new, parts[i + 1]), none)
-        return parts
+        self.halves = {made: (a, b, i) for ((a, b), i), made in zip(self.rank.items(), self.made, strict=True)}
+        self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens that stand at a token's edge (0 left, 1 right) while it is made, each with the rank that ends it."""
+        if (token, side) not in self.spines:
+            out, until = [(token, len(self.made))], token
+            while until in self.halves:
+                rank, until = self.halves[until][2], self.halves[until][side]
+                out.append((until, rank))
+            self.spines[token, side] = out
+        return self.spines[token, side]
+
+    def stand(self, a: int, b: int) -> bool:
+        """Whether two tokens stay two side by side: no merge of what is at their border comes first.
+
+        Of merges of equal rank the leftmost goes first.
+        """
+        for x, ends in self.spine(a, 1):
+            for y, closes in self.spine(b, 0):
+                r = self.rank.get((x, y))
+                if r is not None and r < ends and r <= closes:
+                    return False
+        return True
 
 
 @lru_cache(2)
@@ -83,6 +88,12 @@ def load(path: str) -> Merges:
     return Merges(path)
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One per process: tasks that follow each other in a worker go on with its tables."""
+    return Encoder(path)
+
+
 def lookahead(merges: Merges) -> int:
     """Bytes after a token that can still change it: the longest chain of pre-empting merges."""
     right: dict[int, list[int]] = {}  # the tokens along the right edge of a token's derivation
@@ -106,11 +117,29 @@ class _Run:
         self.fits: dict[tuple[int, int], bool] = {}
 
     def _pair(self, a: int, b: int) -> bool:
-        if (a, b) not in self.fits:
-            if len(self.fits) > MEMO:
+        out = self.fits.get((a, b))
+        if out is None:
+            if len(self.fits) >= MEMO // 2:
                 self.fits.clear()
-            self.fits[a, b] = self.m.encode_short(self.m.bytes_of[a] + self.m.bytes_of[b]) == [a, b]
-        return self.fits[a, b]
+            out = self.fits[a, b] = self.m.stand(a, b)
+        return out
+
+    def whole(self, data: bytes) -> list[int]:
+        """Ids of a pre-token that is there in full: the last token of each prefix in turn, then back from the end."""
+        get, pair, last, n = self.m.ids.get, self._pair, [], len(data)
+        for end in range(1, n + 1):
+            for start in range(max(0, end - self.m.longest), end):
+                t = get(data[start:end])
+                if t is not None and (not start or pair(last[start - 1], t)):
+                    last.append(t)
+                    break
+            else:
+                raise ValueError("a byte sequence has no tokens")
+        out = []
+        while n:
+            out.append(last[n - 1])
+            n -= len(self.m.bytes_of[out[-1]])
+        return out[::-1]
 
     def _path(self, end: int) -> list[tuple[int, int]]:
         """(end, token) back from the prefix of that length."""
@@ -162,6 +191,7 @@ class Encoder:
     def __init__(self, path: str):
         self.m = load(path)
         self.ahead = lookahead(self.m)
+        self.run = _Run(self.m, self.ahead)  # its table of token pairs serves all short pre-tokens
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.m.special, key=len, reverse=True))) if self.m.special else None
         self.hold = max((len(x) for x in self.m.special), default=1) - 1
         outer = self
@@ -175,7 +205,7 @@ class Encoder:
                     self.clear()
                 out = self.older.get(word)
                 if out is None:
-                    out = np.asarray(outer.m.encode_short(word.encode()), "<u4").tobytes()
+                    out = np.asarray(outer.run.whole(word.encode()), "<u4").tobytes()
                 if len(word) <= 64:
                     self[word] = out
                 return out
@@ -300,7 +330,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     kept = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(tokenizer), Decoder(tokenizer)
+        to_ids, decoder = encoder(tokenizer), Decoder(tokenizer)
         for batch in batches:
             rows = []
             for text in batch.column("text"):
@@ -309,7 +339,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
                 def passed():
                     nonlocal n
-                    for piece in encoder.encode(chunks(text)):  # noqa: B023
+                    for piece in to_ids.encode(chunks(text)):  # noqa: B023
                         n += len(piece) // 4
                         digest.update(piece)  # noqa: B023
                         if ids:
