@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from perigee.llm import bpe_transducer, chat_format, components, decontaminate, html_extract, language_id, near_dedup, quality_rules, substring_dedup, suffix_dedup, token_counts
 from perigee.llm import _induced, _seq
+from perigee.llm.bpe_transducer import _SPLIT
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -104,6 +105,39 @@ def test_language_edges(spark, empty):
     assert {r.lang_pred for r in language_id.predict(rows, {}).collect()} == {"und"}
 
 
+def test_language_choice_by_brute_force(spark):
+    """Sizes added up one coder and one block at a time; ties, repeats, a long text, junk of letters."""
+    import zstandard as z
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where(~language_id.held_out())
+    learned = language_id.fit(rows)
+    sample = [(r.doc_id, r.text) for r in rows.orderBy("doc_id").limit(30).collect()]
+    junk = random.Random(5)
+    odd = [(-1, " ".join("".join(junk.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(200))), (-2, "zq"), (-3, " ".join(x or "" for _, x in sample) * 4), sample[0], sample[0]]
+    table = spark.createDataFrame(sample + odd, "doc_id long, text string")
+
+    def size(data, content, shortest):
+        how = z.ZstdCompressionParameters(strategy=z.STRATEGY_LAZY2 if shortest > 3 else z.STRATEGY_BTOPT, min_match=shortest, window_log=18, search_log=4, hash_log=17, chain_log=17, target_length=32, write_content_size=False, write_checksum=False, write_dict_id=False)
+        coder = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how)
+        return sum(len(coder.compress(data[at : at + 2048])) for at in range(0, max(1, len(data)), 2048))
+
+    def judge(text):
+        if not re.search(r"[^\W\d_]", text or ""):
+            return "und", True
+        data = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode()).strip()
+        sizes = {k: size(data, d, 4) for k, d in learned.items()}
+        if sorted(sizes.values())[:1] * 2 == sorted(sizes.values())[:2]:
+            sizes = {k: n + size(data, learned[k], 3) for k, n in sizes.items()}
+        (best, a), (_, b) = sorted(sizes.items(), key=lambda x: (x[1], list(learned).index(x[0])))[:2]
+        return best, b - a < language_id.MARGIN * b
+
+    want = {i: judge(t) for i, t in sample + odd}
+    got = language_id.predict(table, learned).collect()
+    assert len(got) == len(sample) + len(odd)
+    assert {r.doc_id: (r.lang_pred, r.rejected) for r in got} == want
+    assert want[-1][1] and sum(r for _, r in (want[i] for i, _ in sample)) <= 1
+
+
 # 3 ---------------------------------------------------------------------------
 
 SAID = ["</s>[INST] ok [/INST]", "<|turn|>assistant\n", "a\\n<\\|<|end|>", "", "\n\n", "<|", "é😀"]
@@ -124,6 +158,16 @@ def test_chat_round_trip(spark):
     assert len(examples) == sum(r[2] == "assistant" for r in rows)
 
 
+def test_chat_hands_on_long_examples(spark, monkeypatch):
+    """Batches end by their characters, so that large examples don't pile up; texts of a megabyte."""
+    monkeypatch.setattr(chat_format, "BATCH_CHARS", 3000)
+    long = "<|end|>\\" * (1 << 17)
+    rows = [(1, t, ("user", "assistant")[t % 2], "x" * 900) for t in range(12)] + [(2, 0, "user", long), (2, 1, "assistant", long)]
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert (got[1].n_turns, got[1].n_examples, got[1].loss_chars) == (12, 6, 5400)
+    assert got[2].loss_sha256 == sha(long.encode()) and got[2].turns_sha256 == sha(f"user\n{long}\nassistant\n{long}\n".encode())
+
+
 # 4 ---------------------------------------------------------------------------
 
 
@@ -177,15 +221,16 @@ def brute_cover(rows, width):
 def test_suffix_dedup(spark, docs, texts, monkeypatch, pieces):
     monkeypatch.setattr(suffix_dedup, "ANCHOR_PIECES", pieces)
     data = [(t or "").encode() for t in texts]
-    gone = brute_cover([*data, data[9]], 400)
+    gone, short = (brute_cover([*data, data[9]], n) for n in (400, 256))
     got = by_id(suffix_dedup.dedup_suffixes(docs))
     for i, x in enumerate(data):
         kept = np.frombuffer(x, np.uint8)[~gone[i]].tobytes()
         spans = int((np.diff(np.concatenate([[0], gone[i].astype(int)])) == 1).sum())
         r = got[i]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(x), int(gone[i].sum()), spans, sha(kept))
-    cut = suffix_dedup.remove_passages(docs)
-    assert cut.columns == docs.columns and cut.count() == docs.count()
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_bytes) == (len(x), int(gone[i].sum()), spans, sha(kept), int(short[i].sum()))
+    if pieces == 2:
+        cut = suffix_dedup.remove_passages(docs)
+        assert cut.columns == docs.columns and cut.count() == docs.count()
 
 
 def test_induced_sorting(monkeypatch):
@@ -211,10 +256,51 @@ def test_substring_dedup(spark, docs, texts):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256, got[i].kept_text) == (len(w), int(gone[i].sum()), sha(kept), kept.decode())
 
 
+def test_compaction(spark):
+    """Links only where one path ends and one begins; cycles close; a loop on one node stands alone."""
+    edges = [(1, 10, 11), (2, 11, 12), (3, 12, 13), (4, 12, 14), (5, 13, 15), (6, 20, 21), (7, 21, 22), (9, 22, 20), (8, 30, 30)] + [(100 + i, 1000 + i, 1001 + i) for i in range(50)]
+    got = {r.path: r.unitig for r in substring_dedup.compacted(spark.createDataFrame(edges, "path long, tail long, head long")).collect()}
+    assert got == {2: 1, 5: 3, 6: 6, 7: 6, 9: 6} | {100 + i: 100 for i in range(1, 50)}
+
+
+def test_substring_paths(spark):
+    """A passage in three documents is one compacted path, and one that branches is three."""
+    p, q, tail = prose(100, 81), prose(90, 82), prose(80, 83)
+    rows = [(1, prose(40, 84) + " " + p), (2, p + " " + prose(40, 85)), (3, p), (4, q + " " + tail), (5, q + " " + tail), (6, q + " " + prose(60, 86)), (7, q + " " + prose(60, 86))]
+    got = by_id(substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i].n_paths for i in (1, 2, 3)] == [1, 1, 1] and [got[i].n_removed for i in (1, 2, 3)] == [100, 100, 100]
+    assert [got[i].n_paths for i in (4, 5, 6, 7)] == [2, 2, 2, 2]
+
+
+def test_long_texts(spark):
+    """Texts of a megabyte go whole through the operators, as brute force or the owning library says."""
+    from tokenizers import Tokenizer
+
+    one = prose(170_000, 31)
+    half = one[: len(one) // 2]
+    rows = spark.createDataFrame([(1, one), (2, half), (3, "é" * 500_000), (4, prose(200, 32))], "doc_id long, text string").withColumn("source", F.lit("s")).repartition(2)
+    data = {1: one.encode(), 2: half.encode(), 3: "é".encode() * 500_000, 4: prose(200, 32).encode()}
+    assert len(data[1]) > 1 << 20
+    s5, s7, s10 = by_id(suffix_dedup.dedup_suffixes(rows, texts=False)), by_id(substring_dedup.dedup_substrings(rows)), by_id(near_dedup.near_duplicates(rows))
+    assert [s5[i].n_removed for i in (1, 2, 3, 4)] == [len(half), len(half), 1_000_000, 0]
+    n = len(half.split())
+    assert s7[4].n_removed == 0 and n - 1 <= s7[2].n_removed <= n and s7[1].n_removed == s7[2].n_removed
+    assert [s10[i].component_id for i in (1, 2, 3, 4)] == [1, 2, 3, 4] and s10[3].n_shingles == 1
+    q = by_id(quality_rules.quality(rows))
+    assert q[1].n_words == 170_000 and q[3].n_words == 1 and q[3].word_chars == 500_000
+    words = token_counts.count_tokens(rows.where("doc_id <> 3"), public_tokenizers.path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert by_id(words)[2].n_tokens == len(library.encode(half, add_special_tokens=False).ids)
+    bench = spark.createDataFrame([(1, " ".join(one.split()[140_000:140_020]))], "item_id long, text string")
+    hits = by_id(decontaminate.match(rows, bench))
+    assert hits[1]["__n_words"] == 170_000 and [(h.lo, h.hi) for h in hits[1]["__hits"]] == [(140_000, 140_020)]
+    bytes_ = by_id(bpe_transducer.encode(rows.where("doc_id <> 2"), public_tokenizers.path("byte_bpe_50k.json"), ids=False))
+    assert bytes_[1].decoded_sha256 == sha(data[1]) and bytes_[3].decoded_sha256 == sha(data[3])
+
+
 def test_empty_tables(empty):
-    for f in (suffix_dedup.dedup_suffixes, substring_dedup.dedup_substrings, near_dedup.near_duplicates, quality_rules.quality):
+    for f in (suffix_dedup.dedup_suffixes, substring_dedup.dedup_substrings, quality_rules.quality):
         assert f(empty).count() == 0
-    assert suffix_dedup.remove_passages(empty).count() == 0
     assert bpe_transducer.encode(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
@@ -225,14 +311,17 @@ def test_quality_rules(spark):
     footer = "Click here to Subscribe now"
     rows = [(i, "h" if i % 2 else None, "\n".join([prose(12, i), "  click  here to subscribe NOW ", footer])) for i in range(40)]
     rows += [(50, "h", footer), (51, "h", footer + "\n" + footer + "\n" + prose(3, 1)), (52, "h", None), (53, "h", ""), (54, "other", footer + " " + footer), (55, "h", "a b # $ |\na b # $ |\n" + prose(12, 2)), (55, "h", prose(30, 3))]
-    table = spark.createDataFrame([(i, t, s) for i, s, t in rows], "doc_id long, text string, source string").withColumn("host", F.lit("clash"))
-    got = sorted(quality_rules.quality(table).collect(), key=lambda r: (r.doc_id, r.n_words))
     holds: dict = {}
+    rows += [(i, "h", t) for i, s, t in rows[:3]] * 4  # documents of several rows count once
+    rows += [(None, "h", "no id\n" + prose(12, 9))] * 12  # rows without an id count each
+    table = spark.createDataFrame([(i, t, s) for i, s, t in rows], "doc_id long, text string, source string").withColumn("host", F.lit("clash"))
+    got = sorted(quality_rules.quality(table).collect(), key=lambda r: (-9 if r.doc_id is None else r.doc_id, r.n_words, r.kept))
     normal = lambda line: " ".join(re.sub("[A-Z]", lambda m: m.group().lower(), line).split())
-    for _, s, t in rows:
+    for k, (i, s, t) in enumerate(rows):
         for line in {normal(x) for x in (t or "").split("\n")} - {""}:
-            holds[s, line] = holds.get((s, line), 0) + 1
-    size = Counter(s for _, s, _ in rows)
+            holds.setdefault((s, line), set()).add(("row", k) if i is None else i)
+    holds = {k: len(v) for k, v in holds.items()}
+    size = Counter(s for s, _ in {(s, ("row", k) if i is None else i) for k, (i, s, _) in enumerate(rows)})
     want = []
     for i, s, t in rows:
         w, lines = (t or "").split(), [x for x in (t or "").split("\n") if x.split()]
@@ -241,7 +330,7 @@ def test_quality_rules(spark):
         removed = sum(len(x.split()) for x in lines if holds[s, normal(x)] > max(10, 0.01 * size[s]))
         failed = len(w) < 10 or 100 * len(repeated) > 20 * len(w)
         want.append((i, len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t or ""), len(lines) - len(set(lines)), len(repeated), removed, failed, not failed and len(w) - removed >= 0.5 * len(w)))
-    assert [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.removed_words, r.base_failed, r.kept) for r in got] == sorted(want, key=lambda r: r[:2])
+    assert [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.removed_words, r.base_failed, r.kept) for r in got] == sorted(want, key=lambda r: (-9 if r[0] is None else r[0], r[1], r[-1]))
 
 
 def test_quality_cuts_frequent_lines(spark):
@@ -280,6 +369,17 @@ def test_bpe(spark, docs, texts, monkeypatch, chunk):
         want = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(b"".join(pieces), "<u4").tolist() == want, t[:50]
         assert "".join(decoder.decode(pieces)) == library.decode(want, skip_special_tokens=False) == t
+    m = encoder.m
+    pairs = random.Random(8)
+    some = sorted(m.bytes_of)
+    for a, b in [(pairs.choice(some[:5000]), pairs.choice(some[:5000])) for _ in range(3000)]:
+        joint = m.bytes_of[a] + m.bytes_of[b]
+        try:
+            one = _SPLIT.findall(joint.decode()) == [joint.decode()]
+        except UnicodeDecodeError:
+            one = False
+        if one and not {a, b} & set(m.special.values()):
+            assert m.stand(a, b) == (library.encode(joint.decode(), add_special_tokens=False).ids == [a, b])
     if chunk > 7:
         got = by_id(bpe_transducer.encode(docs, path))
         assert all(got[i].n_tokens == len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts))
@@ -328,6 +428,76 @@ def test_html_ratios_decide_within_the_mark():
     assert got == f"{prose(60, 1)}\n\n{prose(60, 2)}"
 
 
+def test_html_smoothing_decides(monkeypatch):
+    """A long line among links is no content, a short one among paragraphs is: both by their neighbours."""
+    links = "".join(f"<li><a href={i}>go</a></li>" for i in range(6))
+    story = [*(prose(50, i) for i in range(3)), "Yes.", *(prose(50, i) for i in range(3, 6))]
+    page = f"<body><div><ul>{links}</ul><p>{prose(60, 90)}</p><ul>{links}</ul></div><div>{''.join(f'<p>{x}</p>' for x in story)}</div></body>"
+    assert html_extract.main_text(page) == "\n\n".join(story)
+    monkeypatch.setattr(html_extract, "SIGMA", 0)
+    assert html_extract.main_text(page) != "\n\n".join(story)
+
+
+def test_html_by_brute_force(spark):
+    """Ratios, Gaussian, two-means, region and trimming spelled out line by line over whole pages."""
+    import math
+
+    def border(x):
+        low, high = min(x), max(x)
+        for _ in range(32):
+            under, over = [v for v in x if v <= (low + high) / 2], [v for v in x if v > (low + high) / 2]
+            if not under or not over or (math.fsum(under) / len(under), math.fsum(over) / len(over)) == (low, high):
+                break
+            low, high = math.fsum(under) / len(under), math.fsum(over) / len(over)
+        return (low + high) / 2
+
+    def smooth(ratio, part):
+        g = {d: math.exp(-d * d / 2) for d in range(-2, 3)}
+        near = lambda i: [d for d in g if 0 <= i + d < len(ratio) and part[i + d]]
+        return [sum(g[d] * ratio[i + d] for d in near(i)) / sum(g[d] for d in near(i)) if part[i] else 0.0 for i in range(len(ratio))]
+
+    def brute(html):
+        p = html_extract._Lines()
+        p.feed(html)
+        lines = p.finish()
+        live = [bool(t) and not gone for t, _, gone, _ in lines]
+        if not any(live):
+            return ""
+        ratio = [math.log1p(len(t) / max(1, tags)) for t, tags, _, _ in lines]
+        s = smooth(ratio, live)
+        b = border([v for v, ok in zip(s, live) if ok] + [0.0])
+        chain = lambda c: [c] + chain(p.parents[c]) if c >= 0 else []
+        heavy = [(len(t), chain(c)) for (t, _, _, c), v, ok in zip(lines, s, live) if ok and v >= b]
+        at = 0
+        while not p.marks[at] and not any(c[0] == at for _, c in heavy):
+            held = {k: sum(n for n, c in heavy if k in c) for k in range(len(p.parents)) if p.parents[k] == at}
+            if not held or max(held.values()) < max(0.9 * sum(n for n, c in heavy if at in c), 1e-9):
+                break
+            at = max(held, key=lambda k: (held[k], -k))
+        region = [ok and at in chain(c) for ok, (_, _, _, c) in zip(live, lines)]
+        inner, outer = smooth(ratio, region), smooth(ratio, [a and not r for a, r in zip(live, region)])
+        s = [x + y + (math.log(32) if at and r else 0) for x, y, r in zip(inner, outer, region)]
+        b = border([v for v, ok in zip(s, live) if ok] + [0.0])
+        good = [i for i, r in enumerate(region) if r and s[i] >= b and len(lines[i][0]) >= lines[i][1]]
+        lo, hi = (good[0], good[-1]) if good else (0, len(lines))
+        return "\n\n".join(lines[i][0] for i, r in enumerate(region) if r and lo <= i <= hi)
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    rows = pages.collect()
+    assert len(rows) == len(got) and all(got[r.page_id] == brute(r.html or "") for r in rows)
+    bare = [re.sub(r"</?(article|main)[^>]*>", lambda m: "</div>" if m.group()[1] == "/" else "<div>", r.html or "") for r in rows]
+    assert all(html_extract.main_text(x) == brute(x) for x in bare)
+    assert sum(html_extract.main_text(x) == got[r.page_id] for x, r in zip(bare, rows)) > 0.9 * len(rows)  # the region is found without its mark
+
+
+def test_html_long_page():
+    """Far beyond the parser's chunk: a megabyte in one block and ten thousand blocks."""
+    assert html_extract.main_text(f"<article><p>{'word ' * 250_000}</p></article>") == ("word " * 250_000).strip()
+    many = [f"Paragraph {i} says as much as the others" for i in range(10_000)]
+    assert html_extract.main_text("<nav><a href=/>x</a></nav><div>" + "".join(f"<p>{x}" for x in many) + "</div>") == "\n\n".join(many)
+
+
 def test_html_uneven_paragraphs():
     body = [*["x" * 150] * 4, "y" * 8000, *["x" * 150] * 4]
     assert html_extract.main_text("<body>" + "".join(f"<p>{x}</p>" for x in body) + "</body>") == "\n\n".join(body)
@@ -352,9 +522,31 @@ def test_near_dedup(spark, docs, texts):
 
 
 def test_near_dedup_ids(spark):
+    """Null ids, rows of one id, and near copies of either text of an id, whichever row comes first."""
+    a, b = prose(300, 71), prose(300, 72)
     rows = [(None, prose(20, 1)), (None, prose(20, 1)), (5, prose(20, 1)), (4, prose(20, 1)), (4, prose(20, 2)), (9, prose(20, 2)), (9, prose(20, 2))]
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == 7 and {(r.doc_id, r.component_id) for r in got} == {(None, None), (5, 4), (4, 4), (9, 4)}
+    rows += [(54, a), (54, b), (59, a + " one two"), (61, b + " one two"), (70, prose(300, 73))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 12 and {(r.doc_id, r.component_id) for r in got} == {(None, None), (5, 4), (4, 4), (9, 4), (54, 54), (59, 54), (61, 54), (70, 70)}
+
+
+def test_near_dedup_large_group(spark):
+    """Many edits of one text, about as far from each other as the limit: as brute force."""
+    base, rows = prose(150, 74).split(), []
+    for i in range(120):
+        r, w = random.Random(i), list(base)
+        for _ in range(4):
+            w[r.randrange(len(w))] = r.choice(VOCABULARY)
+        rows.append((1000 - i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(146)} for i, t in rows}
+    label = {i: i for i in sets}
+    while True:
+        new = {i: min(label[j] for j in sets if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])) for i in sets}
+        if new == label:
+            break
+        label = new
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table).collect()} == label
 
 
 def test_components(spark):
@@ -367,20 +559,53 @@ def test_components(spark):
 # pipeline --------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark, docs, tmp_path):
+def test_pipeline(spark, tmp_path):
+    """Every stage by value, over ids that are null or occur twice, and over an empty table."""
     import corpus_pipeline
 
     stages = dict(corpus_pipeline.STAGES)
-    assert len(stages) == 5
-    kept = stages["MinHash near-dedup"](spark, docs, SF)
-    assert kept.columns == docs.columns and kept.count() == len({r.component_id for r in near_dedup.near_duplicates(docs).collect()})
-    assert stages["language ID"](spark, docs, SF).columns == docs.columns
-    out = corpus_pipeline.run(spark, SF)
-    assert out.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() < 200
+    assert [*stages] == ["language ID", "MinHash near-dedup", "suffix-array dedup", "benchmark decontamination", "BPE encoding and decoding"]
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [r.text for r in table.where("lang = 'en'").orderBy("doc_id").limit(12).collect() if len(r.text) > 900]
+    passage, item = " ".join(some[0].split()[:60]), " ".join(some[1].split()[:40])
+    texts = [(1, some[2]), (2, some[2] + " and so on"), (3, some[3] + " " + passage), (4, passage + "\n" + some[4]), (5, item), (None, some[5]), (7, some[6]), (7, some[6]), (-8, None), (-9, "123")]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in texts], DOCS)
+    docs.unionByName(table.select(docs.columns)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    every = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    named = stages["language ID"](spark, every, str(tmp_path))
+    left = {r.doc_id for r in named.select("doc_id").collect()}
+    assert {1, 2, 3, 4, 5, 7, None} <= left and not {-8, -9} & left
+    docs = named.where("doc_id is null or doc_id < 10 and lang = 'en' and source is null")
+    once = stages["MinHash near-dedup"](spark, docs, str(tmp_path))
+    assert once.columns == docs.columns and sorted(str(r.doc_id) for r in once.collect()) == ["1", "3", "4", "5", "7", "None"]
+    cut = stages["suffix-array dedup"](spark, once, str(tmp_path))
+    got = by_id(cut)
+    assert got[1].text == some[2] and got[3].text.startswith(some[3]) and passage[20:-20] not in got[3].text and got[4].text.endswith(some[4])
+    assert got[3].n_chars == len(got[3].text) and len(got) == 6
+    clean = stages["benchmark decontamination"](spark, cut, str(tmp_path))
+    assert set(by_id(clean)) == {1, 3, 4, 7, None}
+    coded = by_id(stages["BPE encoding and decoding"](spark, clean, str(tmp_path)))
+    assert all(coded[i].decoded_sha256 == sha(got[i].text.encode()) for i in coded) and set(coded) == {1, 3, 4, 7, None}
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_span_hash_is_by_content():
-    x = np.arange(50, dtype=np.uint64) % np.uint64(7)
-    pre = _seq.prefix(x)
-    h = _seq.span_hash(pre, np.array([0, 7, 14, 1]), np.array([5, 12, 19, 6]))
+    x = _seq.mix(np.arange(50, dtype=np.uint64) % np.uint64(7))
+    h = _seq.span_hash(x, np.array([0, 7, 14, 1]), np.array([5, 12, 19, 6]))
     assert h[0] == h[1] == h[2] != h[3]
+    assert len(set(_seq.span_hash(x, np.zeros(20, np.int64), np.arange(20)).tolist())) == 20
+    assert _seq.kmer_hash(x, 7)[0] == _seq.kmer_hash(x, 7)[7] and _seq.kmer_hash(x, 1)[3] == _seq.kmer_hash(x, 1)[10]
+
+
+def test_thue_morse_texts_differ():
+    """Texts on which polynomial hashes modulo a power of two agree, whatever the base."""
+    for n in (1024, 2048, 4096):
+        t = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        swapped = t.translate(str.maketrans("ab", "ba"))
+        data = np.frombuffer((t + swapped).encode(), np.uint8)
+        h = _seq.span_hash(_seq.byte_symbols(data), np.array([0, n]), np.array([n, 2 * n]))
+        k = _seq.kmer_hash(_seq.byte_symbols(data), n)
+        assert h[0] != h[1] and k[0] != k[n]
