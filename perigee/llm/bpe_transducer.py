@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points read at once, the longest pre-token that is fed at once, entries of the table.
-CHUNK, LONGEST, MEMO = 1 << 16, 256, 1 << 17
+CHUNK, LONGEST, MEMO = 1 << 16, 256, 1 << 18
 _WS = r"\t-\r \x85\xa0  -     　"
 _KINDS = (("L", r"\p{L}"), ("N", r"\p{N}"), ("O", rf"[^{_WS}\p{{L}}\p{{N}}]"), ("S", rf"[{_WS}]"))
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -88,12 +88,6 @@ def load(path: str) -> Merges:
     return Merges(path)
 
 
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    """One per process: tasks that follow each other in a worker go on with its tables."""
-    return Encoder(path)
-
-
 def lookahead(merges: Merges) -> int:
     """Bytes after a token that can still change it: the longest chain of pre-empting merges."""
     right: dict[int, list[int]] = {}  # the tokens along the right edge of a token's derivation
@@ -119,7 +113,7 @@ class _Run:
     def _pair(self, a: int, b: int) -> bool:
         out = self.fits.get((a, b))
         if out is None:
-            if len(self.fits) >= MEMO // 2:
+            if len(self.fits) >= MEMO // 4:
                 self.fits.clear()
             out = self.fits[a, b] = self.m.stand(a, b)
         return out
@@ -330,7 +324,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     kept = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, decoder = encoder(tokenizer), Decoder(tokenizer)
+        to_ids, decoder = Encoder(tokenizer), Decoder(tokenizer)
         for batch in batches:
             rows = []
             for text in batch.column("text"):
