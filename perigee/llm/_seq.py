@@ -14,6 +14,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once by the numpy kernels (a longer text forms a block of its own).
@@ -111,6 +112,35 @@ def blocks(column: pa.Array | pa.ChunkedArray, most: int = BLOCK_BYTES) -> Itera
         i = j
 
 
+def shards(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.Table]:
+    """The rows of a task in runs of about ``most`` bytes of ``text``; a row is never cut."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64))
+        i = 0
+        while i < batch.num_rows:
+            before = int(total[i - 1]) if i else 0
+            j = min(batch.num_rows, int(np.searchsorted(total, before + most - size, "left")) + 1)
+            held.append(batch.slice(i, j - i))
+            size += int(total[j - 1]) - before
+            i = j
+            if size >= most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """data[start:end] of many ranges as an Arrow string column."""
+    size = (end - start).astype(np.int64)
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    at = np.arange(int(offsets[-1])) + np.repeat(start - offsets[:-1], size)
+    return pa.Array.from_buffers(pa.large_utf8(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
