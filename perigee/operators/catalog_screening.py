@@ -4,13 +4,19 @@ Objects times the grid's borders are propagated in Arrow batches; neighbouring b
 slabs; slabs whose states obey the motion bound meet in the spatial hash of
 :mod:`perigee.operators.screening`, its chord filter leaves candidates, and these are refined with
 SGP4 itself.  Nothing is limited silently: counters say what was lost or cut at every step.
+
+What a slab's join would cost is counted before it runs.  A run with limits stops at the first
+slab that exceeds one; slabs before it are whole, its envelope says PARTIAL with the reason, and
+its pairs and those of later slabs count as unscreened.  Counters of the join itself are observed
+in the pass that writes the candidates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from perigee.functions import catalog as C
@@ -19,7 +25,7 @@ from perigee.functions import geometry as G
 from perigee.functions import identity as I
 from perigee.operators import catalog as OC
 from perigee.operators import propagation, refinement, screening
-from perigee.operators.rounds import materialised
+from perigee.operators.rounds import discard, materialised
 
 #: Difference of two accelerations on circular orbits at the Earth's surface: no pair in orbit exceeds it.
 LARGEST_ACCELERATION = 2 * K.SCREENING_MU_KM3_S2 / K.EARTH_RADIUS_KM**2
@@ -39,9 +45,16 @@ class Run:
     max_results: int = 1000
     max_errors: int = 100
     request_id: str = ""
+    #: Of a pair; one object may use half of it.
+    max_acceleration_km_s2: float = LARGEST_ACCELERATION
+    #: What a slab may cost; None for no limit.  The usual limits of one process are 2,000,000, 5,000,000, 250,000 and 10,000.
+    max_memberships_per_slab: int | None = None
+    max_pair_checks_per_slab: int | None = None
+    max_candidates: int | None = None
+    max_events: int | None = None
 
     def limits(self) -> screening.Screening:
-        return screening.Screening(radius_km=self.radius_km, cell_km=self.cell_km, max_acceleration_km_s2=LARGEST_ACCELERATION, max_results=self.max_results)
+        return screening.Screening(radius_km=self.radius_km, cell_km=self.cell_km, max_acceleration_km_s2=self.max_acceleration_km_s2, max_results=self.max_results)
 
     def borders(self) -> list[int]:
         inner = range(self.start_ms, self.end_ms, int(self.step_s * 1000))
@@ -82,7 +95,7 @@ def _refined(candidates: DataFrame, objects: DataFrame, run: Run) -> DataFrame:
     """Candidates (slab, a, b, start_ms, end_ms) refined with SGP4; rows with a null tca_ms are incomplete."""
     e = objects.select("object_id", F.struct(F.col("object_id").alias("id"), F.unix_millis(F.col("epoch").cast("timestamp")).cast("double").alias("epoch_ms"), *propagation.ELEMENTS).alias("e"))
     paired = candidates.join(e.select(F.col("object_id").alias("a"), F.col("e").alias("ea")), "a").join(e.select(F.col("object_id").alias("b"), F.col("e").alias("eb")), "b")
-    asked = paired.select("start_ms", "end_ms", F.lit(run.start_ms).cast("long").alias("screen_start_ms"), F.lit(run.end_ms).cast("long").alias("screen_end_ms"), (F.col("end_ms") == run.end_ms).alias("last"), F.col("ea").alias("a"), F.col("eb").alias("b"))
+    asked = paired.select("slab", "start_ms", "end_ms", F.lit(run.start_ms).cast("long").alias("screen_start_ms"), F.lit(run.end_ms).cast("long").alias("screen_end_ms"), (F.col("end_ms") == run.end_ms).alias("last"), F.col("ea").alias("a"), F.col("eb").alias("b"))
     return refinement.refine(asked, refinement.Refinement(radius_km=run.radius_km, tolerance_s=run.tolerance_s), refinement.elements)
 
 
@@ -95,60 +108,162 @@ def _events(refined: DataFrame, run: Run) -> DataFrame:
     return once.join(flags, "event_id")
 
 
-def _finish(objects: DataFrame, found: DataFrame, moving: DataFrame, sane: DataFrame, boxes: DataFrame | None, candidates: DataFrame, refined: DataFrame, run: Run, pairs: Column) -> dict[str, DataFrame]:
-    events = materialised(_events(refined, run))
+_STOPS = (("memberships", "max_memberships_per_slab", "MAX_CELL_MEMBERSHIPS_PER_SLAB_EXCEEDED"), ("spatial_pair_checks", "max_pair_checks_per_slab", "MAX_SPATIAL_PAIR_CHECKS_PER_SLAB_EXCEEDED"))
+
+
+def slab_envelopes(load: DataFrame, run: Run) -> DataFrame:
+    """``load`` (a row a slab, :func:`screening.slab_load`) up to the first slab over a limit, with ``reason``."""
+    reason = F.lit(None).cast("string")
+    for column, limit, name in reversed(_STOPS):
+        if (most := getattr(run, limit)) is not None:
+            reason = F.when(F.col(column) > most, name).otherwise(reason)
+    told = load.withColumn("reason", reason)
+    stop = told.where("reason is not null").agg(F.min("slab").alias("stop"))  # one row
+    return told.crossJoin(F.broadcast(stop)).where("stop is null or slab <= stop").drop("stop")
+
+
+def _running_stop(rows: DataFrame, most: int | None, slab: str = "slab") -> int | None:
+    """The first slab with which the running number of ``rows`` exceeds ``most``; the window sees one row a slab."""
+    if most is None:
+        return None
+    total = F.sum("count").over(Window.orderBy(slab).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.groupBy(slab).count().withColumn("total", total).where(F.col("total") > most).agg(F.min(slab)).first()[0]
+
+
+def broad_phase(sane: DataFrame, run: Run) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(candidates, envelopes, counted) of slab states: what :func:`screening.candidates` finds in the slabs that the limits admit.
+
+    Candidates: slab, a, b, fraction, distance_km, start_ms, end_ms.  Envelopes: a row a slab up
+    to the one that the run stops at, with its load, ``reason`` and ``candidates``.  Counted:
+    canonical_pair_checks and aabb_candidates of the admitted slabs.  No states give no rows.
+    """
+    cfg = run.limits()
+    envelopes = materialised(slab_envelopes(screening.slab_load(sane, cfg), run))
+    admitted = envelopes.where("reason is null").select("slab")
+    seen = Observation()
+    bounds = sane.select("slab", "start_ms", "end_ms").distinct()
+    some = admitted.limit(1).count() > 0  # an empty plan is never run, and nothing would be observed
+    near = screening.candidates(sane.join(admitted, "slab", "left_semi"), cfg, seen if some else None)
+    found = materialised(near)
+    counted = dict(seen.get) if some else {"canonical_pair_checks": 0, "aabb_candidates": 0}
+    stop = _running_stop(found, run.max_candidates)
+    per = found.groupBy("slab").agg(F.count("*").alias("candidates"))
+    told = envelopes.join(per, "slab", "left").fillna(0, ["candidates"])
+    if stop is not None:
+        told = told.where(F.col("slab") <= stop).withColumn("reason", F.when(F.col("slab") == stop, "MAX_CANDIDATE_INTERVALS_EXCEEDED").otherwise(F.col("reason")))
+        found = found.where(F.col("slab") < stop)
+    return materialised(found.join(bounds, "slab").select("slab", "a", "b", "fraction", "distance_km", "start_ms", "end_ms")), materialised(told), counted
+
+
+def _finish(objects: DataFrame, found: DataFrame, moving: DataFrame, sane: DataFrame, envelopes: DataFrame | None, counted: dict[str, int], candidates: DataFrame, refined: DataFrame, run: Run, pairs: Column) -> dict[str, DataFrame]:
+    whole = envelopes is not None
+    event_stop = _running_stop(refined.where("tca_ms is not null"), run.max_events) if whole else None
+    usable = refined if event_stop is None else refined.where(F.col("slab") < event_stop)
+    events = materialised(_events(usable, run))
     failed = found.where("code <> 'ok'").select("object_id", "t_ms", "code")
     n_slabs = len(run.borders()) - 1
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     one = lambda df, **c: df.agg(*[v.alias(k) for k, v in c.items()])
     parts = [
-        one(objects, catalog_objects=F.count("*"), duplicate_catalog_objects_skipped=F.coalesce(F.sum("skipped"), F.lit(0))),
+        one(objects, catalog_records=zero(F.sum(F.col("skipped") + 1)), catalog_objects=F.count("*"), duplicate_catalog_objects_skipped=zero(F.sum("skipped"))),
         one(found, object_state_attempts=F.count("*"), propagation_failures=F.count_if(F.col("code") != "ok")),
-        one(moving, slabs_with_states=F.count("*")),
-        one(sane, slabs_screened=F.count("*")),
+        one(moving.groupBy("slab").count(), slabs_with_states=zero(F.sum("count")), pair_intervals_with_valid_endpoints=zero(F.sum(F.expr("count * (count - 1) div 2") if whole else F.col("count") - 1))),
         one(candidates, coarse_candidates=F.count("*")),
-        one(refined, incomplete_refinements=F.count_if(F.col("tca_ms").isNull()), events_refined=F.count_if(F.col("tca_ms").isNotNull())),
+        one(usable, incomplete_refinements=F.count_if(F.col("tca_ms").isNull()), events_refined=F.count_if(F.col("tca_ms").isNotNull())),
         one(events, events_detected=F.count("*"), not_converged=F.count_if(~F.col("converged"))),
     ]
-    if boxes is not None:
-        parts.append(one(boxes, aabb_candidates=F.count("*")))
-    for name, rows in (("pair_intervals_with_valid_endpoints", moving), ("pair_intervals_screened", sane)):
-        each = rows.groupBy("slab").agg(F.count("*").alias("n"))
-        parts.append(one(each, **{name: F.coalesce(F.sum(pairs), F.lit(0)).cast("long")}))
+    eligible = sane.groupBy("slab").agg(F.count("*").alias("n"))
+    if whole:
+        broken = usable.where("tca_ms is null").groupBy("slab").agg(F.count("*").alias("incomplete"))
+        n_objects = objects.agg(F.count("*").alias("catalog_objects"))
+        told = envelopes.join(broken, "slab", "left").crossJoin(F.broadcast(n_objects))  # one row
+        reason = F.coalesce(
+            "reason",
+            F.when(F.col("slab") == F.lit(event_stop).cast("long"), "MAX_DETECTED_EVENTS_EXCEEDED"),
+            F.when(F.col("objects") < F.col("catalog_objects"), "INCOMPLETE_ENDPOINT_COVERAGE"),
+            F.when(F.col("incomplete") > 0, "INCOMPLETE_REFINEMENT_COVERAGE"),
+        )
+        ran = F.col("resource_limit").isNull() | (F.col("resource_limit") == "MAX_DETECTED_EVENTS_EXCEEDED")
+        told = told.withColumn("reason", reason).withColumn("resource_limit", F.when(F.col("reason").startswith("MAX_"), F.col("reason")))
+        told = told.where((F.col("slab") <= F.lit(event_stop).cast("long")) if event_stop is not None else F.lit(True))
+        between = F.expr("objects * (objects - 1) div 2")
+        partitions = materialised(told.select(
+            F.format_string("%s:slab:%06d", F.lit(run.request_id), "slab").alias("partition_id"), "slab",
+            F.lit(run.start_ms).cast("long").alias("screen_start_ms"), F.when(F.col("reason").isNull(), "COMPLETED").otherwise("PARTIAL").alias("status"), "reason", "resource_limit",
+            "objects", "memberships", "spatial_cells",
+            (F.when(F.col("resource_limit") == _STOPS[1][2], F.lit(run.max_pair_checks_per_slab)).when(F.col("resource_limit") == _STOPS[0][2], 0).otherwise(F.col("spatial_pair_checks"))).cast("long").alias("spatial_pair_checks"),
+            F.when(ran, F.col("candidates")).otherwise(0).cast("long").alias("candidates"),
+            F.when(ran, between).otherwise(0).cast("long").alias("pair_intervals_screened"),
+            (F.expr("catalog_objects * (catalog_objects - 1) div 2") - F.when(ran, between).otherwise(0)).cast("long").alias("pair_intervals_unscreened"),
+        ))
+        counted_cells = F.coalesce(F.col("resource_limit"), F.lit("")) != _STOPS[0][2]
+        parts.append(one(
+            partitions, slabs_screened=zero(F.sum("objects")), broad_phase_slabs_completed=F.count_if(F.col("resource_limit").isNull() | (F.col("resource_limit") == "MAX_DETECTED_EVENTS_EXCEEDED")),
+            candidate_partitions_completed=F.count_if(F.col("status") == "COMPLETED"), candidate_partitions_partial=F.count_if(F.col("status") == "PARTIAL"),
+            spatial_cells=zero(F.sum(F.when(counted_cells, F.col("spatial_cells")))), spatial_cell_memberships=zero(F.sum(F.when(counted_cells, F.col("memberships")))),
+            spatial_pair_checks=zero(F.sum("spatial_pair_checks")), candidates_persisted=zero(F.sum("candidates")), pair_intervals_screened=zero(F.sum("pair_intervals_screened")),
+            resource_limit_reason=F.max("resource_limit"), endpoints_partial=F.count_if(F.col("reason") == "INCOMPLETE_ENDPOINT_COVERAGE"),
+        ))
+    else:
+        parts.append(one(eligible, slabs_screened=zero(F.sum("n")), pair_intervals_screened=zero(F.sum(pairs)), resource_limit_reason=F.lit(None).cast("string")))
+    parts.append(one(eligible, slabs_sane=zero(F.sum("n"))))
     st = parts[0]
     for p in parts[1:]:  # one row each
         st = st.crossJoin(p)
-    total = (F.expr("catalog_objects * (catalog_objects - 1) div 2") if boxes is not None else F.col("catalog_objects") - 1) * n_slabs
-    st = st.withColumn("time_slabs", F.lit(n_slabs)).withColumn("pair_intervals_total", total).withColumn("pair_intervals_unscreened", total - F.col("pair_intervals_screened"))
-    st = st.withColumn("motion_bound_violations", F.col("slabs_with_states") - F.col("slabs_screened"))
+    st = st.withColumns({k: F.lit(v).cast("long") for k, v in counted.items()})
+    possible = F.expr("catalog_objects * (catalog_objects - 1) div 2") if whole else F.greatest(F.col("catalog_objects") - 1, F.lit(0).cast("long"))
+    st = st.withColumn("catalog_pairs", possible).withColumn("time_slabs", F.lit(n_slabs)).withColumn("pair_intervals_total", possible * n_slabs)
+    st = st.withColumn("pair_intervals_unscreened", F.greatest(F.lit(0).cast("long"), F.col("pair_intervals_total") - F.col("pair_intervals_screened")))
+    st = st.withColumn("motion_bound_violations", F.col("slabs_with_states") - F.col("slabs_sane")).drop("slabs_sane")
     st = st.withColumn("events_reported", F.least("events_detected", F.lit(run.max_results))).withColumn("events_truncated", F.col("events_detected") - F.col("events_reported"))
-    st = st.withColumn("truncated_error_count", F.greatest(F.col("propagation_failures") - run.max_errors, F.lit(0)))
+    st = st.withColumn("truncated_error_count", F.greatest(F.col("propagation_failures") + F.col("motion_bound_violations") - run.max_errors, F.lit(0)))
+    limited = F.col("resource_limit_reason").isNotNull()
     st = st.withColumn("quality_flags", C.flag_set(
+        ACCELERATION_BOUND_COARSE_SCREEN=F.lit(True), COLLISION_PROBABILITY_UNAVAILABLE=F.lit(True), TLE_SGP4_SCREENING_ONLY=F.lit(True), FULL_CATALOG_SNAPSHOT_SCREEN=F.lit(whole), PERSISTABLE_CANDIDATE_PARTITIONS=F.lit(whole),
         INCOMPLETE_PROPAGATION_COVERAGE=F.col("propagation_failures") > 0, RESULT_LIMIT_APPLIED=F.col("events_truncated") > 0, REFINEMENT_NOT_CONVERGED=F.col("not_converged") > 0,
-        INCOMPLETE_REFINEMENT_COVERAGE=F.col("incomplete_refinements") > 0, DUPLICATE_CATALOG_OBJECTS_SKIPPED=F.col("duplicate_catalog_objects_skipped") > 0, MOTION_BOUND_VIOLATED=F.col("motion_bound_violations") > 0,
+        INCOMPLETE_REFINEMENT_COVERAGE=(F.col("incomplete_refinements") > 0) | (F.col("resource_limit_reason") == "MAX_DETECTED_EVENTS_EXCEEDED"), DUPLICATE_CATALOG_OBJECTS_SKIPPED=F.col("duplicate_catalog_objects_skipped") > 0,
+        KINEMATIC_BOUND_VIOLATION=F.col("motion_bound_violations") > 0, INCOMPLETE_PAIR_INTERVAL_COVERAGE=F.col("pair_intervals_unscreened") > 0, RESOURCE_LIMIT_APPLIED=limited,
+        INCOMPLETE_BROAD_PHASE_COVERAGE=limited & (F.col("resource_limit_reason") != "MAX_DETECTED_EVENTS_EXCEEDED"),
     ))
-    partial = (F.col("propagation_failures") > 0) | (F.col("incomplete_refinements") > 0) | (F.col("motion_bound_violations") > 0)
-    st = st.withColumn("status", F.when(partial, "PARTIAL").otherwise("COMPLETED"))
+    partial = (F.col("propagation_failures") > 0) | (F.col("incomplete_refinements") > 0) | (F.col("pair_intervals_unscreened") > 0) | limited
+    st = materialised(st.withColumn("status", F.when(partial, "PARTIAL").otherwise("COMPLETED")))
     order = ["tca_ms", "pair_key", "event_id"]
-    return {"events": events, "reported": events.orderBy(*order).limit(run.max_results), "errors": failed.orderBy("object_id", "t_ms", "code").limit(run.max_errors), "statistics": st}
+    out = {"events": events, "reported": events.orderBy(*order).limit(run.max_results), "errors": materialised(_errors(failed, moving, sane, run)), "statistics": st}
+    return out | ({"partitions": partitions} if whole else {})
+
+
+def _errors(failed: DataFrame, moving: DataFrame, sane: DataFrame, run: Run) -> DataFrame:
+    """The first errors by object, time and code: states that failed, and intervals that break the motion bound."""
+    broken = moving.join(sane.select("slab", "id"), ["slab", "id"], "left_anti").select(F.col("id").alias("object_id"), F.col("end_ms").alias("t_ms"), F.lit("KINEMATIC_BOUND_VIOLATION").alias("code"))
+    return failed.unionByName(broken).orderBy("object_id", "t_ms", "code").limit(run.max_errors)
 
 
 def screen_catalog(catalog: DataFrame, run: Run) -> dict[str, DataFrame]:
-    """events (all), reported (the first by time), errors (the first) and statistics (one row) of every pair of a catalog.
+    """events (all), reported (the first by time), errors (the first), partitions (a row a slab) and statistics (one row) of every pair of a catalog.
 
     ``catalog``: object_id (text), element_set_id, epoch and the seven elements.  Fewer than two
     objects give no events; null elements and failed propagations are errors and make the run PARTIAL.
     """
-    cfg = run.limits()
     objects = materialised(unique_objects(catalog))
     found = materialised(states(objects, run))
+    out = screen_states(objects, found, run, lambda candidates: _refined(candidates, objects, run))
+    discard(objects, found)
+    return out
+
+
+def screen_states(objects: DataFrame, found: DataFrame, run: Run, refined: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """:func:`screen_catalog` from states at the grid's borders (``found``, as :func:`states` gives it) and any motion between them.
+
+    ``objects`` has a row an object with ``skipped``; ``refined`` takes candidates (slab, a, b,
+    start_ms, end_ms) to what :func:`refinement.refine` gives, with ``slab`` passed on.
+    """
     moving = slabs(found)
-    sane = materialised(screening.sane(moving, LARGEST_ACCELERATION))
-    boxes = screening.box_pairs(sane, cfg)
-    near = screening.candidates(sane, cfg)
-    bounds = sane.select("slab", "start_ms", "end_ms").distinct()
-    candidates = materialised(near.join(bounds, "slab").select("slab", "a", "b", "start_ms", "end_ms"))
-    refined = materialised(_refined(candidates, objects, run))
-    return _finish(objects, found, moving, sane, boxes, candidates, refined, run, F.expr("n * (n - 1) div 2"))
+    sane = materialised(screening.sane(moving, run.max_acceleration_km_s2 / 2))
+    candidates, envelopes, counted = broad_phase(sane, run)
+    close = materialised(refined(candidates))
+    out = _finish(objects, found, moving, sane, envelopes, counted, candidates, close, run, F.expr("n * (n - 1) div 2"))
+    discard(sane, close, envelopes)
+    return out | {"candidates": candidates}
 
 
 def against_primary(sane: DataFrame, primary: str, cfg: screening.Screening) -> DataFrame:
@@ -170,13 +285,10 @@ def screen_object(catalog: DataFrame, primary: str, run: Run) -> dict[str, DataF
     objects = materialised(unique_objects(catalog))
     found = materialised(states(objects, run))
     moving = slabs(found)
-    sane = materialised(screening.sane(moving, LARGEST_ACCELERATION))
+    sane = materialised(screening.sane(moving, run.max_acceleration_km_s2 / 2))
     bounds = sane.select("slab", "start_ms", "end_ms").distinct()
     candidates = materialised(against_primary(sane, primary, cfg).join(bounds, "slab").select("slab", "a", "b", "start_ms", "end_ms"))
     refined = materialised(_refined(candidates, objects, run))
-    return _finish(objects, found, moving, sane, None, candidates, refined, run, F.col("n") - 1)
-
-
-def relative_speed(position: G.Vector, velocity: G.Vector) -> Column:
-    """Closing speed (km/s) of a relative state; negative while two objects part."""
-    return -G.dot(position, velocity) / G.norm(position)
+    out = _finish(objects, found, moving, sane, None, {}, candidates, refined, run, F.col("n") - 1)
+    discard(objects, found, sane, refined)
+    return out

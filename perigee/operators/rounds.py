@@ -21,4 +21,14 @@ def materialised(df: DataFrame) -> DataFrame:
         base = _local.setdefault("base", tempfile.mkdtemp(prefix="perigee-"))
     path = f"{base.rstrip('/')}/perigee/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._round = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`materialised` that nothing reads any more."""
+    for t in tables:
+        jvm, session = t.sparkSession._jvm, t.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(t._round)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)

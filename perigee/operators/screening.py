@@ -2,11 +2,14 @@
 
 Per slab of the time grid each object has a start and an end state.  Its swept box, widened by
 half of the pair's curvature and radius allowance, is exploded into grid cells; objects meet in
-equi-joins on (slab, cell), and a pair counts only in its owner cell, the greatest of the two
-boxes' least cells by axis, so no ``distinct`` is needed.  Cells bound the join: cost follows
-local density and not the square of the catalog, and adaptive execution splits dense cells.
-An object whose box covers too many cells takes cells of twice the edge, and twice again, until it
-doesn't; two objects meet at the coarser level of both, so none is left out.
+equi-joins on (slab, level, cell), and a pair counts only in its owner cell, the greatest of the
+two boxes' least cells by axis, so no ``distinct`` is needed.  Cost follows local density and not
+the square of the catalog.
+
+Cells form a tree of edges that double.  An object whose box covers too many cells takes a coarser
+level, until it doesn't; where a cell's population, counted first, is high, its objects take cells
+of about their own size.  Two objects meet at the coarser level of both, so none is left out, and a
+dense cell's objects meet one another only where their boxes are near.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from perigee.functions import catalog as C
@@ -39,6 +42,10 @@ class Screening:
     max_memberships_per_slab: int = 2_000_000
     max_candidates: int = 250_000
     max_results: int = 1000
+    #: Objects in a cell above which its smaller boxes take finer cells, and members of a coarse cell that meet in one part.
+    dense_cell: int = 64
+    meeting_rows: int = 4096
+    max_pair_checks_per_slab: int = 5_000_000
 
     def curvature_km(self, seconds: Column, acceleration: float | None = None) -> Column:
         a = self.max_acceleration_km_s2 if acceleration is None else acceleration
@@ -69,14 +76,34 @@ def sane(df: DataFrame, acceleration: float) -> DataFrame:
     return df.where((G.norm(forward) <= far) & (G.norm(back) <= far) & (G.norm(G.sub(v1, v0)) <= fast))
 
 
+_PATH = [f"{n}{a}" for n in ("p0", "p1") for a in AXES]
+
+
+def growth_km(seconds: Column, cfg: Screening) -> Column:
+    """How far a box goes beyond the two ends of a straight path: half of the pair's allowance."""
+    return cfg.curvature_km(seconds, cfg.max_acceleration_km_s2 / 2) + (cfg.radius_km + cfg.padding_km) / 2 + EPSILON_KM
+
+
+def _ends(state: str, grow: Column, axis: str) -> tuple[Column, Column]:
+    p0, p1 = F.col(f"{state}p0{axis}"), F.col(f"{state}p1{axis}")
+    return F.least(p0, p1) - grow, F.greatest(p0, p1) + grow
+
+
+def _edge(level: Column, cfg: Screening) -> Column:
+    return F.lit(cfg.cell_km) * F.pow(F.lit(2.0), level)
+
+
 def swept_boxes(states: DataFrame, cfg: Screening) -> DataFrame:
-    """(slab, seconds, s): of ``states`` (slab, id, seconds, p0*, p1*) the box borders lo*, hi* and cell borders c0*, c1*.
+    """(slab, seconds, id, own, p0*, p1*, cells) of ``states`` (slab, id, seconds, p0*, p1*): ``own`` is the box's level.
 
-    They stay fields of one struct: as columns of their own, the join's many conditions times
-    the many renamed columns would keep the optimizer busy inferring constraints.
+    The box itself is not carried: the two ends of the path and the slab's growth say it in as
+    many numbers.  ``cells`` is how many cells of the first level it covers.  The level is 0, or
+    the first coarser one at which the box covers no more than ``max_cells_per_object``.  Where
+    the cell of a box's middle holds more than ``dense_cell`` objects, a box that is smaller than
+    the cell goes down to cells of about its own size.
     """
-    grow = cfg.curvature_km(F.col("seconds"), cfg.max_acceleration_km_s2 / 2) + (cfg.radius_km + cfg.padding_km) / 2 + EPSILON_KM
-    ends = [(F.least(f"p0{a}", f"p1{a}") - grow, F.greatest(f"p0{a}", f"p1{a}") + grow) for a in AXES]
+    grow = growth_km(F.col("seconds"), cfg)
+    ends = [_ends("", grow, a) for a in AXES]
     cells = [(F.floor(lo / cfg.cell_km), F.floor(hi / cfg.cell_km)) for lo, hi in ends]
     number = F.lit(1)
     for c0, c1 in cells:
@@ -85,32 +112,106 @@ def swept_boxes(states: DataFrame, cfg: Screening) -> DataFrame:
     covered = lambda level: math.prod(at(c1, level).cast("double") - at(c0, level) + 1 for c0, c1 in cells)
     coarser = F.try_element_at(F.filter(F.sequence(F.lit(1), F.lit(LEVELS)), lambda level: covered(level) <= cfg.max_cells_per_object), F.lit(1))
     level = F.when(number <= cfg.max_cells_per_object, 0).otherwise(F.coalesce(coarser, F.lit(LEVELS)))
-    fields = [F.col("id"), level.cast("int").alias("level"), *[F.col(f"{n}{a}") for n in ("p0", "p1") for a in AXES], number.alias("cells")]
-    for a, (lo, hi), (c0, c1) in zip(AXES, ends, cells, strict=True):
-        fields += [lo.alias(f"lo{a}"), hi.alias(f"hi{a}"), c0.alias(f"c0{a}"), c1.alias(f"c1{a}")]
-    return states.select("slab", "seconds", F.struct(*fields).alias("s"))
+    widest = F.greatest(*[hi - lo for lo, hi in ends])
+    finer = F.greatest(F.lit(-LEVELS), F.ceil(F.log2(widest / cfg.cell_km))).cast("int")
+    middle = [F.floor((lo + hi) / (2 * cfg.cell_km)).alias(f"m{a}") for a, (lo, hi) in zip(AXES, ends, strict=True)]
+    sized = states.select("slab", "seconds", "id", *_PATH, number.alias("cells"), level.cast("int").alias("level"), F.when(finer < 0, finer).alias("finer"), *middle)
+    where = ["slab", *[f"m{a}" for a in AXES]]
+    # a cell's population is counted with the objects that could go down, before any pair is formed
+    dense = sized.where("finer is not null and level = 0").groupBy(*where).agg(F.count("*").alias("population")).where(F.col("population") > cfg.dense_cell)
+    placed = sized.join(dense, where, "left")
+    own = F.when((F.col("level") == 0) & F.col("population").isNotNull() & F.col("finer").isNotNull(), F.col("finer")).otherwise(F.col("level"))
+    return placed.select("slab", "seconds", "id", own.alias("own"), *_PATH, "cells")
+
+
+_CELL = ["slab", "level", "cx", "cy", "cz"]
+
 
+def memberships(boxes: DataFrame, level: Column, cfg: Screening) -> DataFrame:
+    """(slab, level, cx, cy, cz, seconds, s, first): cells of each box at ``level``.
 
-def memberships(boxes: DataFrame) -> DataFrame:
-    """Cells of each box at its own level and at the coarser ones up to the greatest, which one row tells the driver."""
-    most = boxes.agg(F.max("s.level")).first()[0] or 0
-    out = boxes.withColumn("level", F.explode(F.sequence(F.col("s.level"), F.lit(most))))
+    ``s`` holds id, own and the path: as columns of their own, the join's many conditions times
+    the many renamed columns would keep the optimizer busy inferring constraints.  ``first`` has a
+    bit for each axis on which the cell is the box's first one.
+    """
+    out = boxes.select("slab", "seconds", "id", "own", *_PATH, level.alias("level"))
+    grow, edge = growth_km(F.col("seconds"), cfg), _edge(F.col("level"), cfg)
+    borders = {}
     for a in AXES:
-        c0, c1 = (F.call_function("shiftright", F.col(f"s.{c}{a}"), F.col("level")) for c in ("c0", "c1"))
-        out = out.withColumn(f"c{a}", F.explode(F.sequence(c0, c1)))
-    return out
+        lo, hi = _ends("", grow, a)
+        borders |= {f"c0{a}": F.floor(lo / edge), f"c1{a}": F.floor(hi / edge)}
+    out = out.withColumns(borders)
+    first = F.lit(0)
+    for i, a in enumerate(AXES):
+        out = out.withColumn(f"c{a}", F.explode(F.sequence(f"c0{a}", f"c1{a}")))
+        first = first + F.when(F.col(f"c{a}") == F.col(f"c0{a}"), 1 << i).otherwise(0)
+    return out.select(*_CELL, "seconds", F.struct("id", "own", *_PATH).alias("s"), first.alias("first"))
+
 
+def _coarser_planes() -> Column:
+    """Levels above a box's own up to the greatest of its slab, for boxes with a column ``most``."""
+    return F.explode(F.when(F.col("most") > F.col("own"), F.sequence(F.col("own") + 1, F.col("most"))))
 
-def box_pairs(states: DataFrame, cfg: Screening) -> DataFrame:
-    """(slab, seconds, a, b) of pairs a.id < b.id whose swept boxes overlap; a and b hold what :func:`swept_boxes` gives."""
-    cells = memberships(swept_boxes(states, cfg))
-    at = ["slab", "level", "cx", "cy", "cz"]
-    met = cells.select(*at, "seconds", F.col("s").alias("a")).join(cells.select(*at, F.col("s").alias("b")), at)
-    met = met.where((F.col("a.id") < F.col("b.id")) & (F.col("level") == F.greatest("a.level", "b.level")))
+
+def meetings(boxes: DataFrame, cfg: Screening) -> DataFrame:
+    """(slab, seconds, a, b, owner): two boxes in one cell; ``owner`` tells the one cell in which the pair counts.
+
+    Boxes of one level meet in cells of that level, others at the coarser level of both.  Of the
+    cells that two boxes share, the owner is the first by every axis for one of the two, so no
+    ``distinct`` is needed.  Finer boxes that fill a coarse cell are dealt to several tasks by id,
+    and the few boxes of that level go to each: the number of parts follows the cell's population.
+    """
+    own = memberships(boxes, F.col("own"), cfg)
+    most = boxes.groupBy("slab").agg(F.max("own").alias("most"))
+    below = memberships(boxes.join(most, "slab"), _coarser_planes(), cfg)
+    side = lambda rows, n, *more: rows.select(*_CELL, *more, F.col("s").alias(n), F.col("first").alias(f"first_{n}"))
+    same = side(own, "a", "seconds").join(side(own, "b"), _CELL).where(F.col("a.id") < F.col("b.id"))
+    full = below.groupBy(*_CELL).agg(F.ceil(F.count("*") / cfg.meeting_rows).alias("parts")).where("parts > 1")
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    few = own.join(full, _CELL, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    many = below.join(full, _CELL, "left").withColumn("part", F.pmod(F.xxhash64("s.id"), parts))
+    across = side(few, "a", "seconds", "part").join(side(many, "b", "part"), [*_CELL, "part"])
+    turned = F.col("a.id") > F.col("b.id")
+    across = across.select(*_CELL, "seconds", F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), "first_a", "first_b")
+    met = same.select(*_CELL, "seconds", "a", "b", "first_a", "first_b").unionByName(across)
+    return met.select("slab", "seconds", "a", "b", (F.col("first_a").bitwiseOR(F.col("first_b")) == 7).alias("owner"))
+
+
+def overlapping(cfg: Screening) -> Column:
+    grow = growth_km(F.col("seconds"), cfg)
+    out = F.lit(True)
     for x in AXES:
-        met = met.where(F.col(f"c{x}") == F.call_function("shiftright", F.greatest(f"a.c0{x}", f"b.c0{x}"), F.col("level")))
-        met = met.where((F.col(f"a.lo{x}") <= F.col(f"b.hi{x}")) & (F.col(f"b.lo{x}") <= F.col(f"a.hi{x}")))
-    return met.select("slab", "seconds", "a", "b")
+        (alo, ahi), (blo, bhi) = _ends("a.", grow, x), _ends("b.", grow, x)
+        out = out & (alo <= bhi) & (blo <= ahi)
+    return out
+
+
+def box_pairs(states: DataFrame, cfg: Screening, counted: Observation | None = None) -> DataFrame:
+    """(slab, seconds, a, b) of pairs a.id < b.id whose swept boxes overlap; a and b hold what :func:`swept_boxes` gives.
+
+    ``counted`` gets canonical_pair_checks and aabb_candidates in the same pass.
+    """
+    met = meetings(swept_boxes(states, cfg), cfg)
+    if counted is not None:
+        met = met.withColumn("over", overlapping(cfg)).observe(counted, F.count_if("owner").alias("canonical_pair_checks"), F.count_if(F.col("owner") & F.col("over")).alias("aabb_candidates"))
+        return met.where("owner and over").select("slab", "seconds", "a", "b")
+    return met.where(F.col("owner") & overlapping(cfg)).select("slab", "seconds", "a", "b")
+
+
+def slab_load(states: DataFrame, cfg: Screening) -> DataFrame:
+    """(slab, objects, memberships, spatial_cells, spatial_pair_checks): what the join of each slab would cost, counted without it.
+
+    Cells are those in which boxes of one level meet; meetings across levels add a cell's boxes
+    of that level times the finer ones in it.
+    """
+    boxes = swept_boxes(states, cfg)
+    per = boxes.groupBy("slab").agg(F.count("*").alias("objects"))
+    own = memberships(boxes, F.col("own"), cfg).groupBy(*_CELL).agg(F.count("*").alias("n"))
+    most = boxes.groupBy("slab").agg(F.max("own").alias("most"))
+    finer = memberships(boxes.join(most, "slab"), _coarser_planes(), cfg).groupBy(*_CELL).agg(F.count("*").alias("m"))
+    n, m = F.col("n"), F.coalesce(F.col("m"), F.lit(0))
+    cells = own.join(finer, _CELL, "left").groupBy("slab").agg(F.sum("n").alias("memberships"), F.count("*").alias("spatial_cells"), F.sum(F.expr("n * (n - 1) div 2") + n * m).alias("spatial_pair_checks"))
+    return per.join(cells, "slab")
 
 
 def chord(pairs: DataFrame) -> DataFrame:
@@ -129,9 +230,9 @@ def chord(pairs: DataFrame) -> DataFrame:
     return placed.select("*", F.inline(F.array(F.struct(G.norm(G.along(r, d, F.col("fraction"))).alias("distance_km")))))
 
 
-def candidates(states: DataFrame, cfg: Screening) -> DataFrame:
+def candidates(states: DataFrame, cfg: Screening, counted: Observation | None = None) -> DataFrame:
     """(slab, a, b, fraction, distance_km): pairs that may come within the radius, each once per slab."""
-    near = chord(box_pairs(states, cfg)).where(F.col("distance_km") <= cfg.threshold_km(F.col("seconds")))
+    near = chord(box_pairs(states, cfg, counted)).where(F.col("distance_km") <= cfg.threshold_km(F.col("seconds")) + EPSILON_KM)
     return near.select("slab", F.col("a.id").alias("a"), F.col("b.id").alias("b"), "seconds", "fraction", "distance_km")
 
 
@@ -199,7 +300,7 @@ def ranked(events: DataFrame, cfg: Screening) -> DataFrame:
 def statistics(states: DataFrame, found: DataFrame, cfg: Screening) -> DataFrame:
     """One row: objects, slabs, cell memberships, possible pair intervals, candidates."""
     boxes = swept_boxes(states, cfg)
-    per_slab = boxes.groupBy("slab").agg(F.count("*").alias("n"), F.sum("s.cells").alias("m"))
+    per_slab = boxes.groupBy("slab").agg(F.count("*").alias("n"), F.sum("cells").alias("m"))
     left = per_slab.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("possible_pairs"), F.sum("m").alias("memberships"), F.count("*").alias("slabs"), F.max("n").alias("objects"))
     return left.crossJoin(F.broadcast(found.agg(F.count("*").alias("candidates"))))
 

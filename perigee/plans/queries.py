@@ -382,7 +382,7 @@ _page("event_page_by_price_desc", [("o_totalprice", True), ("o_orderkey", True)]
 _page("event_page_by_pair", [("o_custkey", False), ("o_orderkey", False)], "700,5000")
 _page("event_page_latest", [("o_orderkey", True)], "9000")
 
-_SCREEN = screening.Screening(radius_km=0.05, cell_km=0.1, max_acceleration_km_s2=0.0, max_cells_per_object=1_000_000)
+_SCREEN = screening.Screening(radius_km=0.05, cell_km=0.1, max_acceleration_km_s2=0.0, max_cells_per_object=8)
 
 
 def _states(spark, sf):

@@ -156,13 +156,42 @@ def test_screening_drops_no_large_box(spark):
     schema = "slab long, id long, seconds double, " + ", ".join(f"{n}{a} double" for n in ("p0", "p1") for a in "xyz")
     cfg = screening.Screening(radius_km=5.0, cell_km=10.0)
     states = spark.createDataFrame(objects, schema)
-    assert screening.swept_boxes(states, cfg).where(F.col("s.cells") > cfg.max_cells_per_object).count() > 40
+    assert screening.swept_boxes(states, cfg).where(F.col("cells") > cfg.max_cells_per_object).count() > 40
     got = [(r.i, r.j) for r in screening.box_pairs(states, cfg).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).collect()]
     box = lambda o: [(min(x, y) - 2.5, max(x, y) + 2.5) for x, y in zip(o[3:6], o[6:])]
     want = {(p[1], q[1]) for p, q in itertools.combinations(objects, 2) if p[0] == q[0] and all(a[0] <= b[1] and b[0] <= a[1] for a, b in zip(box(p), box(q)))}
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("dense,rows", [(5, 7), (64, 4096), (10**9, 4096)])
+def test_screening_of_a_dense_cell(spark, dense, rows):
+    """A third of all objects in one cell, in two clumps; large boxes cross it; the rest is thin."""
+    rnd = random.Random(7)
+    objects = []
+    for i in range(360):
+        if i % 3 == 0:
+            base, spread, reach = (5300 if i % 2 else 5700, 30, 4)
+        elif i % 3 == 1:
+            base, spread, reach = (0, 20_000, 300)
+        else:
+            base, spread, reach = (5300, 900, 40 if i % 4 else 6000)
+        p = [base + rnd.uniform(-spread, spread) for _ in range(3)]
+        objects.append((0, i, 10.0, *p, *[x + rnd.uniform(-reach, reach) for x in p]))
+    schema = "slab long, id long, seconds double, " + ", ".join(f"{n}{a} double" for n in ("p0", "p1") for a in "xyz")
+    cfg = screening.Screening(radius_km=3.0, cell_km=1000.0, dense_cell=dense, meeting_rows=rows)
+    states = spark.createDataFrame(objects, schema)
+    box = lambda o: [(min(x, y) - 1.5, max(x, y) + 1.5) for x, y in zip(o[3:6], o[6:])]
+    want = {(p[1], q[1]) for p, q in itertools.combinations(objects, 2) if all(a[0] <= b[1] and b[0] <= a[1] for a, b in zip(box(p), box(q)))}
+    got = [(r.i, r.j) for r in screening.box_pairs(states, cfg).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+    load = screening.slab_load(states, cfg).collect()
+    met = screening.meetings(screening.swept_boxes(states, cfg), cfg).count()
+    assert [(r.objects, r.spatial_pair_checks) for r in load] == [(360, met)]
+    if dense == 64:
+        plain = dataclasses.replace(cfg, dense_cell=10**9)
+        assert met < 0.6 * screening.meetings(screening.swept_boxes(states, plain), plain).count()
+
+
 def test_dedup_is_a_fold(spark):
     events = [("p", 1000, 5.0, "a", 0, 2000), ("p", 1500, 4.0, "b", 900, 2500), ("p", 2300, 4.5, "c", 1400, 3000), ("p", 9000, 1.0, "d", 8000, 9500)]
     got = screening.dedup_events(spark.createDataFrame(events, "pair_key string, tca_ms long, miss_km double, event_id string, lo_ms long, hi_ms long"), 1.0)
