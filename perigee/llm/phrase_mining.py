@@ -6,16 +6,15 @@ zero.  A phrase is extended depth-first: its bitmap is shifted by one place, cut
 of pieces, and ANDed with the bitmaps of the words that stand there; the population count is the
 number of occurrences in the shard, and Spark sums these counts over shards.
 
-Three passes over the shards, each pruned by what the one before found frequent (every part of a
-frequent phrase is frequent): words, pairs, then three and four words in one descent along
-frequent pairs.  Filters of bounded size prune, so they let too much through and never too
-little; counts are grouped by the phrases themselves and are exact.
+Passes over the shards are pruned by what the one before found frequent, as every part of a
+frequent phrase is: words; pairs, counted by hash; then two to four words in one descent along
+frequent pairs.  Hashes and filters of bounded size only prune, so they let too much through and
+never too little; the last pass groups by the phrases themselves and its counts are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -32,7 +31,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: A phrase is dropped when a longer one that holds it has this share of its occurrences, in hundredths.
 COVERED = 80
 #: Bytes of text in a shard, and places that one descent starts from.
-SHARD_BYTES, GROUP = 6 << 20, 1 << 18
+SHARD_BYTES, GROUP = 6 << 20, 1 << 16
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -41,7 +40,7 @@ _WORD[[0x20, 0x09]] = False
 _ONE = np.uint64(1)
 
 _SHARD = "words array<string>, lang_of array<int>, counts array<long>, keys array<long>, langs array<string>, lang_words array<long>, ids binary, first binary"
-_COUNT = "lang string, phrase string, key long, n long"
+_COUNT = "lang string, phrase string, n long"
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -161,35 +160,50 @@ def _phrase_keys(keys: np.ndarray, path: np.ndarray) -> np.ndarray:
     return out
 
 
-def phrase_counts(packed: DataFrame, frequent: DataFrame, sizes: tuple[int, ...], pairs: DataFrame | None = None) -> DataFrame:
-    """(lang, phrase, key, n) of phrases of ``sizes`` words whose words (and pairs, if given) may be frequent."""
+def _opened(batches: Iterator[pa.RecordBatch], words_filter: Filter, pairs_filter: Filter | None) -> Iterator[tuple]:
+    """(words, their languages, their keys, ids in order, link) of each shard; ``link`` marks places that may go on with what stands before them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i] for c in batch.schema.names}
+            keys = row["keys"].values.to_numpy().view(np.uint64)
+            n = int(row["counts"].values.to_numpy().sum())
+            if n < 2:
+                continue
+            ids = _unpacked(row["ids"].as_py(), np.int32, n).astype(np.int64)
+            first = np.unpackbits(_unpacked(row["first"].as_py(), np.uint8, -(-n // 8)))[:n].astype(bool)
+            good = words_filter.has(keys)
+            link = np.zeros(n, bool)
+            link[1:] = good[ids[1:]] & good[ids[:-1]] & ~first[1:]
+            if pairs_filter is not None:
+                at = np.flatnonzero(link)
+                link[at] = pairs_filter.has(_phrase_keys(keys, np.stack([ids[at - 1], ids[at]], 1)))
+            yield row["words"].values, row["langs"].values.take(row["lang_of"].values), keys, ids, link
+
+
+def pair_keys(packed: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(key, n) of pairs whose words may be frequent: counts by hash, never too low, that only serve to prune."""
+    sent = packed.sparkSession.sparkContext.broadcast(Filter.of(frequent, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, _, keys, ids, link in _opened(batches, sent.value, None):
+            for path, count in _descend(ids, link, len(words), (2,)):
+                yield pa.RecordBatch.from_arrays([pa.array(S.signed(_phrase_keys(keys, path))), pa.array(count)], ["key", "n"])
+
+    return packed.select("counts", "words", "keys", "langs", "lang_of", "ids", "first").mapInArrow(run, "key long, n long")
+
+
+def phrase_counts(packed: DataFrame, frequent: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
+    """(lang, phrase, n) by shard of phrases of 2 to ``longest`` words in which all words and pairs may be frequent."""
     send = packed.sparkSession.sparkContext.broadcast
-    words_filter, pairs_filter = send(Filter.of(frequent, "key")), send(Filter.of(pairs, "key")) if pairs is not None else None
+    words_filter, pairs_filter = send(Filter.of(frequent, "key")), send(Filter.of(pairs, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in batch.schema.names}
-                words, langs = row["words"].values, row["langs"].values.take(row["lang_of"].values)
-                keys = row["keys"].values.to_numpy().view(np.uint64)
-                n = int(row["counts"].values.to_numpy().sum())
-                ids = _unpacked(row["ids"].as_py(), np.int32, n).astype(np.int64)
-                if n < 2:
-                    continue
-                first = np.unpackbits(_unpacked(row["first"].as_py(), np.uint8, -(-n // 8)))[:n].astype(bool)
-                good = words_filter.value.has(keys)
-                link = np.zeros(n, bool)  # places that go on with what stands before them
-                link[1:] = good[ids[1:]] & good[ids[:-1]] & ~first[1:]
-                if pairs_filter is not None:
-                    at = np.flatnonzero(link)
-                    link[at] = pairs_filter.value.has(_phrase_keys(keys, np.stack([ids[at - 1], ids[at]], 1)))
-                for path, count in _descend(ids, link, len(words), sizes):
-                    phrase = pc.binary_join_element_wise(*(words.take(pa.array(path[:, k])) for k in range(path.shape[1])), " ")
-                    yield pa.RecordBatch.from_arrays(
-                        [langs.take(pa.array(path[:, 0])), phrase, pa.array(S.signed(_phrase_keys(keys, path))), pa.array(count)], ["lang", "phrase", "key", "n"]
-                    )
-
-    return packed.mapInArrow(run, _COUNT)
+        for words, langs, _, ids, link in _opened(batches, words_filter.value, pairs_filter.value):
+            for path, count in _descend(ids, link, len(words), tuple(range(2, longest + 1))):
+                phrase = pc.binary_join_element_wise(*(words.take(pa.array(path[:, k])) for k in range(path.shape[1])), " ")
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(path[:, 0])), phrase, pa.array(count)], ["lang", "phrase", "n"])
+
+    return packed.select("counts", "words", "keys", "langs", "lang_of", "ids", "first").mapInArrow(run, _COUNT)
 
 
 def _descend(ids: np.ndarray, link: np.ndarray, n_words: int, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -222,17 +236,17 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     packed = written(shards(docs, text_col, lang_col), "phrase-shards")
     totals = written(packed.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.lang_words").alias("n")), "word-totals")
 
-    def often(counted: DataFrame, name: str) -> DataFrame:
-        return written(counted.groupBy("lang", "phrase").agg(F.min("key").alias("key"), F.sum("n").alias("n")).where(F.col("n") >= least), name)
-
     each = packed.select("langs", F.explode(F.arrays_zip("words", "lang_of", "counts", "keys")).alias("x"))
-    found = [often(each.select(F.element_at("langs", F.col("x.lang_of") + 1).alias("lang"), F.col("x.words").alias("phrase"), F.col("x.keys").alias("key"), F.col("x.counts").alias("n")), "words")]
-    if longest > 1:
-        found.append(often(phrase_counts(packed, found[0], (2,)), "pairs"))
-    if longest > 2:
-        found.append(often(phrase_counts(packed, found[0], tuple(range(3, longest + 1)), found[1]), "longer"))
-    all_found = written(reduce(DataFrame.union, [x.select("lang", "phrase", "n") for x in found]), "phrases")
-    discard(packed, *found)
+    said = each.select(F.element_at("langs", F.col("x.lang_of") + 1).alias("lang"), F.col("x.words").alias("phrase"), F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
+    enough = lambda df: df.where(F.col("n") >= least)
+    words = written(enough(said.groupBy("lang", "phrase").agg(F.min("key").alias("key"), F.sum("n").alias("n"))), "words")
+    out = words.select("lang", "phrase", "n")
+    if longest == 1:
+        return out, totals
+    pairs = written(enough(pair_keys(packed, words).groupBy("key").agg(F.sum("n").alias("n"))).select("key"), "pair-keys")
+    longer = enough(phrase_counts(packed, words, pairs, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
+    all_found = written(out.union(longer), "phrases")
+    discard(packed, words, pairs)
     return all_found, totals
 
 
