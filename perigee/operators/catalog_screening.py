@@ -95,6 +95,8 @@ def _refined(candidates: DataFrame, objects: DataFrame, run: Run) -> DataFrame:
     """Candidates (slab, a, b, start_ms, end_ms) refined with SGP4; rows with a null tca_ms are incomplete."""
     e = objects.select("object_id", F.struct(F.col("object_id").alias("id"), F.unix_millis(F.col("epoch").cast("timestamp")).cast("double").alias("epoch_ms"), *propagation.ELEMENTS).alias("e"))
     paired = candidates.join(e.select(F.col("object_id").alias("a"), F.col("e").alias("ea")), "a").join(e.select(F.col("object_id").alias("b"), F.col("e").alias("eb")), "b")
+    # a candidate costs dozens of propagations and hardly a byte: tasks follow the setting, not the table's size
+    paired = paired.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slab", "a", "b")
     asked = paired.select("slab", "start_ms", "end_ms", F.lit(run.start_ms).cast("long").alias("screen_start_ms"), F.lit(run.end_ms).cast("long").alias("screen_end_ms"), (F.col("end_ms") == run.end_ms).alias("last"), F.col("ea").alias("a"), F.col("eb").alias("b"))
     return refinement.refine(asked, refinement.Refinement(radius_km=run.radius_km, tolerance_s=run.tolerance_s), refinement.elements)
 

@@ -1,4 +1,4 @@
-"""Propagation of element sets over times, and what follows from it: tracks, decay crossings."""
+"""Propagation of element sets over times, and the tracks that follow from it."""
 
 from __future__ import annotations
 
@@ -79,24 +79,3 @@ def ground_track(states: DataFrame, gmst) -> DataFrame:
     """lat_deg, lon_deg, alt_km under each state; null where there is none."""
     fixed = G.eci_to_ecef((F.col("x"), F.col("y"), F.col("z")), gmst)
     return states.withColumns(G.ecef_to_geodetic(fixed))
-
-
-def decay_crossing(states: DataFrame, key: str, altitude_km: float) -> DataFrame:
-    """Of each key, the first grid time at or under an altitude, or without a state; null if there is none.
-
-    One aggregate over the exploded grid; no key's rows are gathered.
-    """
-    radius = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    hit = (F.col("code") != "ok") | (radius - K.EARTH_RADIUS_KM <= altitude_km)
-    return states.groupBy(key).agg(
-        F.min(F.when(hit, F.col("minutes"))).alias("crossing_min"),
-        F.min(radius - K.EARTH_RADIUS_KM).alias("lowest_km"),
-        F.max("minutes").alias("horizon_min"),
-    )
-
-
-def decay_confidence(crossing_min, horizon_min, bstar):
-    """0.35, up to 0.3 more for drag (reached by any |B*| of 3e-6) and up to 0.5 for an early crossing; within 0.1 and 1."""
-    early = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(horizon_min - crossing_min, horizon_min)))
-    drag = F.least(F.lit(0.3), F.coalesce(F.abs(bstar), F.lit(0.0)) * 1e5)
-    return F.when(crossing_min.isNotNull(), F.greatest(F.lit(0.1), F.least(F.lit(1.0), 0.35 + drag + 0.5 * early)))

@@ -18,7 +18,7 @@ from perigee.functions import constants as K
 from perigee.functions import geometry as G
 from perigee.functions import rf
 from perigee.operators import catalog as OC
-from perigee.operators import coverage, ephemeris, propagation, refinement, screening, timeline
+from perigee.operators import coverage, decay, ephemeris, propagation, refinement, screening, timeline
 from perigee.streaming import folds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -674,23 +674,23 @@ def sgp4_states(spark, sf):
 
 @query()
 def decay_estimates(spark, sf):
-    """First times under an altitude over the grid, and how sure they are."""
-    o = read(spark, sf, "orders", "o_orderkey")
-    k = F.col("o_orderkey")
-    e = o.select(
+    """Status, reason, date or window of every part as an object, some with a record of their decay; tests walk the whole grid."""
+    p = read(spark, sf, "part", "p_partkey")
+    k = F.col("p_partkey")
+    e = p.select(
         k.alias("object_id"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("epoch"),
         (k % 98).cast("double").alias("inclination_deg"),
         (k * 7 % 360).cast("double").alias("node_deg"),
-        F.lit(0.001).alias("eccentricity"),
+        F.when(k % 50 == 0, F.lit(0.2)).otherwise(0.001).alias("eccentricity"),
         F.lit(0.0).alias("perigee_deg"),
         (k * 31 % 360).cast("double").alias("anomaly_deg"),
-        (F.lit(15.5) + k % 10 / 10.0).alias("motion_rev_day"),
+        F.when(k % 50 == 0, 9.0).when(k % 41 == 0, F.lit(None)).otherwise(15.3 + k % 12 / 10.0).alias("motion_rev_day"),
         (k % 7 * 1e-4).alias("bstar"),
     )
-    states = propagation.propagate(propagation.on_grid(e, 0.0, 14400.0, 1440.0))
-    found = propagation.decay_crossing(states, "object_id", 120.0).join(e.select("object_id", "bstar"), "object_id")
-    sure = propagation.decay_confidence(F.col("crossing_min"), F.col("horizon_min"), F.col("bstar"))
-    return found.select("object_id", "crossing_min", *rounded(lowest_km=F.col("lowest_km"), confidence=sure))
+    told = p.where("p_partkey % 37 = 0").select(k.alias("object_id"), (F.lit(1_600_000_000_000) + k * 1000).alias("decay_ms"))
+    found = decay.estimates(e, 1_704_067_200_000, told)
+    return found.select("object_id", "decay_status", "decay_reason", "decay_ms", "window_start_ms", "window_end_ms", *rounded(confidence=F.col("confidence"), altitude_km=F.col("altitude_km")))
 
 
 @query(

@@ -220,7 +220,7 @@ def _elements(spark, sf):
 
 def _run(radius: float = 5.0) -> catalog_screening.Run:
     start = 1_704_067_200_000
-    return catalog_screening.Run(start, start + 1_200_000, 60.0, radius, 100.0)
+    return catalog_screening.Run(start, start + 1_200_000, 60.0, radius, 400.0)
 
 
 @query()
