@@ -31,7 +31,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: A phrase is dropped when a longer one that holds it has this share of its occurrences, in hundredths.
 COVERED = 80
 #: Bytes of text in a shard, and places that one descent starts from.
-SHARD_BYTES, GROUP = 6 << 20, 1 << 16
+SHARD_BYTES, GROUP = 3 << 20, 1 << 15
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
