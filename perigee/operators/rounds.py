@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` from a Parquet table in ``spark.checkpoint.dir``; in local mode alone a temporary folder may stand in."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; in local mode alone a temporary folder may stand in."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local.setdefault("base", tempfile.mkdtemp(prefix="perigee-"))
-    path = f"{base.rstrip('/')}/perigee/round-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/perigee/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from a Parquet table in the shared folder."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "round")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._round = path

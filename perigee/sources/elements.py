@@ -162,9 +162,15 @@ def horizons_rows(texts: DataFrame) -> DataFrame:
     lines = texts.select("path", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), r"\r?\n")).alias("i", "line")).withColumn("line", F.trim("line"))
     w = Window.partitionBy("path").orderBy("i")
     inside = F.sum(F.when(F.col("line") == "$$SOE", 1).when(F.col("line") == "$$EOE", -1).otherwise(0)).over(w)
-    rows = lines.withColumn("inside", inside).where((F.col("inside") > 0) & (F.col("line") != "$$SOE")).withColumn("c", F.split("line", r"\s*,\s*")).where(F.size("c") >= 8)
+    rows = lines.withColumn("inside", inside).where((F.col("inside") > 0) & (F.col("line") != "$$SOE"))
+    return horizons_columns(rows, ["path", "i"])
+
+
+def horizons_columns(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ts, x, y, z, vx, vy, vz of comma-separated lines; :func:`perigee.sources.scan.horizons` reads files of any size."""
+    rows = rows.withColumn("c", F.split("line", r"\s*,\s*")).where(F.size("c") >= 8)
     at = F.try_to_timestamp(F.regexp_replace(F.get("c", F.lit(1)), r"^A\.D\.\s*", ""), F.lit("yyyy-MMM-dd HH:mm:ss.SSSS"))
-    return rows.select("path", "i", at.alias("ts"), *[F.round(F.get("c", F.lit(k + 2)).try_cast("double"), 6).alias(n) for k, n in enumerate(("x", "y", "z", "vx", "vy", "vz"))])
+    return rows.select(*keys, at.alias("ts"), *[F.round(F.get("c", F.lit(k + 2)).try_cast("double"), 6).alias(n) for k, n in enumerate(("x", "y", "z", "vx", "vy", "vz"))])
 
 
 PROVIDER_JSON = (
