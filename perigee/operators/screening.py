@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from perigee.functions import catalog as C
 from perigee.functions import geometry as G
+from perigee.operators import blocks
 
 #: Numeric slack added to every box.
 EPSILON_KM = 1e-9
@@ -309,15 +310,22 @@ def local_minima(samples: DataFrame, partition: list[str], time: str, value: str
     """Plateaus of ``value`` over ``time`` that are no higher than both sides and lower than one.
 
     Equal means within a relative 1e-12.  The first and the last plateau count when they are not
-    higher (first) or lower (last) than their only neighbour.
+    higher (first) or lower (last) than their only neighbour.  What stands before and after a
+    plateau is carried from block to block of a series, so a long one takes many tasks.
     """
-    w = Window.partitionBy(*partition).orderBy(time)
-    before = F.lag(value).over(w)
-    new = before.isNull() | (F.abs(F.col(value) - before) > F.greatest(F.lit(1.0), F.abs(value), F.abs(before)) * 1e-12)
-    runs = samples.withColumn("__run", F.sum(new.cast("int")).over(w)).groupBy(*partition, "__run")
-    flat = runs.agg(F.min(time).alias("start"), F.max(time).alias("end"), F.min_by(value, time).alias("value"))
-    r = Window.partitionBy(*partition).orderBy("__run")
-    left, right = F.lag("value").over(r), F.lead("value").over(r)
-    inner = (left > F.col("value")) & (right > F.col("value"))
-    first, last = left.isNull() & (right.isNull() | (right >= F.col("value"))), right.isNull() & (left > F.col("value"))
-    return flat.withColumn("__min", F.coalesce(inner, F.lit(False)) | F.coalesce(first, F.lit(False)) | F.coalesce(last, F.lit(False))).where("__min").drop("__min", "__run")
+    rows = blocks.blocked(samples, partition, [time])
+    rows = blocks.carried(rows, partition, [time], last={"__at": F.struct(F.col(value).alias("v"), F.col(time).alias("t"))}, own=False)
+    before = F.col("__at.v")
+    new = F.col("__at").isNull() | (F.abs(F.col(value) - before) > F.greatest(F.lit(1.0), F.abs(value), F.abs(before)) * 1e-12)
+    rows = rows.withColumn("__first", F.when(new, F.struct(F.col(value).alias("v"), F.col("__at.t").alias("ended"))))
+    rows = blocks.carried(rows, partition, [time], last={"__left": F.col("__first")}, first={"__right": F.col("__first")}, own=False)
+    ends = samples.groupBy(*partition).agg(F.max(time).alias("__last"))
+    same = F.lit(True)
+    for k in partition:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    flat = rows.where("__first is not null").join(ends.select(*[F.col(k).alias(f"__k_{k}") for k in partition], "__last"), same)
+    left, right, v = F.col("__left.v"), F.col("__right.v"), F.col(value)
+    inner = (left > v) & (right > v)
+    first, last = left.isNull() & (right.isNull() | (right >= v)), right.isNull() & (left > v)
+    lowest = F.coalesce(inner, F.lit(False)) | F.coalesce(first, F.lit(False)) | F.coalesce(last, F.lit(False))
+    return flat.where(lowest).select(*partition, F.col(time).alias("start"), F.coalesce("__right.ended", "__last").alias("end"), v.alias("value"))
