@@ -7,8 +7,8 @@ of pieces, and ANDed with the bitmaps of the words that stand there; the populat
 number of occurrences in the shard, and Spark sums these counts over shards.
 
 Passes over the shards are pruned by what the one before found frequent, as every part of a
-frequent phrase is: words; pairs, counted by hash; then two to four words in one descent along
-frequent pairs.  Hashes and filters of bounded size only prune, so they let too much through and
+frequent phrase is: words; pairs and triples, counted by hash; then all lengths in one descent
+along frequent pairs and triples.  Hashes and filters of bounded size only prune, so they let too much through and
 never too little; the last pass groups by the phrases themselves and its counts are exact.
 """
 
@@ -160,8 +160,12 @@ def _phrase_keys(keys: np.ndarray, path: np.ndarray) -> np.ndarray:
     return out
 
 
-def _opened(batches: Iterator[pa.RecordBatch], words_filter: Filter, pairs_filter: Filter | None) -> Iterator[tuple]:
-    """(words, their languages, their keys, ids in order, link) of each shard; ``link`` marks places that may go on with what stands before them."""
+def _opened(batches: Iterator[pa.RecordBatch], filters: list[Filter]) -> Iterator[tuple]:
+    """(words, their languages, their keys, ids in order, masks) of each shard.
+
+    ``masks[k]`` marks places at which a phrase may get its word k + 2: where the last two words
+    go on from one another and may be frequent, and so on for pairs and triples as filters have them.
+    """
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in batch.schema.names}
@@ -171,49 +175,62 @@ def _opened(batches: Iterator[pa.RecordBatch], words_filter: Filter, pairs_filte
                 continue
             ids = _unpacked(row["ids"].as_py(), np.int32, n).astype(np.int64)
             first = np.unpackbits(_unpacked(row["first"].as_py(), np.uint8, -(-n // 8)))[:n].astype(bool)
-            good = words_filter.has(keys)
-            link = np.zeros(n, bool)
-            link[1:] = good[ids[1:]] & good[ids[:-1]] & ~first[1:]
-            if pairs_filter is not None:
-                at = np.flatnonzero(link)
-                link[at] = pairs_filter.has(_phrase_keys(keys, np.stack([ids[at - 1], ids[at]], 1)))
-            yield row["words"].values, row["langs"].values.take(row["lang_of"].values), keys, ids, link
+            good = filters[0].has(keys)
+            mask = np.zeros(n, bool)
+            mask[1:] = good[ids[1:]] & good[ids[:-1]] & ~first[1:]
+            masks = [mask]
+            for size, held in enumerate(filters[1:], 2):
+                mask = masks[-1].copy()
+                if size > 2:
+                    mask[1:] &= masks[-1][:-1]
+                at = np.flatnonzero(mask)
+                mask[at] = held.has(_phrase_keys(keys, np.stack([ids[at - k] for k in range(size - 1, -1, -1)], 1)))
+                masks = [mask] if size == 2 else [*masks, mask]
+            yield row["words"].values, row["langs"].values.take(row["lang_of"].values), keys, ids, masks
+
+
+_READ = ["counts", "words", "keys", "langs", "lang_of", "ids", "first"]
 
 
-def pair_keys(packed: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(key, n) of pairs whose words may be frequent: counts by hash, never too low, that only serve to prune."""
-    sent = packed.sparkSession.sparkContext.broadcast(Filter.of(frequent, "key"))
+def phrase_keys(packed: DataFrame, filters: list[Filter], size: int) -> DataFrame:
+    """(key, n) by shard of phrases of ``size`` words that the filters pass: counts by hash, never too low, that only serve to prune."""
+    sent = packed.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, _, keys, ids, link in _opened(batches, sent.value, None):
-            for path, count in _descend(ids, link, len(words), (2,)):
+        for words, _, keys, ids, masks in _opened(batches, sent.value):
+            for path, count in _descend(ids, masks, len(words), (size,)):
                 yield pa.RecordBatch.from_arrays([pa.array(S.signed(_phrase_keys(keys, path))), pa.array(count)], ["key", "n"])
 
-    return packed.select("counts", "words", "keys", "langs", "lang_of", "ids", "first").mapInArrow(run, "key long, n long")
+    return packed.select(*_READ).mapInArrow(run, "key long, n long")
 
 
-def phrase_counts(packed: DataFrame, frequent: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
-    """(lang, phrase, n) by shard of phrases of 2 to ``longest`` words in which all words and pairs may be frequent."""
-    send = packed.sparkSession.sparkContext.broadcast
-    words_filter, pairs_filter = send(Filter.of(frequent, "key")), send(Filter.of(pairs, "key"))
+def phrase_counts(packed: DataFrame, filters: list[Filter], longest: int) -> DataFrame:
+    """(lang, phrase, n) by shard of phrases of 2 to ``longest`` words whose parts the filters pass."""
+    sent = packed.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, langs, _, ids, link in _opened(batches, words_filter.value, pairs_filter.value):
-            for path, count in _descend(ids, link, len(words), tuple(range(2, longest + 1))):
+        for words, langs, _, ids, masks in _opened(batches, sent.value):
+            for path, count in _descend(ids, masks, len(words), tuple(range(2, longest + 1))):
                 phrase = pc.binary_join_element_wise(*(words.take(pa.array(path[:, k])) for k in range(path.shape[1])), " ")
                 yield pa.RecordBatch.from_arrays([langs.take(pa.array(path[:, 0])), phrase, pa.array(count)], ["lang", "phrase", "n"])
 
-    return packed.select("counts", "words", "keys", "langs", "lang_of", "ids", "first").mapInArrow(run, _COUNT)
+    return packed.select(*_READ).mapInArrow(run, _COUNT)
 
 
-def _descend(ids: np.ndarray, link: np.ndarray, n_words: int, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Depth-first from groups of one-word nodes: word ids of each phrase of ``sizes`` words, and its count."""
-    n = len(ids)
-    chunks = (n >> 6) + 2
+def _bitmap(flags: np.ndarray, chunks: int) -> np.ndarray:
     padded = np.zeros(chunks * 64, bool)
-    padded[:n] = link
-    inside = np.packbits(padded, bitorder="little").view(np.uint64)
-    used = np.flatnonzero(link)
+    padded[: len(flags)] = flags
+    return np.packbits(padded, bitorder="little").view(np.uint64)
+
+
+def _descend(ids: np.ndarray, masks: list[np.ndarray], n_words: int, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Depth-first from groups of one-word nodes: word ids of each phrase of ``sizes`` words, and its count.
+
+    The mask of a phrase's second word, its third and so on; the last one holds for all that follow.
+    """
+    chunks = (len(ids) >> 6) + 2
+    inside = [_bitmap(m, chunks) for m in masks]
+    used = np.flatnonzero(masks[0])
     order = used[np.argsort(ids[used], kind="stable")]
     words = Bitmaps.of(ids[order], order, chunks)
     roots = used - 1
@@ -223,7 +240,7 @@ def _descend(ids: np.ndarray, link: np.ndarray, n_words: int, sizes: tuple[int,
         path = np.unique(ids[some])[:, None]
         nodes = Bitmaps.of(np.searchsorted(path[:, 0], ids[some]), some, chunks)
         for size in range(2, max(sizes) + 1):
-            parent, word, count, nodes = _extended(nodes, words, ids, inside, chunks, n_words)
+            parent, word, count, nodes = _extended(nodes, words, ids, inside[min(size - 2, len(inside) - 1)], chunks, n_words)
             if not len(parent):
                 break
             path = np.concatenate([path[parent], word[:, None]], 1)
@@ -243,10 +260,13 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     out = words.select("lang", "phrase", "n")
     if longest == 1:
         return out, totals
-    pairs = written(enough(pair_keys(packed, words).groupBy("key").agg(F.sum("n").alias("n"))).select("key"), "pair-keys")
-    longer = enough(phrase_counts(packed, words, pairs, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
+    filters, used = [Filter.of(words, "key")], [words]
+    for size in (2, 3)[: longest - 1]:
+        often = written(enough(phrase_keys(packed, filters, size).groupBy("key").agg(F.sum("n").alias("n"))).select("key"), "phrase-keys")
+        filters, used = [*filters, Filter.of(often, "key")], [*used, often]
+    longer = enough(phrase_counts(packed, filters, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
     all_found = written(out.union(longer), "phrases")
-    discard(packed, words, pairs)
+    discard(packed, *used)
     return all_found, totals
 
 

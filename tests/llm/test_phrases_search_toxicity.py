@@ -83,9 +83,9 @@ def test_shifted_bitmaps_carry_and_stop():
     ids = np.zeros(130, np.int64)
     link = np.ones(130, bool)
     link[0] = False
-    assert [(p.tolist(), c.tolist()) for p, c in phrase_mining._descend(ids, link, 1, (2, 3, 4))] == [([[0] * m], [131 - m]) for m in (2, 3, 4)]
+    assert [(p.tolist(), c.tolist()) for p, c in phrase_mining._descend(ids, [link], 1, (2, 3, 4))] == [([[0] * m], [131 - m]) for m in (2, 3, 4)]
     link[64] = False
-    assert [c.tolist() for _, c in phrase_mining._descend(ids, link, 1, (2, 3, 4))] == [[128], [126], [124]]
+    assert [c.tolist() for _, c in phrase_mining._descend(ids, [link], 1, (2, 3, 4))] == [[128], [126], [124]]
 
 
 # 13 --------------------------------------------------------------------------
