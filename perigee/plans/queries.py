@@ -82,30 +82,41 @@ def _fixed(v: tuple[float, ...]) -> G.Vector:
     return tuple(F.lit(x) for x in v)
 
 
-_cells_sql = """cells AS (
-  SELECT a AS lat_min, o AS lon_min, a + 5.0 AS lat_deg, o + 5.0 AS lon_deg
-  FROM range(-80, 81, 10) AS x(a), range(-180, 180, 10) AS y(o)
-)"""
-_lk = _look_sql(tuple(map(repr, _SAT)), "lat_deg", "lon_deg")
+# every supplier as a satellite: over all latitudes, both poles and the date line, from 300 to 36,000 km up
+_ORBITS = """sats AS (SELECT s_suppkey, radians(CASE WHEN s_suppkey % 50 = 0 THEN 90.0 WHEN s_suppkey % 50 = 1 THEN -90.0 ELSE s_suppkey * 37 % 179 - 89.0 END) AS b,
+  radians(s_suppkey * 71 % 360 - 180.0) AS l, 6378.137 + CASE WHEN s_suppkey % 9 = 0 THEN 35786.0 ELSE 300.0 + s_suppkey * 53 % 1900 END AS r FROM supplier),
+sat AS (SELECT s_suppkey, r * cos(b) * cos(l) AS sx, r * cos(b) * sin(l) AS sy, r * sin(b) AS sz FROM sats)"""
+_lk = _look_sql(("sx", "sy", "sz"), "lat_deg", "lon_deg")
 _margin_sql = "(13.0 + 30.0 + 35.0 - (92.45 + 20 * log10(range_km) + 20 * log10(12.0)) - 10 * log10(1.380649e-23 * 290.0 * 36e6) - 13.0)"
-_grid_sql = f"""{_cells_sql}, looked AS (SELECT *, {_lk["range"]} AS range_km, {_lk["elev"]} AS elevation_deg FROM cells),
+_grid_sql = f"""{_ORBITS}, cells AS (
+  SELECT sat.*, a AS lat_min, o AS lon_min, a + 5.0 AS lat_deg, o + 5.0 AS lon_deg
+  FROM sat, range(-80, 81, 10) AS x(a), range(-180, 180, 10) AS y(o)
+),
+looked AS (SELECT *, {_lk["range"]} AS range_km, {_lk["elev"]} AS elevation_deg FROM cells),
 budget AS (SELECT *, elevation_deg > 0 AND elevation_deg >= 20 AS visible, {_margin_sql} AS m FROM looked)"""
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    return coverage.coverage_grid(spark.range(1).select(F.lit("sat").alias("object_id")), _fixed(_SAT), **_BUDGET)
+def _satellites(spark: SparkSession, sf: str) -> tuple[DataFrame, G.Vector]:
+    k = F.col("s_suppkey")
+    b = F.radians(F.when(k % 50 == 0, 90.0).when(k % 50 == 1, -90.0).otherwise(k * 37 % 179 - 89.0))
+    o = F.radians(k * 71 % 360 - 180.0)
+    r = F.lit(6378.137) + F.when(k % 9 == 0, 35786.0).otherwise(300.0 + k * 53 % 1900)
+    s = read(spark, sf, "supplier", "s_suppkey").select(k, (r * F.cos(b) * F.cos(o)).alias("sx"), (r * F.cos(b) * F.sin(o)).alias("sy"), (r * F.sin(b)).alias("sz"))
+    return s, (F.col("sx"), F.col("sy"), F.col("sz"))
 
 
 @query(
     f"""WITH {_grid_sql}
-SELECT lat_min, lon_min, round(range_km, 5) AS range_km, round(elevation_deg, 5) AS elevation_deg, visible,
+SELECT s_suppkey, lat_min, lon_min, round(range_km, 5) AS range_km, round(elevation_deg, 5) AS elevation_deg, visible,
   round(CASE WHEN visible THEN m END, 5) AS margin_db, CASE WHEN NOT visible THEN 'blocked' WHEN m >= 0 THEN 'pass' ELSE 'fail' END AS status,
   CASE WHEN NOT visible THEN 'blocked' WHEN m < 0 THEN 'negative' WHEN m < 3 THEN 'thin' WHEN m < 10 THEN 'good' ELSE 'ample' END AS bucket
 FROM budget"""
 )
 def coverage_grid(spark, sf):
-    g = _grid(spark)
+    """Every cell of every satellite, blocked ones too."""
+    g = coverage.coverage_grid(*_satellites(spark, sf), **_BUDGET)
     return g.select(
+        "s_suppkey",
         F.col("lat_min").cast("long"),
         F.col("lon_min").cast("long"),
         *rounded(range_km=F.col("range_km"), elevation_deg=F.col("elevation_deg")),
@@ -118,12 +129,24 @@ def coverage_grid(spark, sf):
 
 @query(
     f"""WITH {_grid_sql}
-SELECT count(*) AS total, count_if(visible)::BIGINT AS visible, count_if(visible AND m >= 0)::BIGINT AS passing,
-  round(max(CASE WHEN visible THEN m END), 5) AS best_margin_db, round(min(CASE WHEN visible AND m >= 0 THEN m END), 5) AS worst_passing_margin_db FROM budget"""
+SELECT s_suppkey, count(*) AS total, count_if(visible)::BIGINT AS visible, count_if(visible AND m >= 0)::BIGINT AS passing,
+  round(max(CASE WHEN visible THEN m END), 5) AS best_margin_db, round(min(CASE WHEN visible AND m >= 0 THEN m END), 5) AS worst_passing_margin_db FROM budget GROUP BY s_suppkey HAVING count_if(visible) > 0"""
 )
 def coverage_summary(spark, sf):
-    out = coverage.coverage_summary(_grid(spark), ["object_id"]).drop("object_id")
-    return out.select("total", "visible", "passing", *rounded(best_margin_db=F.col("best_margin_db"), worst_passing_margin_db=F.col("worst_passing_margin_db")))
+    """By satellite, from the cells of its footprint alone."""
+    out = coverage.coverage_summary(coverage.visible_cells(*_satellites(spark, sf), **_BUDGET), ["s_suppkey"], coverage.grid_size())
+    finite = F.when(F.abs("worst_passing_margin_db") != math.inf, F.col("worst_passing_margin_db"))
+    return out.select("s_suppkey", "total", "visible", "passing", *rounded(best_margin_db=F.col("best_margin_db"), worst_passing_margin_db=finite))
+
+
+@query(
+    f"""WITH {_grid_sql}, r AS (SELECT *, round(m, 6) AS r FROM budget WHERE visible)
+SELECT lat_min, lon_min, count(*) AS satellites, count_if(m >= 0)::BIGINT AS passing, round(max(m), 5) AS best_margin_db, arg_min(s_suppkey, (-r, s_suppkey)) AS best FROM r GROUP BY lat_min, lon_min"""
+)
+def coverage_best(spark, sf):
+    """The best of all satellites for each cell; margins are told apart to a millionth of a decibel."""
+    b = coverage.best_by_cell(coverage.visible_cells(*_satellites(spark, sf), **_BUDGET), "s_suppkey", 6)
+    return b.select(F.col("lat_min").cast("long"), F.col("lon_min").cast("long"), "satellites", "passing", F.round("best_margin_db", 5).alias("best_margin_db"), "best")
 
 
 @query(
