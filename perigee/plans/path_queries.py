@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from perigee.operators import occlusion, screening
+from perigee.operators import occlusion, planetary, screening
 from perigee.operators.rounds import shared_path
 from perigee.plans.queries import _S6, _rv, query, read, rounded
 from perigee.plans.sky_queries import tle_line
@@ -91,3 +91,50 @@ def published_version(spark, sf):
     writers.publish({"orders": o.where("o_orderkey % 5 <> 0")}, base)
     writers.publish({"orders": o.where("o_orderkey % 3 <> 0")}, base)
     return writers.current(spark, base)["orders"]
+
+
+# bodies of a table: users by remainder, days as instants, six multiples of the day's mean; body 3 has no even days
+_BODIES = """b AS (SELECT 'b' || user_id % 4 AS body, date_trunc('day', ts) AS ts, avg(value) * 1.0471975512 AS v FROM events WHERE NOT (user_id % 4 = 3 AND day(ts) % 2 = 0) GROUP BY 1, 2)"""
+
+
+def _bodies(spark, sf):
+    e = read(spark, sf, "events", "user_id", "ts", "value").where(~((F.col("user_id") % 4 == 3) & (F.dayofmonth("ts") % 2 == 0)))
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    b = e.groupBy(F.concat(F.lit("b"), (F.col("user_id") % 4).cast("string")).alias("body"), day.alias("ts")).agg((F.avg("value") * 1.0471975512).alias("v"))
+    return b.select("body", "ts", *[(F.col("v") * (i + 1)).alias(c) for i, c in enumerate(planetary.STATE)])
+
+
+@query(
+    f"""WITH {_BODIES}, n AS (SELECT count(DISTINCT ts) AS n FROM b)
+SELECT body, count(*) AS samples, epoch_ms(min(ts)) AS first_ms, epoch_ms(max(ts)) AS last_ms, concat_ws(',', CASE WHEN count(*) < max(n.n) THEN 'AXIS_MISMATCH' END, CASE WHEN count(*) < 2 THEN 'TOO_FEW_INSTANTS' END) AS issues FROM b, n GROUP BY body"""
+)
+def planetary_axis(spark, sf):
+    c = planetary.axis_check(_bodies(spark, sf))
+    return c.select("body", "samples", F.unix_millis("first").alias("first_ms"), F.unix_millis("last").alias("last_ms"), F.array_join("issues", ",").alias("issues"))
+
+
+_PROBED = f"""{_BODIES}, t AS (SELECT DISTINCT date_trunc('day', ts) + INTERVAL 7 HOUR AS t FROM events), p AS (SELECT t, body FROM t, (SELECT DISTINCT body FROM b UNION ALL SELECT 'none')),
+l AS (SELECT p.*, b.ts AS t0, b.v AS v0 FROM p ASOF LEFT JOIN b ON p.body = b.body AND p.t >= b.ts), r AS (SELECT l.*, b.ts AS t1, b.v AS v1 FROM l ASOF LEFT JOIN b ON l.body = b.body AND l.t <= b.ts),
+s AS (SELECT t, body, CASE WHEN body = 'none' THEN 'unavailable' WHEN t0 IS NULL OR t1 IS NULL THEN 'out_of_range' ELSE 'ok' END AS status, v0 + (v1 - v0) * (epoch_ms(t) - epoch_ms(t0)) / (epoch_ms(t1) - epoch_ms(t0))::DOUBLE AS v FROM r)"""
+
+
+def _probed(spark, sf):
+    times = read(spark, sf, "events", "ts").select((F.date_trunc("day", F.col("ts").cast("timestamp")) + F.expr("interval 7 hours")).alias("ts")).distinct()
+    names = F.array(*[F.lit(x) for x in ("b0", "b1", "b2", "b3", "none")])
+    return planetary.states_at(_bodies(spark, sf), times.withColumn("body", F.explode(names)))
+
+
+@query(f"WITH {_PROBED} SELECT body, epoch_ms(t) AS t_ms, status, " + ", ".join(f"round(CASE WHEN status = 'ok' THEN v * {i + 1} END, 4) AS {c}" for i, c in enumerate(("x", "y", "z", "vx", "vy", "vz"))) + " FROM s")
+def planetary_states(spark, sf):
+    """All bodies' six numbers at seven o'clock of every day."""
+    return _probed(spark, sf).select("body", F.unix_millis("ts").alias("t_ms"), "status", *[F.round(c, 4).alias(c) for c in planetary.STATE])
+
+
+@query(
+    f"""WITH {_PROBED} SELECT a.body, epoch_ms(a.t) AS t_ms, CASE WHEN a.status <> 'ok' THEN a.status ELSE o.status END AS status, round(CASE WHEN a.status = 'ok' AND o.status = 'ok' THEN a.v - o.v END, 4) AS x,
+  round(CASE WHEN a.status = 'ok' AND o.status = 'ok' THEN 6 * (a.v - o.v) END, 4) AS vz FROM s a JOIN s o ON a.t = o.t AND o.body = 'b0' WHERE a.body <> 'b0'"""
+)
+def planetary_relative(spark, sf):
+    """Every other body as the first one sees it."""
+    r = planetary.seen_from(_probed(spark, sf), "b0")
+    return r.select("body", F.unix_millis("ts").alias("t_ms"), "status", F.round("x", 4).alias("x"), F.round("vz", 4).alias("vz"))

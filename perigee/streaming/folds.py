@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -47,7 +48,7 @@ def coalesce_progress(step_fraction: float = 0.01, heartbeat_s: float = 5.0, ear
     """Which progress records of an attempt are persisted: first ones, new stages, steps and heartbeats.
 
     Fractions never fall.  One record of the cap is reserved for a final flush: in a batch the
-    last record is persisted in any case; a stream never knows its last.  Rows need t
+    last record is persisted in any case; :func:`flushed_stream` knows it by a timer.  Rows need t
     (seconds), stage and fraction; outcomes are persisted and fraction_so_far.
     """
 
@@ -113,3 +114,95 @@ def folded_stream(rows: DataFrame, key: str, order: list[str], fold: Fold) -> Da
         state.update((json.dumps(held),))
 
     return rows.groupBy(key).applyInPandasWithState(run, _schema(rows, fold), "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+#: The store that keeps timers and states which expire.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def flushed_stream(rows: DataFrame, key: str, order: list[str], fold: Fold, event_time: str, idle_s: float, forget_s: float | None = None) -> DataFrame:
+    """``rows`` of a stream with the fold's outcome, in which a key's last row is flushed.
+
+    The newest row of a key is held until another comes or, by a timer, until the watermark of
+    ``event_time`` is ``idle_s`` past it: then it is the last, and ``fold.finish`` has its say.
+    A key that was flushed keeps its state; one without rows for ``forget_s`` after its last row
+    is forgotten by a second timer, so states don't pile up.  Rows behind the watermark are
+    dropped by Spark, as in any stream.  Needs a watermark and the session's
+    ``spark.sql.streaming.stateStore.providerClass`` set to :data:`STATE_STORE`.
+    """
+    if rows.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STATE_STORE:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STATE_STORE}")
+    schema = rows.schema
+    idle, forget = int(idle_s * 1000), None if forget_s is None else int(max(forget_s, idle_s) * 1000)
+    processor = _Flushing(fold, key, [f.name for f in schema], order, event_time, idle, forget)
+    return rows.groupBy(key).transformWithStateInPandas(processor, _schema(rows, fold), "Append", "EventTime")
+
+
+class _Flushing(StatefulProcessor):
+    """One key's fold: the state and the row held back, in one value; a timer for the flush and one to forget."""
+
+    def __init__(self, fold: Fold, key: str, columns: list[str], order: list[str], event_time: str, idle: int, forget: int | None):
+        self.fold, self.key, self.columns, self.order, self.event_time, self.idle, self.forget = fold, key, columns, order, event_time, idle, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("fold", "said string")
+
+    def _frame(self, out: list[tuple[dict, dict]]) -> pd.DataFrame:
+        names = [*self.columns, *(x.split()[0] for x in self.fold.outcome.split(", "))]
+        frame = pd.DataFrame([{**row, **said} for row, said in out], columns=names)
+        if len(frame):
+            frame[self.event_time] = pd.to_datetime(frame[self.event_time])
+        return frame
+
+    def _last(self, kept: dict) -> tuple[dict, dict]:
+        row, said = kept["held"]
+        return row, self.fold.finish(kept["state"], said) if self.fold.finish else said
+
+    def _timers(self, at: int | None) -> None:
+        """The timers that a key is to have from now on: the later of two is for forgetting."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if at is not None:
+            self.handle.registerTimer(at + self.idle)
+            if self.forget is not None and self.forget > self.idle:
+                self.handle.registerTimer(at + self.forget)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept = json.loads(self.value.get()[0]) if self.value.exists() else {"state": self.fold.start(), "held": None, "at": None}
+        out, at, now = [], kept["at"], timerValues.getCurrentWatermarkInMs()
+        if at is not None and kept["held"] is not None and now >= at + self.idle:  # rows come before timers that are due with them
+            out.append(self._last(kept))
+            kept["held"] = None
+        if at is not None and self.forget is not None and now >= at + self.forget:
+            kept["state"] = self.fold.start()
+        state, held = kept["state"], kept["held"]
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")  # a micro-batch of one key
+        for row in frame.to_dict("records"):
+            if held is not None:
+                out.append(tuple(held))
+            at = max(at or 0, int(pd.Timestamp(row[self.event_time]).value // 1_000_000))
+            held = [{**row, self.event_time: str(row[self.event_time])}, self.fold.step(state, row)]
+        self.value.update((json.dumps({"state": state, "held": held, "at": at}, default=_plain),))
+        self._timers(at)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.value.exists():
+            kept = json.loads(self.value.get()[0])
+            if kept["held"] is not None:
+                out.append(self._last(kept))
+            if self.forget is not None and expiredTimerInfo.getExpiryTimeInMs() >= kept["at"] + self.forget:
+                self.value.clear()
+            else:
+                self.value.update((json.dumps({**kept, "held": None}),))
+        yield self._frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(x):
+    """Numbers of NumPy as JSON has them."""
+    return x.item() if hasattr(x, "item") else str(x)
