@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perigee.llm._spark import lean
+
 UNDETERMINED = "und"
 #: Rows per language that the dictionaries are cut from, at most.
 SAMPLE_ROWS = 256
@@ -119,7 +121,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "te
                 [*(batch.schema.names[i] for i in keep), *to],
             )
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):

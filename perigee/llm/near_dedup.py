@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigee.llm import _seq as S
-from perigee.llm._spark import Filter, discard, written
+from perigee.llm._spark import Filter, discard, lean, written
 from perigee.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch", "bins"],
                 )
 
-    return docs.mapInArrow(run, _SIGNED)
+    return docs.mapInArrow(lean(run), _SIGNED)
 
 
 _CLASS = ["c1", "c2"]
@@ -145,7 +145,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").alias("cid"), "text").where("cid is not null").withColumn("h", F.xxhash64("cid"))
-    found = rows.mapInArrow(run, "cid long, c1 long, c2 long, items array<long>")
+    found = rows.mapInArrow(lean(run), "cid long, c1 long, c2 long, items array<long>")
     return found.join(wanted, ["cid", *_CLASS]).select("node", "items").dropDuplicates(["node"])  # a row may be there twice
 
 
