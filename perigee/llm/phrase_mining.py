@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigee.llm import _seq as S
-from perigee.llm._spark import Filter, discard, written
+from perigee.llm._spark import Filter, discard, lean, written
 
 #: Occurrences that a phrase needs, words it may have, phrases reported per language.
 LEAST, LONGEST, TOP = 30, 4, 2000
@@ -87,7 +87,7 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shar
             )
 
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    return rows.mapInArrow(run, _SHARD)
+    return rows.mapInArrow(lean(run), _SHARD)
 
 
 class Bitmaps:
@@ -201,7 +201,7 @@ def phrase_keys(packed: DataFrame, filters: list[Filter], size: int) -> DataFram
             for path, count in _descend(ids, masks, len(words), (size,)):
                 yield pa.RecordBatch.from_arrays([pa.array(S.signed(_phrase_keys(keys, path))), pa.array(count)], ["key", "n"])
 
-    return packed.select(*_READ).mapInArrow(run, "key long, n long")
+    return packed.select(*_READ).mapInArrow(lean(run), "key long, n long")
 
 
 def phrase_counts(packed: DataFrame, filters: list[Filter], longest: int) -> DataFrame:
@@ -214,7 +214,7 @@ def phrase_counts(packed: DataFrame, filters: list[Filter], longest: int) -> Dat
                 phrase = pc.binary_join_element_wise(*(words.take(pa.array(path[:, k])) for k in range(path.shape[1])), " ")
                 yield pa.RecordBatch.from_arrays([langs.take(pa.array(path[:, 0])), phrase, pa.array(count)], ["lang", "phrase", "n"])
 
-    return packed.select(*_READ).mapInArrow(run, _COUNT)
+    return packed.select(*_READ).mapInArrow(lean(run), _COUNT)
 
 
 def _bitmap(flags: np.ndarray, chunks: int) -> np.ndarray:
