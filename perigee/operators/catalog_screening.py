@@ -234,6 +234,50 @@ def _finish(objects: DataFrame, found: DataFrame, moving: DataFrame, sane: DataF
     return out | ({"partitions": partitions} if whole else {})
 
 
+# What counts as one place and one motion.
+COLOCATED_KM, COLOCATED_KM_S = 0.001, 0.000001
+
+
+def described(events: DataFrame, objects: DataFrame, run: Run, more: tuple[str, ...] = ()) -> DataFrame:
+    """``events`` with both objects' element sets and ages, their states at the closest approach, relative motion and quality flags.
+
+    ``objects`` is one row an object: object_id, element_set_id, epoch, the seven elements and, if
+    there, orbit_class, name and quality_flags.  An event whose object isn't there is left out; a
+    null epoch has age 0 and a flag; states that can't be computed are null.  ``more`` flags go on all.
+    """
+    extra = {"orbit_class": F.lit("UNKNOWN"), "name": F.lit(None).cast("string"), "quality_flags": F.array().cast("array<string>")}
+    o = objects.withColumns({c: v for c, v in extra.items() if c not in objects.columns})
+    fields = ["element_set_id", "epoch", "orbit_class", "name", "quality_flags", *propagation.ELEMENTS]
+    out = events
+    for side in ("a", "b"):
+        out = out.join(o.select(F.col("object_id").alias(side), F.struct(*fields).alias(f"__{side}")), side)
+    for side in ("a", "b"):
+        s = lambda c: F.col(f"__{side}.{c}")  # noqa: B023, E731
+        asked = out.withColumns({c: s(c) for c in (*propagation.ELEMENTS, "epoch")}).withColumn("minutes", (F.col("tca_ms") - F.unix_millis(s("epoch").cast("timestamp"))) / 60000.0)
+        found = propagation.propagate(asked)
+        out = found.withColumn(f"{side}_state", F.struct(*_STATE)).drop(*propagation.ELEMENTS, "epoch", "minutes", "code", *_STATE)
+    difference = lambda names: tuple(F.col(f"b_state.{c}") - F.col(f"a_state.{c}") for c in names)
+    position, velocity = difference(_STATE[:3]), difference(_STATE[3:])
+    out = out.withColumns({"relative_position_km": F.array(*position), "relative_velocity_km_s": F.array(*velocity), "relative_speed_km_s": G.norm(velocity)})
+    at = F.timestamp_millis("tca_ms")
+    flags = {"ACCELERATION_BOUND_COARSE_SCREEN": F.lit(True), "COLLISION_PROBABILITY_UNAVAILABLE": F.lit(True), "SAME_TIME_TEME_STATES": F.lit(True), "SUBDIVIDED_LOCAL_MINIMUM_SEARCH": F.lit(True), "TLE_SGP4_SCREENING_ONLY": F.lit(True), "REFINEMENT_NOT_CONVERGED": ~F.col("converged")}
+    common = F.lit(True)
+    for c in ("epoch", *propagation.ELEMENTS):
+        common = common & (F.col(f"__a.{c}") == F.col(f"__b.{c}"))
+    near = (F.col("miss_km") <= COLOCATED_KM) & (F.col("relative_speed_km_s") <= COLOCATED_KM_S)
+    flags["COLOCATED_OR_COMMON_TLE_GEOMETRY"] = F.coalesce(common, F.lit(False)) | F.coalesce(near, F.lit(False))
+    held = []
+    for side, name in (("a", "PRIMARY"), ("b", "SECONDARY")):
+        fresh = C.freshness(f"__{side}.epoch", f"__{side}.orbit_class", at)
+        out = out.withColumns({f"{side}_age_days": F.coalesce(fresh["age_days"], F.lit(0.0)), f"__{side}_status": fresh["status"], f"{side}_element_set_id": F.col(f"__{side}.element_set_id"), f"{side}_name": F.col(f"__{side}.name")})
+        status = F.col(f"__{side}_status")
+        flags |= {f"{name}_TLE_STALE_AT_TCA": status == "STALE", f"{name}_TLE_EPOCH_AFTER_TCA": status == "FUTURE", f"{name}_TLE_EPOCH_UNAVAILABLE": status == "UNUSABLE"}
+        held.append(F.transform(F.coalesce(F.col(f"__{side}.quality_flags"), F.array().cast("array<string>")), lambda x: F.concat(F.lit(f"{name}_"), x)))  # noqa: B023
+    given = F.array(*[F.lit(x) for x in more]).cast("array<string>")
+    out = out.withColumn("quality_flags", F.array_sort(F.array_distinct(F.concat(C.flag_set(**flags), *held, given))))
+    return out.drop("__a", "__b", "__a_status", "__b_status")
+
+
 def _errors(failed: DataFrame, moving: DataFrame, sane: DataFrame, run: Run) -> DataFrame:
     """The first errors by object, time and code: states that failed, and intervals that break the motion bound."""
     broken = moving.join(sane.select("slab", "id"), ["slab", "id"], "left_anti").select(F.col("id").alias("object_id"), F.col("end_ms").alias("t_ms"), F.lit("KINEMATIC_BOUND_VIOLATION").alias("code"))

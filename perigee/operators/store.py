@@ -127,6 +127,22 @@ def panel(events: DataFrame, mode: str, position: str) -> DataFrame:
     return events.orderBy(F.col(name).desc_nulls_last() if down else F.col(name).asc_nulls_last(), position)
 
 
+def panel_places(events: DataFrame, mode: str, position: str) -> DataFrame:
+    """All events with their ``place`` in the panel's order, from 1.
+
+    Ranges of the order are numbered each on its own and moved on by the sizes of those before,
+    so no task has more than a range.
+    """
+    name, down = PANEL_ORDERS.get(mode, PANEL_ORDERS["tca"])
+    order = [F.col(name).desc_nulls_last() if down else F.col(name).asc_nulls_last(), F.col(position)]
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = materialised(events.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranges.groupBy("__range").count()  # a row a range
+    before = sizes.select("__range", (F.sum("count").over(Window.orderBy("__range")) - F.col("count")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn("place", F.col("__before") + F.col("__own")).drop("__range", "__own", "__before")
+
+
 def lookup(satellites: DataFrame, norad: str | None, name: str | None, position: str) -> DataFrame:
     """The satellite of the number, else of the name, else the first one marked as selected; one row or none."""
     rank = F.when(F.col("norad_id").cast("string") == F.lit(norad), 1) if norad else F.when(F.lit(False), 1)

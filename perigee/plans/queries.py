@@ -484,14 +484,14 @@ _PROBE = "p AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS t FROM events
 @query(
     f"""WITH {_PROBE}, l AS (SELECT p.user_id, p.t, s.ts AS t0, s.v AS v0 FROM p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.t >= s.ts),
 b AS (SELECT l.*, s.ts AS t1, s.v AS v1 FROM l ASOF LEFT JOIN s ON l.user_id = s.user_id AND l.t <= s.ts)
-SELECT user_id, (epoch_us(t) // 1000) AS t_ms, CASE WHEN t0 IS NULL OR t1 IS NULL THEN 'out_of_range' ELSE 'ok' END AS status,
-  round(CASE WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN v0 + (v1 - v0) * CASE WHEN (epoch_us(t1) // 1000) > (epoch_us(t0) // 1000) THEN ((epoch_us(t) // 1000) - (epoch_us(t0) // 1000)) / ((epoch_us(t1) // 1000) - (epoch_us(t0) // 1000))::DOUBLE ELSE 0.0 END END, 5) AS v FROM b"""
+SELECT user_id, (epoch_us(t) // 1000) AS t_ms, CASE WHEN t0 IS NULL OR t1 IS NULL THEN 'out_of_range' WHEN epoch_us(t1) // 1000 - epoch_us(t0) // 1000 > 3 * 86400000 THEN 'gap' ELSE 'ok' END AS status,
+  round(CASE WHEN t0 IS NOT NULL AND t1 IS NOT NULL AND epoch_us(t1) // 1000 - epoch_us(t0) // 1000 <= 3 * 86400000 THEN v0 + (v1 - v0) * CASE WHEN (epoch_us(t1) // 1000) > (epoch_us(t0) // 1000) THEN ((epoch_us(t) // 1000) - (epoch_us(t0) // 1000)) / ((epoch_us(t1) // 1000) - (epoch_us(t0) // 1000))::DOUBLE ELSE 0.0 END END, 5) AS v FROM b"""
 )
 def ephemeris_interpolate(spark, sf):
     e = read(spark, sf, "events", "user_id", "ts", "value")
     samples = e.select("user_id", F.col("ts").alias("t"), F.col("value").alias("v"))
     probes = e.select("user_id", F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("t")).distinct()
-    out = ephemeris.interpolate(ephemeris.bracket(samples, probes, "user_id", "t", ["v"]), "t", ["v"], None)
+    out = ephemeris.interpolate(ephemeris.bracket(samples, probes, "user_id", "t", ["v"]), "t", ["v"], 3 * 86400.0)
     return out.select("user_id", F.unix_millis(F.col("t").cast("timestamp")).alias("t_ms"), "status", F.round("v", 5).alias("v"))
 
 

@@ -138,13 +138,13 @@ def events_by_text(spark, sf):
 
 
 def _panel(name: str, mode: str, order: str):
-    sql = f"SELECT event_id, user_id FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value) END AS v FROM events) ORDER BY {order}, event_id LIMIT 60"
+    sql = f"SELECT event_id, user_id, row_number() OVER (ORDER BY {order}, event_id) AS place FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value) END AS v FROM events)"
 
     def run(spark, sf):
         e = read(spark, sf, "events", "event_id", "user_id", "ts", "value", "event_type")
         v = F.when(F.col("event_id") % 5 != 0, F.round("value"))
         rows = e.select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("tca_ms"), v.alias("miss_km"), v.alias("speed_km_s"), F.col("event_type").alias("label"))
-        return store.panel(rows, mode, "event_id").select("event_id", "user_id").limit(60)
+        return store.panel_places(rows, mode, "event_id").select("event_id", "user_id", "place")
 
     run.__name__ = name
     query(sql)(run)
