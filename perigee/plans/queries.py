@@ -7,6 +7,7 @@ both engines.
 
 from __future__ import annotations
 
+import datetime
 import math
 from collections.abc import Callable
 
@@ -405,6 +406,14 @@ _page("event_page_by_price_desc", [("o_totalprice", True), ("o_orderkey", True)]
 _page("event_page_by_pair", [("o_custkey", False), ("o_orderkey", False)], "700,5000")
 _page("event_page_latest", [("o_orderkey", True)], "9000")
 
+
+@query("SELECT o_orderkey, epoch_ms(o_orderdate) AS created_ms FROM orders WHERE o_orderdate < TIMESTAMP '1997-03-01' OR (o_orderdate = TIMESTAMP '1997-03-01' AND o_orderkey < 5000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+def revision_page_latest(spark, sf):
+    """A page after a cursor of time and id, the newest first."""
+    rows = read(spark, sf, "orders", "o_orderkey", "o_orderdate").withColumn("created", F.col("o_orderdate").cast("timestamp"))
+    page = OC.keyset_page(rows, [("created", True), ("o_orderkey", True)], (datetime.datetime(1997, 3, 1, tzinfo=datetime.UTC), 5000), 50)
+    return page.select("o_orderkey", F.unix_millis("created").alias("created_ms"))
+
 _SCREEN = screening.Screening(radius_km=0.05, cell_km=0.1, max_acceleration_km_s2=0.0, max_cells_per_object=8)
 
 

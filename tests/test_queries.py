@@ -71,4 +71,4 @@ def test_entry_without_subpackage(spark):
     import __spark_entry__ as e
 
     assert set(QUERIES) <= set(e.queries())
-    assert e.entry(spark).columns == ["pair_key", "tca_ms", "miss_km"]
+    assert e.entry(spark).columns == ["pair_key", "event_id", "tca_ms", "miss_km", "converged", "boundary"]
