@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigee.llm import _seq as S
-from perigee.llm._spark import Filter, discard, written
+from perigee.llm._spark import Filter, discard, lean, written
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ def repeated_anchors(rows: DataFrame, unit: Unit) -> DataFrame:
             columns = [S.signed(anchor[first]), content[first], (count * places[first]).astype(np.int32), places[first].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "content", "n", "places"])
 
-    counted = rows.select("text").mapInArrow(run, "anchor long, content long, n int, places int")
+    counted = rows.select("text").mapInArrow(lean(run), "anchor long, content long, n int, places int")
     grouped = counted.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("places").alias("places"))
     return grouped.where("n > 1").select("anchor", ((F.col("lo") != F.col("hi")) | (F.col("places") > 1)).alias("mixed"))
 
@@ -112,7 +112,7 @@ def placed_pieces(rows: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
                     ["key", "lo", "hi", "anchor", "content", "tail", "head"],
                 )
 
-    return rows.select("key", "text").mapInArrow(run, _PLACED).join(anchors, "anchor")
+    return rows.select("key", "text").mapInArrow(lean(run), _PLACED).join(anchors, "anchor")
 
 
 def mixed_contents(rows: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
@@ -142,7 +142,7 @@ def mixed_contents(rows: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame
                     ["anchor", "content", "n", "payload"],
                 )
 
-    found = rows.select("text").mapInArrow(run, "anchor long, content long, n long, payload binary")
+    found = rows.select("text").mapInArrow(lean(run), "anchor long, content long, n long, payload binary")
     return found.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.first("payload").alias("payload")).join(mixed, "anchor", "left_semi")
 
 
@@ -197,7 +197,7 @@ def merged(spans: DataFrame) -> DataFrame:
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], ["key", "lo", "hi"])
 
-    one = dealt.mapInArrow(run, "key long, lo long, hi long")
+    one = dealt.mapInArrow(lean(run), "key long, lo long, hi long")
     return one.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -112,6 +113,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
+            gc.collect()
             pa.default_memory_pool().release_unused()
             if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # of the C library, where it has one
                 trim(0)
@@ -148,4 +150,4 @@ def mapped_apart(rows: DataFrame, found: DataFrame, column: str, value: str, run
         return run(some())
 
     may = rows.where(filt.passes(rows.sparkSession, F.col(column))).join(found, on or column, "left")
-    return may.select(*rows.columns, value).mapInArrow(run, schema).unionByName(rows.mapInArrow(rest, schema))
+    return may.select(*rows.columns, value).mapInArrow(lean(run), schema).unionByName(rows.mapInArrow(lean(rest), schema))

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perigee.llm._spark import lean
+
 #: Code points read at once, the longest pre-token that is fed at once, entries of the table.
 CHUNK, LONGEST, MEMO = 1 << 16, 256, 1 << 18
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -350,7 +352,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kept)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), kept)
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perigee.llm import _seq as S
-from perigee.llm._spark import written
+from perigee.llm._spark import lean, written
 
 WINDOW = 13
 #: Words to which a shard's suffixes are sorted; at least a window.
@@ -229,7 +229,7 @@ def _pass(docs: DataFrame, items: Items, text_col: str) -> DataFrame:
                 [*base, "__n_words", "__hits", "__items", "__longest"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _merge(a: list[dict], b: list[dict]) -> list[dict]:

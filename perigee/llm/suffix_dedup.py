@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from perigee.llm import _repeats as R
 from perigee.llm import _seq as S
 from perigee.llm._induced import repeated_starts
-from perigee.llm._spark import apart, discard, mapped_apart, written
+from perigee.llm._spark import apart, discard, lean, mapped_apart, written
 
 #: Bytes of a repeated string that is removed, and of a shorter one that is reported beside it:
 #: 50 words of prose take some 300 bytes, so a passage of 50 words holds at least one of 256.
@@ -86,7 +86,7 @@ def _sort_shards(contents: DataFrame, window: int, tasks: int) -> DataFrame:
             yield solve(rows)
 
     dealt = contents.repartition(tasks, "anchor", "shard").sortWithinPartitions("shard", "anchor", "content")
-    return dealt.mapInArrow(run, "anchor long, content long, ranges array<struct<lo:int,hi:int>>")
+    return dealt.mapInArrow(lean(run), "anchor long, content long, ranges array<struct<lo:int,hi:int>>")
 
 
 def _fingerprints(contents: DataFrame, window: int) -> DataFrame:
@@ -100,7 +100,7 @@ def _fingerprints(contents: DataFrame, window: int) -> DataFrame:
                 full = lambda x: pa.array(np.full(len(at), x.as_py()))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([full(anchor), full(content), pa.array(at.astype(np.int32)), pa.array(S.digests(data, at, at + window)[:, 0]), full(n)], ["anchor", "content", "i", "print", "n"])
 
-    return contents.mapInArrow(run, "anchor long, content long, i int, print long, n long")
+    return contents.mapInArrow(lean(run), "anchor long, content long, i int, print long, n long")
 
 
 def _settle(contents: DataFrame, window: int) -> DataFrame:
@@ -144,7 +144,7 @@ def longer(rows: DataFrame, spans: DataFrame, window: int) -> DataFrame:
                     doc.append(d.as_py()), key.append(k.as_py()), at.append(s["lo"]), out.append(bytes(data[s["lo"] : s["hi"]]))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "of", "at", "text"])
 
-    cuts = may.join(long_, "key").mapInArrow(run, "doc_id long, of long, at long, text binary").withColumn("key", F.xxhash64("of", "at"))
+    cuts = may.join(long_, "key").mapInArrow(lean(run), "doc_id long, of long, at long, text binary").withColumn("key", F.xxhash64("of", "at"))
     cuts = written(cuts, "cuts")
     found = R.repeat_spans(cuts.select("key", "text"), unit(window), lambda contents: _settle(contents, window))
     whole = cuts.select("key", "of", "at").distinct().join(found, "key")
@@ -213,7 +213,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in base]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.bool_())], [*base, "__cut"])
 
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(lean(run), schema)
     if chars_col in base:
         out = out.withColumn(chars_col, F.when(F.col("__cut"), F.char_length(text_col).cast("long")).otherwise(F.col(chars_col)))
     pick = [F.col(f"`{c}`") for c in base]
