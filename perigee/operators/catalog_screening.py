@@ -75,6 +75,13 @@ def states(objects: DataFrame, run: Run) -> DataFrame:
     return propagation.propagate(e).select("object_id", "k", "t_ms", *_STATE, "code")
 
 
+def grid_states(tabulated: DataFrame, run: Run) -> DataFrame:
+    """States of tabulated objects (object_id, ts, x..vz, code) at the grid's borders, in the form of :func:`states`."""
+    spark = tabulated.sparkSession
+    grid = spark.createDataFrame(list(enumerate(run.borders())), "k long, t_ms long")
+    return tabulated.withColumn("t_ms", F.unix_millis(F.col("ts").cast("timestamp"))).join(F.broadcast(grid), "t_ms").select("object_id", "k", "t_ms", *_STATE, "code")
+
+
 def _long_grid(run: Run) -> Column:
     t = screening.time_grid(F.lit(run.start_ms).cast("long"), F.lit(run.end_ms).cast("long"), run.step_s)
     return F.transform(t, lambda x, i: F.struct(i.cast("long").alias("k"), x.alias("t_ms")))

@@ -306,8 +306,3 @@ def element_sets(rows: DataFrame, by: str, ident: str) -> DataFrame:
 def ratios(checks: Column, intervals: Column) -> dict[str, Column]:
     """Checks an interval, and the share of intervals that needed none."""
     return {"checks_per_interval": F.try_divide(checks.cast("double"), intervals), "reduction": 1 - F.try_divide(checks.cast("double"), intervals)}
-
-
-def newest_in_window(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    """The last ``n`` rows of each key; a key's rows are ranked, not gathered."""
-    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where(F.col("__k") <= n).drop("__k")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from perigee.functions import catalog as C
 from perigee.functions import identity as I
 from perigee.operators import catalog as OC
-from perigee.operators import propagation, timeline
+from perigee.operators import ephemeris, propagation, timeline
 from perigee.sources import elements
 
 # Bounds of one input, and keys that only a record has, never a wrapper.
@@ -133,6 +133,46 @@ def adapt(texts: DataFrame, form: str, satcat: DataFrame | None = None, provider
     return out.select(*_SHARED, *([] if satcat is None else ["object_type", "lifecycle_status"])), files
 
 
+def adapt_ephemerides(texts: DataFrame, form: str) -> tuple[DataFrame, DataFrame]:
+    """(objects, states) of tabulated sources, one object a file.
+
+    ``form``: OEM_KVN or PROVIDER_EPHEMERIS_JSON.  Objects: path, object_id, source_format, frame,
+    n_states, issue; a file without a usable identity has IDENTITY_MISSING, and every file of an
+    object that comes twice DUPLICATE_OBJECT_ID.  States of files without an issue: object_id,
+    source_format, frame, ts, x..vz.
+    """
+    none = F.lit(None).cast("string")
+    if form == "OEM_KVN":
+        described, states = elements.oem_states(texts)
+        described = described.withColumn("object_id", C.object_id(none, none, F.col("cospar"), none, none))
+    elif form == "PROVIDER_EPHEMERIS_JSON":
+        described, states = elements.provider_states(texts)
+        described = described.withColumnRenamed("identity", "object_id")
+    else:
+        raise ValueError(f"unknown ephemeris format {form!r}")
+    issue = F.coalesce("issue", F.when(F.col("object_id").isNull(), "IDENTITY_MISSING"))
+    objects = described.select("path", "object_id", F.lit(form).alias("source_format"), "frame", "n_states", issue.alias("issue"))
+    many = objects.where("issue is null").groupBy("object_id").agg(F.count("*").alias("__n")).where("__n > 1")
+    objects = objects.join(many, "object_id", "left").withColumn("issue", F.coalesce("issue", F.when(F.col("__n") > 1, "DUPLICATE_OBJECT_ID"))).drop("__n").select("path", "object_id", "source_format", "frame", "n_states", "issue")
+    kept = states.join(objects.where("issue is null").select("path", "object_id", "source_format", "frame"), "path")
+    return objects, kept.select("object_id", "source_format", "frame", "ts", *STATE)
+
+
+STATE = ("x", "y", "z", "vx", "vy", "vz")
+
+
+def tabulated_at(states: DataFrame, times: DataFrame, max_gap_s: float | None = 3600.0) -> DataFrame:
+    """(object_id, source_format, ts, x..vz, code) of every tabulated object at every one of ``times`` (ts).
+
+    Values are linear between the samples beside a time; code is ok, out_of_range, or gap where
+    these are further apart than allowed, and the state is null unless ok.
+    """
+    objects = states.select("object_id", "source_format").distinct()
+    probes = objects.crossJoin(F.broadcast(times.select("ts").distinct()))  # a screening's grid of times
+    at = ephemeris.interpolate(ephemeris.bracket(states.select("object_id", "ts", *STATE), probes, "object_id", "ts", list(STATE)), "ts", list(STATE), max_gap_s)
+    return at.select("object_id", "source_format", "ts", *STATE, F.col("status").alias("code"))
+
+
 def states_of(records: DataFrame, minutes: float, ephemerides: DataFrame | None = None, time: str = "ts") -> DataFrame:
     """States of usable records some minutes after epoch, whatever their format; tabulated ones pass as they are.
 
