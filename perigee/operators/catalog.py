@@ -119,6 +119,27 @@ def line_issues(line1: str = "tle_line1", line2: str = "tle_line2") -> Column:
     return C.flag_set(**{k: F.coalesce(v, F.lit(True)) for k, v in rules.items()})
 
 
+def legacy_records(sets: DataFrame, launches: DataFrame | None = None) -> DataFrame:
+    """Element sets (company, name, line1, line2) as flat records of the older form, with launch dates (norad_id, launch_date) looked up.
+
+    Texts that are missing say so (:data:`K.NO_DATA`), metrics that can't be read are null; of
+    several dates of a number the latest counts; rows that repeat are written each.
+    """
+    told = lambda c: F.when(F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0, F.trim(F.col(c))).otherwise(K.NO_DATA)
+    out = sets.withColumns({"norad_id": C.tle_norad("line1"), **C.orbit_metrics("line2")})
+    if launches is not None:
+        dates = launches.where("norad_id is not null and launch_date is not null").groupBy("norad_id").agg(F.max("launch_date").alias("__date"))
+        out = out.join(dates, "norad_id", "left")
+    else:
+        out = out.withColumn("__date", F.lit(None).cast("string"))
+    kind = C.orbit_class_ingest(F.col("mean_motion_rev_per_day"), F.col("eccentricity"), F.col("perigee_km"), F.col("apogee_km"))
+    metrics = ["inclination_deg", "eccentricity", "mean_motion_rev_per_day", "period_min", "semi_major_axis_km", "perigee_km", "apogee_km", "estimated_altitude_km"]
+    return out.select(
+        told("company").alias("company"), told("name").alias("satellite_name"), "norad_id", F.coalesce("__date", F.lit(K.NO_DATA)).alias("launch_date"), kind.alias("type"), kind.alias("orbit_class"),
+        *metrics, told("line1").alias("tle_line1"), told("line2").alias("tle_line2"),
+    )
+
+
 def quarantine(records: DataFrame, key: str, issues: Column) -> DataFrame:
     """``records`` with sorted reason codes and ``accepted``; every row of a repeated identity is refused.
 

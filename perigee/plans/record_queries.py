@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from perigee.functions import catalog as C
+from perigee.operators import catalog as OC
 from perigee.operators import validation
 from perigee.plans.queries import query, read
 
@@ -74,3 +75,26 @@ def record_issues(spark, sf):
     p = F.struct(s("src").alias("source_id"), s("prov").alias("provider"), s("2024-01-03T00:00:00Z").alias("retrieved_at"), s("ds").alias("dataset_id"), s("sha256:a").alias("dataset_hash"), s(None).alias("source_uri"), s("COMPLETE").alias("source_status"), F.lit(False).alias("partial_update"), s(None).alias("license_id"))
     out = validation.validated(rows, p)
     return out.select("p_partkey", F.array_join(F.transform("issues", lambda x: F.concat_ws(" ", x["path"], x["code"])), ",").alias("issues"), "accepted", F.col("object.norad_id").alias("norad_id"))
+
+
+_AXIS = "pow(398600.4418 / pow(m * 2 * pi() / 86400, 2), 1.0 / 3)"
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE round(p_size / 3.0 + 0.3, 4) END AS m FROM part), a AS (SELECT *, {_AXIS} AS a FROM p),
+c AS (SELECT *, CASE WHEN m IS NULL THEN 'no data' WHEN a * 0.99 - 6378.137 < 120 THEN 'DECAYING' WHEN a * 1.01 - 6378.137 > 50000 THEN 'HEO' WHEN m < 2.5 THEN 'GEO' WHEN m > 11 THEN 'LEO' ELSE 'MEO' END AS k FROM a)
+SELECT CASE WHEN p_partkey % 4 = 0 THEN 'no data' ELSE p_brand END AS company, CASE WHEN p_partkey % 5 = 0 THEN 'no data' ELSE 'SAT ' || p_partkey END AS satellite_name, (10000 + p_partkey % 90000)::VARCHAR AS norad_id,
+  CASE WHEN p_partkey % 3 = 0 THEN '2001-02-03' ELSE 'no data' END AS launch_date, k AS type, k AS orbit_class, round(m, 4) AS motion, round(1440.0 / m, 5) AS period_min, CASE WHEN m IS NULL THEN 'no data' ELSE 'said' END AS line2 FROM c"""
+)
+def legacy_records(spark, sf):
+    """Parts as element sets, in the flat form of older files."""
+    k = F.col("p_partkey")
+    n = (k % 90000 + 10000).cast("string")
+    motion = F.format_string("%11.8f", F.round(F.col("p_size") / 3.0 + 0.3, 4).cast("double"))
+    two = F.when(k % 9 != 0, F.concat(F.lit("2 "), n, F.lit("  51.6000 010.0000 0100000 020.0000 030.0000 "), motion, F.lit(" 1")))
+    rows = read(spark, sf, "part", "p_partkey", "p_brand", "p_size").select(
+        F.when(k % 4 != 0, F.col("p_brand")).alias("company"), F.when(k % 5 != 0, F.concat(F.lit(" SAT "), k.cast("string"))).otherwise("  ").alias("name"), F.concat(F.lit("1 "), n, F.lit("U 98067A")).alias("line1"), two.alias("line2"), "p_partkey"
+    )
+    dates = rows.where("p_partkey % 3 = 0").select(C.tle_norad("line1").alias("norad_id"), F.explode(F.array(F.lit("2001-02-03"), F.lit("1999-01-01"))).alias("launch_date"))
+    out = OC.legacy_records(rows, dates)
+    return out.select("company", "satellite_name", "norad_id", "launch_date", "type", "orbit_class", F.round("mean_motion_rev_per_day", 4).alias("motion"), F.round("period_min", 5).alias("period_min"), F.when(F.col("tle_line2") == "no data", "no data").otherwise("said").alias("line2"))
