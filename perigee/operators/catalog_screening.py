@@ -5,6 +5,11 @@ slabs; slabs whose states obey the motion bound meet in the spatial hash of
 :mod:`perigee.operators.screening`, its chord filter leaves candidates, and these are refined with
 SGP4 itself.  Nothing is limited silently: counters say what was lost or cut at every step.
 
+Objects with the same epoch and elements move alike, so they are one row from propagation to the
+last event, with ``copies`` saying for how many it stands: the work follows the different
+orbits and not the square of their copies.  Counters count objects and pairs of objects, and
+events are dealt out to every pair of objects at the end.
+
 What a slab's join would cost is counted before it runs.  A run with limits stops at the first
 slab that exceeds one; slabs before it are whole, its envelope says PARTIAL with the reason, and
 its pairs and those of later slabs count as unscreened.  Counters of the join itself are observed
@@ -66,13 +71,61 @@ def unique_objects(catalog: DataFrame) -> DataFrame:
     return OC.preferred(catalog, "object_id", "epoch", "element_set_id")
 
 
+_MOTION = ("epoch", *propagation.ELEMENTS)
+#: Objects of one array of alike ones.
+_TOGETHER = 1024
+
+
+def kinds(objects: DataFrame, primary: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kinds, members) of unique objects: one row for all that move alike, and who they are.
+
+    Kinds: object_id (the least), epoch, the elements, ``copies`` and the sum of ``skipped``; ``primary`` is
+    a kind of its own.  Members: kind, part, ids; a kind of many objects has several parts of bounded size.
+    """
+    alone = (F.col("object_id") == F.lit(primary)) if primary is not None else F.lit(False)
+    told = objects.withColumn("__alone", alone)
+    same = [*_MOTION, "__alone"]
+    kind = materialised(told.groupBy(*same).agg(F.min("object_id").alias("object_id"), F.count("*").alias("copies"), F.sum("skipped").alias("skipped")))
+    at = kind.select(*[F.col(c).alias(f"k_{c}") for c in same], F.col("object_id").alias("kind"), "copies")
+    alike = F.lit(True)
+    for c in same:
+        alike = alike & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    part = F.pmod(F.xxhash64("object_id"), F.ceil(F.col("copies") / _TOGETHER))
+    members = told.join(at, alike).groupBy("kind", part.alias("part")).agg(F.collect_list("object_id").alias("ids"))
+    return kind.drop("__alone"), materialised(members)
+
+
+def expanded(rows: DataFrame, members: DataFrame | None, *more: str) -> DataFrame:
+    """``rows`` of pairs of kinds (a, b) for every pair of their objects, a the lesser; ``more`` columns tell rows of one pair apart.
+
+    Pairs are generated in the task that holds both arrays: tasks follow the setting, as few rows give many.
+    """
+    if members is None:
+        return rows
+    out = rows.withColumnsRenamed({"a": "__ka", "b": "__kb"})
+    for n in "ab":
+        out = out.join(members.select(F.col("kind").alias(f"__k{n}"), F.col("part").alias(f"__p{n}"), F.col("ids").alias(f"__i{n}")), f"__k{n}")
+    out = out.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__ka", "__kb", "__pa", "__pb", *more)
+    out = out.withColumn("__x", F.explode("__ia")).withColumn("__y", F.explode("__ib")).where("__ka <> __kb or __x < __y")
+    return out.select(*[F.least("__x", "__y").alias(c) if c == "a" else F.greatest("__x", "__y").alias(c) if c == "b" else F.col(c) for c in rows.columns])
+
+
+def _weighed(rows: DataFrame, objects: DataFrame) -> DataFrame:
+    """``rows`` of pairs of kinds with ``pairs``, the number of pairs of objects that each stands for."""
+    out = rows
+    for n in "ab":
+        out = out.join(objects.select(F.col("object_id").alias(n), F.col("copies").alias(f"__{n}")), n)
+    return out.withColumn("pairs", F.when(F.col("a") == F.col("b"), F.expr("__a * (__a - 1) div 2")).otherwise(F.col("__a") * F.col("__b"))).drop("__a", "__b")
+
+
 def states(objects: DataFrame, run: Run) -> DataFrame:
-    """(object_id, k, t_ms, x..vz, code): each object at every border of the grid."""
+    """(object_id, k, t_ms, x..vz, code): each object at every border of the grid; ``copies`` is passed on."""
+    copies = ["copies"] if "copies" in objects.columns else []
     times = run.borders()
     grid = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).cast("long").alias("t_ms")) for k, t in enumerate(times)]) if len(times) <= 64 else _long_grid(run)
-    e = objects.select("object_id", "epoch", *propagation.ELEMENTS, F.explode(grid).alias("g")).select("*", "g.k", "g.t_ms").drop("g")
+    e = objects.select("object_id", "epoch", *copies, *propagation.ELEMENTS, F.explode(grid).alias("g")).select("*", "g.k", "g.t_ms").drop("g")
     e = e.withColumn("minutes", (F.col("t_ms") - F.unix_millis(F.col("epoch").cast("timestamp"))) / 60000.0)
-    return propagation.propagate(e).select("object_id", "k", "t_ms", *_STATE, "code")
+    return propagation.propagate(e).select("object_id", *copies, "k", "t_ms", *_STATE, "code")
 
 
 def grid_states(tabulated: DataFrame, run: Run) -> DataFrame:
@@ -88,14 +141,15 @@ def _long_grid(run: Run) -> Column:
 
 
 def slabs(found: DataFrame) -> DataFrame:
-    """(slab, id, start_ms, end_ms, seconds, p0*, v0*, p1*, v1*) of objects with a state at both borders."""
+    """(slab, id, start_ms, end_ms, seconds, p0*, v0*, p1*, v1*) of objects with a state at both borders; ``copies`` is passed on."""
+    copies = ["copies"] if "copies" in found.columns else []
     w = Window.partitionBy("object_id").orderBy("k")
     good = found.where("code = 'ok'")
     nxt = F.lead(F.struct("k", "t_ms", *_STATE)).over(w)
     both = good.withColumn("n", nxt).where("n.k = k + 1")
     ends = [F.col(f"{v}{a}" if v else a).alias(f"{n}0{a}") for n, v in (("p", ""), ("v", "v")) for a in "xyz"]
     later = [F.col(f"n.{v}{a}").alias(f"{n}1{a}") for n, v in (("p", ""), ("v", "v")) for a in "xyz"]
-    return both.select(F.col("k").alias("slab"), F.col("object_id").alias("id"), F.col("t_ms").alias("start_ms"), F.col("n.t_ms").alias("end_ms"), ((F.col("n.t_ms") - F.col("t_ms")) / 1000.0).alias("seconds"), *ends, *later)
+    return both.select(F.col("k").alias("slab"), F.col("object_id").alias("id"), *copies, F.col("t_ms").alias("start_ms"), F.col("n.t_ms").alias("end_ms"), ((F.col("n.t_ms") - F.col("t_ms")) / 1000.0).alias("seconds"), *ends, *later)
 
 
 def _refined(candidates: DataFrame, objects: DataFrame, run: Run) -> DataFrame:
@@ -108,13 +162,19 @@ def _refined(candidates: DataFrame, objects: DataFrame, run: Run) -> DataFrame:
     return refinement.refine(asked, refinement.Refinement(radius_km=run.radius_km, tolerance_s=run.tolerance_s), refinement.elements)
 
 
-def _events(refined: DataFrame, run: Run) -> DataFrame:
-    """One row per close approach: pair_key, event_id, tca_ms, miss_km, the bracket, converged and boundary."""
+def _close(refined: DataFrame, run: Run) -> DataFrame:
+    """One row per close approach of two kinds (a, b): tca_ms, miss_km, the bracket, converged, boundary and ``pairs``."""
     found = refined.where("tca_ms is not null").withColumn("pair_key", C.pair_key("a", "b"))
-    found = found.withColumn("event_id", I.event_id("a", "b", F.date_format(F.timestamp_millis("tca_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(run.request_id)))
+    found = found.withColumn("event_id", F.concat_ws("|", "pair_key", "tca_ms"))
     once = screening.dedup_events(found, run.tolerance_s)
-    flags = found.groupBy("event_id").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.max("converged").alias("converged"), F.max("boundary").alias("boundary"))
-    return once.join(flags, "event_id")
+    flags = found.groupBy("event_id").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.max("converged").alias("converged"), F.max("boundary").alias("boundary"), F.max("pairs").alias("pairs"))
+    return once.join(flags, "event_id").drop("event_id", "pair_key")
+
+
+def _events(close: DataFrame, members: DataFrame | None, run: Run) -> DataFrame:
+    """One row per close approach of two objects: pair_key, event_id, tca_ms, miss_km, the bracket, converged and boundary."""
+    each = expanded(close.drop("pairs"), members, "tca_ms").withColumn("pair_key", C.pair_key("a", "b"))
+    return each.withColumn("event_id", I.event_id("a", "b", F.date_format(F.timestamp_millis("tca_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(run.request_id)))
 
 
 _STOPS = (("memberships", "max_memberships_per_slab", "MAX_CELL_MEMBERSHIPS_PER_SLAB_EXCEEDED"), ("spatial_pair_checks", "max_pair_checks_per_slab", "MAX_SPATIAL_PAIR_CHECKS_PER_SLAB_EXCEEDED"))
@@ -132,17 +192,17 @@ def slab_envelopes(load: DataFrame, run: Run) -> DataFrame:
 
 
 def _running_stop(rows: DataFrame, most: int | None, slab: str = "slab") -> int | None:
-    """The first slab with which the running number of ``rows`` exceeds ``most``; the window sees one row a slab."""
+    """The first slab with which the running number of pairs in ``rows`` exceeds ``most``; the window sees one row a slab."""
     if most is None:
         return None
     total = F.sum("count").over(Window.orderBy(slab).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.groupBy(slab).count().withColumn("total", total).where(F.col("total") > most).agg(F.min(slab)).first()[0]
+    return rows.groupBy(slab).agg(F.sum("pairs").alias("count")).withColumn("total", total).where(F.col("total") > most).agg(F.min(slab)).first()[0]
 
 
 def broad_phase(sane: DataFrame, run: Run) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """(candidates, envelopes, counted) of slab states: what :func:`screening.candidates` finds in the slabs that the limits admit.
 
-    Candidates: slab, a, b, fraction, distance_km, start_ms, end_ms.  Envelopes: a row a slab up
+    Candidates: slab, a, b, fraction, distance_km, pairs, start_ms, end_ms.  Envelopes: a row a slab up
     to the one that the run stops at, with its load, ``reason`` and ``candidates``.  Counted:
     canonical_pair_checks and aabb_candidates of the admitted slabs.  No states give no rows.
     """
@@ -154,37 +214,40 @@ def broad_phase(sane: DataFrame, run: Run) -> tuple[DataFrame, DataFrame, dict[s
     some = admitted.limit(1).count() > 0  # an empty plan is never run, and nothing would be observed
     near = screening.candidates(sane.join(admitted, "slab", "left_semi"), cfg, seen if some else None)
     found = materialised(near)
-    counted = dict(seen.get) if some else {"canonical_pair_checks": 0, "aabb_candidates": 0}
+    # alike objects are one box: they meet in its one owner cell and overlap
+    alike = sane.join(admitted, "slab", "left_semi").agg(F.coalesce(F.sum(F.expr("copies * (copies - 1) div 2")), F.lit(0))).first()[0] if some else 0
+    counted = {k: v + alike for k, v in (dict(seen.get) if some else {"canonical_pair_checks": 0, "aabb_candidates": 0}).items()}
     stop = _running_stop(found, run.max_candidates)
-    per = found.groupBy("slab").agg(F.count("*").alias("candidates"))
+    per = found.groupBy("slab").agg(F.sum("pairs").alias("candidates"))
     told = envelopes.join(per, "slab", "left").fillna(0, ["candidates"])
     if stop is not None:
         told = told.where(F.col("slab") <= stop).withColumn("reason", F.when(F.col("slab") == stop, "MAX_CANDIDATE_INTERVALS_EXCEEDED").otherwise(F.col("reason")))
         found = found.where(F.col("slab") < stop)
-    return materialised(found.join(bounds, "slab").select("slab", "a", "b", "fraction", "distance_km", "start_ms", "end_ms")), materialised(told), counted
+    return materialised(found.join(bounds, "slab").select("slab", "a", "b", "fraction", "distance_km", "pairs", "start_ms", "end_ms")), materialised(told), counted
 
 
-def _finish(objects: DataFrame, found: DataFrame, moving: DataFrame, sane: DataFrame, envelopes: DataFrame | None, counted: dict[str, int], candidates: DataFrame, refined: DataFrame, run: Run, pairs: Column) -> dict[str, DataFrame]:
+def _finish(objects: DataFrame, found: DataFrame, moving: DataFrame, sane: DataFrame, envelopes: DataFrame | None, counted: dict[str, int], candidates: DataFrame, refined: DataFrame, run: Run, pairs: Column, members: DataFrame | None) -> dict[str, DataFrame]:
     whole = envelopes is not None
     event_stop = _running_stop(refined.where("tca_ms is not null"), run.max_events) if whole else None
     usable = refined if event_stop is None else refined.where(F.col("slab") < event_stop)
-    events = materialised(_events(usable, run))
+    close = materialised(_close(usable, run))
     failed = found.where("code <> 'ok'").select("object_id", "t_ms", "code")
     n_slabs = len(run.borders()) - 1
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    number = lambda c, when=F.lit(True): zero(F.sum(F.when(when, F.col(c))))
     one = lambda df, **c: df.agg(*[v.alias(k) for k, v in c.items()])
     parts = [
-        one(objects, catalog_records=zero(F.sum(F.col("skipped") + 1)), catalog_objects=F.count("*"), duplicate_catalog_objects_skipped=zero(F.sum("skipped"))),
-        one(found, object_state_attempts=F.count("*"), propagation_failures=F.count_if(F.col("code") != "ok")),
-        one(moving.groupBy("slab").count(), slabs_with_states=zero(F.sum("count")), pair_intervals_with_valid_endpoints=zero(F.sum(F.expr("count * (count - 1) div 2") if whole else F.col("count") - 1))),
-        one(candidates, coarse_candidates=F.count("*")),
-        one(usable, incomplete_refinements=F.count_if(F.col("tca_ms").isNull()), events_refined=F.count_if(F.col("tca_ms").isNotNull())),
-        one(events, events_detected=F.count("*"), not_converged=F.count_if(~F.col("converged"))),
+        one(objects, catalog_records=zero(F.sum(F.col("skipped") + F.col("copies"))), catalog_objects=number("copies"), duplicate_catalog_objects_skipped=zero(F.sum("skipped"))),
+        one(found, object_state_attempts=number("copies"), propagation_failures=number("copies", F.col("code") != "ok")),
+        one(moving.groupBy("slab").agg(F.sum("copies").alias("count")), slabs_with_states=zero(F.sum("count")), pair_intervals_with_valid_endpoints=zero(F.sum(F.expr("count * (count - 1) div 2") if whole else F.col("count") - 1))),
+        one(candidates, coarse_candidates=number("pairs")),
+        one(usable, incomplete_refinements=number("pairs", F.col("tca_ms").isNull()), events_refined=number("pairs", F.col("tca_ms").isNotNull())),
+        one(close, events_detected=number("pairs"), not_converged=number("pairs", ~F.col("converged"))),
     ]
-    eligible = sane.groupBy("slab").agg(F.count("*").alias("n"))
+    eligible = sane.groupBy("slab").agg(F.sum("copies").alias("n"))
     if whole:
-        broken = usable.where("tca_ms is null").groupBy("slab").agg(F.count("*").alias("incomplete"))
-        n_objects = objects.agg(F.count("*").alias("catalog_objects"))
+        broken = usable.where("tca_ms is null").groupBy("slab").agg(F.sum("pairs").alias("incomplete"))
+        n_objects = objects.agg(number("copies").alias("catalog_objects"))
         told = envelopes.join(broken, "slab", "left").crossJoin(F.broadcast(n_objects))  # one row
         reason = F.coalesce(
             "reason",
@@ -237,7 +300,8 @@ def _finish(objects: DataFrame, found: DataFrame, moving: DataFrame, sane: DataF
     partial = (F.col("propagation_failures") > 0) | (F.col("incomplete_refinements") > 0) | (F.col("pair_intervals_unscreened") > 0) | limited
     st = materialised(st.withColumn("status", F.when(partial, "PARTIAL").otherwise("COMPLETED")))
     order = ["tca_ms", "pair_key", "event_id"]
-    out = {"events": events, "reported": events.orderBy(*order).limit(run.max_results), "errors": materialised(_errors(failed, moving, sane, run)), "statistics": st}
+    events = _events(close, members, run)
+    out = {"events": events, "reported": events.orderBy(*order).limit(run.max_results), "errors": materialised(_errors(failed, moving, sane, run, members)), "statistics": st}
     return out | ({"partitions": partitions} if whole else {})
 
 
@@ -285,10 +349,13 @@ def described(events: DataFrame, objects: DataFrame, run: Run, more: tuple[str,
     return out.drop("__a", "__b", "__a_status", "__b_status")
 
 
-def _errors(failed: DataFrame, moving: DataFrame, sane: DataFrame, run: Run) -> DataFrame:
+def _errors(failed: DataFrame, moving: DataFrame, sane: DataFrame, run: Run, members: DataFrame | None) -> DataFrame:
     """The first errors by object, time and code: states that failed, and intervals that break the motion bound."""
     broken = moving.join(sane.select("slab", "id"), ["slab", "id"], "left_anti").select(F.col("id").alias("object_id"), F.col("end_ms").alias("t_ms"), F.lit("KINEMATIC_BOUND_VIOLATION").alias("code"))
-    return failed.unionByName(broken).orderBy("object_id", "t_ms", "code").limit(run.max_errors)
+    every = failed.unionByName(broken)
+    if members is not None:
+        every = every.join(members.select(F.col("kind").alias("object_id"), "ids"), "object_id").select(F.explode("ids").alias("object_id"), "t_ms", "code")
+    return every.orderBy("object_id", "t_ms", "code").limit(run.max_errors)
 
 
 def screen_catalog(catalog: DataFrame, run: Run) -> dict[str, DataFrame]:
@@ -298,25 +365,29 @@ def screen_catalog(catalog: DataFrame, run: Run) -> dict[str, DataFrame]:
     objects give no events; null elements and failed propagations are errors and make the run PARTIAL.
     """
     objects = materialised(unique_objects(catalog))
-    found = materialised(states(objects, run))
-    out = screen_states(objects, found, run, lambda candidates: _refined(candidates, objects, run))
+    kind, members = kinds(objects)
+    found = materialised(states(kind, run))
+    out = screen_states(kind, found, run, lambda candidates: _refined(candidates, kind, run), members)
     discard(objects, found)
     return out
 
 
-def screen_states(objects: DataFrame, found: DataFrame, run: Run, refined: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+def screen_states(objects: DataFrame, found: DataFrame, run: Run, refined: Callable[[DataFrame], DataFrame], members: DataFrame | None = None) -> dict[str, DataFrame]:
     """:func:`screen_catalog` from states at the grid's borders (``found``, as :func:`states` gives it) and any motion between them.
 
     ``objects`` has a row an object with ``skipped``; ``refined`` takes candidates (slab, a, b,
-    start_ms, end_ms) to what :func:`refinement.refine` gives, with ``slab`` passed on.
+    start_ms, end_ms) to what :func:`refinement.refine` gives, with ``slab`` passed on.  With
+    ``members`` objects and states are those of :func:`kinds`, and the rows returned those of their objects.
     """
+    if "copies" not in objects.columns:
+        objects, found = (t.withColumn("copies", F.lit(1).cast("long")) for t in (objects, found))
     moving = slabs(found)
     sane = materialised(screening.sane(moving, run.max_acceleration_km_s2 / 2))
     candidates, envelopes, counted = broad_phase(sane, run)
-    close = materialised(refined(candidates))
-    out = _finish(objects, found, moving, sane, envelopes, counted, candidates, close, run, F.expr("n * (n - 1) div 2"))
+    close = materialised(_weighed(refined(candidates), objects))
+    out = _finish(objects, found, moving, sane, envelopes, counted, candidates, close, run, F.expr("n * (n - 1) div 2"), members)
     discard(sane, close, envelopes)
-    return out | {"candidates": candidates}
+    return out | {"candidates": expanded(candidates.drop("pairs"), members, "slab")}
 
 
 def against_primary(sane: DataFrame, primary: str, cfg: screening.Screening) -> DataFrame:
@@ -336,12 +407,14 @@ def screen_object(catalog: DataFrame, primary: str, run: Run) -> dict[str, DataF
     """The same for the pairs of one object; statistics count its pairs alone."""
     cfg = run.limits()
     objects = materialised(unique_objects(catalog))
-    found = materialised(states(objects, run))
+    kind, members = kinds(objects, primary)
+    found = materialised(states(kind, run))
     moving = slabs(found)
     sane = materialised(screening.sane(moving, run.max_acceleration_km_s2 / 2))
     bounds = sane.select("slab", "start_ms", "end_ms").distinct()
-    candidates = materialised(against_primary(sane, primary, cfg).join(bounds, "slab").select("slab", "a", "b", "start_ms", "end_ms"))
-    refined = materialised(_refined(candidates, objects, run))
-    out = _finish(objects, found, moving, sane, None, {}, candidates, refined, run, F.col("n") - 1)
+    near = against_primary(sane, primary, cfg).join(bounds, "slab").select("slab", "a", "b", "start_ms", "end_ms")
+    candidates = materialised(_weighed(near, kind))
+    refined = materialised(_weighed(_refined(candidates, kind, run), kind))
+    out = _finish(kind, found, moving, sane, None, {}, candidates, refined, run, F.col("n") - 1, members)
     discard(objects, found, sane, refined)
     return out

@@ -94,6 +94,15 @@ def _edge(level: Column, cfg: Screening) -> Column:
     return F.lit(cfg.cell_km) * F.pow(F.lit(2.0), level)
 
 
+def _copies(states: DataFrame) -> list[str]:
+    return ["copies"] if "copies" in states.columns else []
+
+
+def _objects(states: DataFrame, column: str = "copies") -> Column:
+    """How many objects the rows of a group stand for."""
+    return F.sum(column) if _copies(states) else F.count("*")
+
+
 def swept_boxes(states: DataFrame, cfg: Screening) -> DataFrame:
     """(slab, seconds, id, own, p0*, p1*, cells) of ``states`` (slab, id, seconds, p0*, p1*): ``own`` is the box's level.
 
@@ -101,7 +110,8 @@ def swept_boxes(states: DataFrame, cfg: Screening) -> DataFrame:
     many numbers.  ``cells`` is how many cells of the first level it covers.  The level is 0, or
     the first coarser one at which the box covers no more than ``max_cells_per_object``.  Where
     the cell of a box's middle holds more than ``dense_cell`` objects, a box that is smaller than
-    the cell goes down to cells of about its own size.
+    the cell goes down to cells of about its own size.  A column ``copies``, where there is one,
+    says how many objects with this path a row stands for; it is passed on and counts as so many.
     """
     grow = growth_km(F.col("seconds"), cfg)
     ends = [_ends("", grow, a) for a in AXES]
@@ -116,13 +126,14 @@ def swept_boxes(states: DataFrame, cfg: Screening) -> DataFrame:
     widest = F.greatest(*[hi - lo for lo, hi in ends])
     finer = F.greatest(F.lit(-LEVELS), F.ceil(F.log2(widest / cfg.cell_km))).cast("int")
     middle = [F.floor((lo + hi) / (2 * cfg.cell_km)).alias(f"m{a}") for a, (lo, hi) in zip(AXES, ends, strict=True)]
-    sized = states.select("slab", "seconds", "id", *_PATH, number.alias("cells"), level.cast("int").alias("level"), F.when(finer < 0, finer).alias("finer"), *middle)
+    copies = _copies(states)
+    sized = states.select("slab", "seconds", "id", *copies, *_PATH, number.alias("cells"), level.cast("int").alias("level"), F.when(finer < 0, finer).alias("finer"), *middle)
     where = ["slab", *[f"m{a}" for a in AXES]]
     # a cell's population is counted with the objects that could go down, before any pair is formed
-    dense = sized.where("finer is not null and level = 0").groupBy(*where).agg(F.count("*").alias("population")).where(F.col("population") > cfg.dense_cell)
+    dense = sized.where("finer is not null and level = 0").groupBy(*where).agg(_objects(states).alias("population")).where(F.col("population") > cfg.dense_cell)
     placed = sized.join(dense, where, "left")
     own = F.when((F.col("level") == 0) & F.col("population").isNotNull() & F.col("finer").isNotNull(), F.col("finer")).otherwise(F.col("level"))
-    return placed.select("slab", "seconds", "id", own.alias("own"), *_PATH, "cells")
+    return placed.select("slab", "seconds", "id", *copies, own.alias("own"), *_PATH, "cells")
 
 
 _CELL = ["slab", "level", "cx", "cy", "cz"]
@@ -131,11 +142,12 @@ _CELL = ["slab", "level", "cx", "cy", "cz"]
 def memberships(boxes: DataFrame, level: Column, cfg: Screening) -> DataFrame:
     """(slab, level, cx, cy, cz, seconds, s, first): cells of each box at ``level``.
 
-    ``s`` holds id, own and the path: as columns of their own, the join's many conditions times
+    ``s`` holds id, copies if there are any, own and the path: as columns of their own, the join's many conditions times
     the many renamed columns would keep the optimizer busy inferring constraints.  ``first`` has a
     bit for each axis on which the cell is the box's first one.
     """
-    out = boxes.select("slab", "seconds", "id", "own", *_PATH, level.alias("level"))
+    held = ["id", *_copies(boxes), "own", *_PATH]
+    out = boxes.select("slab", "seconds", *held, level.alias("level"))
     grow, edge = growth_km(F.col("seconds"), cfg), _edge(F.col("level"), cfg)
     borders = {}
     for a in AXES:
@@ -146,7 +158,7 @@ def memberships(boxes: DataFrame, level: Column, cfg: Screening) -> DataFrame:
     for i, a in enumerate(AXES):
         out = out.withColumn(f"c{a}", F.explode(F.sequence(f"c0{a}", f"c1{a}")))
         first = first + F.when(F.col(f"c{a}") == F.col(f"c0{a}"), 1 << i).otherwise(0)
-    return out.select(*_CELL, "seconds", F.struct("id", "own", *_PATH).alias("s"), first.alias("first"))
+    return out.select(*_CELL, "seconds", F.struct(*held).alias("s"), first.alias("first"))
 
 
 def _coarser_planes() -> Column:
@@ -194,7 +206,9 @@ def box_pairs(states: DataFrame, cfg: Screening, counted: Observation | None = N
     """
     met = meetings(swept_boxes(states, cfg), cfg)
     if counted is not None:
-        met = met.withColumn("over", overlapping(cfg)).observe(counted, F.count_if("owner").alias("canonical_pair_checks"), F.count_if(F.col("owner") & F.col("over")).alias("aabb_candidates"))
+        pairs = F.col("a.copies") * F.col("b.copies") if _copies(states) else F.lit(1).cast("long")
+        total = lambda c: F.coalesce(F.sum(F.when(c, pairs)), F.lit(0).cast("long"))
+        met = met.withColumn("over", overlapping(cfg)).observe(counted, total(F.col("owner")).alias("canonical_pair_checks"), total(F.col("owner") & F.col("over")).alias("aabb_candidates"))
         return met.where("owner and over").select("slab", "seconds", "a", "b")
     return met.where(F.col("owner") & overlapping(cfg)).select("slab", "seconds", "a", "b")
 
@@ -206,10 +220,10 @@ def slab_load(states: DataFrame, cfg: Screening) -> DataFrame:
     of that level times the finer ones in it.
     """
     boxes = swept_boxes(states, cfg)
-    per = boxes.groupBy("slab").agg(F.count("*").alias("objects"))
-    own = memberships(boxes, F.col("own"), cfg).groupBy(*_CELL).agg(F.count("*").alias("n"))
+    per = boxes.groupBy("slab").agg(_objects(states).alias("objects"))
+    own = memberships(boxes, F.col("own"), cfg).groupBy(*_CELL).agg(_objects(states, "s.copies").alias("n"))
     most = boxes.groupBy("slab").agg(F.max("own").alias("most"))
-    finer = memberships(boxes.join(most, "slab"), _coarser_planes(), cfg).groupBy(*_CELL).agg(F.count("*").alias("m"))
+    finer = memberships(boxes.join(most, "slab"), _coarser_planes(), cfg).groupBy(*_CELL).agg(_objects(states, "s.copies").alias("m"))
     n, m = F.col("n"), F.coalesce(F.col("m"), F.lit(0))
     cells = own.join(finer, _CELL, "left").groupBy("slab").agg(F.sum("n").alias("memberships"), F.count("*").alias("spatial_cells"), F.sum(F.expr("n * (n - 1) div 2") + n * m).alias("spatial_pair_checks"))
     return per.join(cells, "slab")
@@ -232,9 +246,18 @@ def chord(pairs: DataFrame) -> DataFrame:
 
 
 def candidates(states: DataFrame, cfg: Screening, counted: Observation | None = None) -> DataFrame:
-    """(slab, a, b, fraction, distance_km): pairs that may come within the radius, each once per slab."""
+    """(slab, a, b, fraction, distance_km): pairs that may come within the radius, each once per slab.
+
+    Of states with ``copies`` a row stands for ``pairs`` pairs of objects, and those within one row are
+    a row of their own, whose ``a`` and ``b`` are alike.
+    """
     near = chord(box_pairs(states, cfg, counted)).where(F.col("distance_km") <= cfg.threshold_km(F.col("seconds")) + EPSILON_KM)
-    return near.select("slab", F.col("a.id").alias("a"), F.col("b.id").alias("b"), "seconds", "fraction", "distance_km")
+    many = _copies(states)
+    out = near.select("slab", F.col("a.id").alias("a"), F.col("b.id").alias("b"), "seconds", "fraction", "distance_km", *[(F.col("a.copies") * F.col("b.copies")).alias("pairs") for _ in many])
+    if not many:
+        return out
+    within = states.where("copies > 1").select("slab", F.col("id").alias("a"), F.col("id").alias("b"), "seconds", F.lit(0.0).alias("fraction"), F.lit(0.0).alias("distance_km"), F.expr("copies * (copies - 1) div 2").alias("pairs"))
+    return out.unionByName(within)
 
 
 def admitted(found: DataFrame, cfg: Screening) -> DataFrame:
