@@ -62,17 +62,18 @@ def model_key(value: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(_said(value))), r"\.[a-z0-9]+$", ""), r"[^a-z0-9]+", "")
 
 
-def constellation_number(name: Column | str, family: str = "STARLINK") -> Column:
-    digits = F.regexp_extract(F.upper(_said(name)), rf"\b{family}[-\s]?(\d{{4,5}})\b", 1)
+def constellation_number(name: Column | str, family: str = "STARLINK", most: int = 5) -> Column:
+    """The number of four to ``most`` digits that follows the family's name."""
+    digits = F.regexp_extract(F.upper(_said(name)), rf"\b{family}[-\s]?(\d{{4,{most}}})\b", 1)
     return F.when(F.length(digits) > 0, digits.cast("int"))
 
 
-def is_second_generation(texts: list[Column], generation: list[Column], name: Column) -> Column:
+def is_second_generation(texts: list[Column], generation: list[Column], name: Column, most: int = 5) -> Column:
     """Whether a satellite of the family says so of its version, or has a number from 30000 on."""
     family = F.lower(F.concat_ws(" ", *map(_said, texts))).rlike("starlink|spacex")
     said = F.concat_ws(" ", *[model_key(x) for x in generation])
     stated = said.contains("starlinkv2") | said.contains("v2mini") | F.array_contains(F.split(said, r"\s+"), "v2")
-    return family & (stated | F.coalesce(constellation_number(name) >= 30000, F.lit(False)))
+    return family & (stated | F.coalesce(constellation_number(name, most=most) >= 30000, F.lit(False)))
 
 
 # Points of the seven ways in which a model can match a satellite, best first.
