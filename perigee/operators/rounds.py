@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 
@@ -30,6 +31,15 @@ def materialised(df: DataFrame) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each computed once a row however often later ones and filters refer to it.
+
+    They are generated rows: a plain projection would be put into every expression that reads it.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by :func:`materialised` that nothing reads any more."""
     for t in tables:

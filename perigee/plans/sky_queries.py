@@ -271,12 +271,14 @@ def tle_line(number, body: list) -> F.Column:
 
 @query("SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 5 = 0 THEN 'TLE_LINE1_CHECKSUM_INVALID' END AS issue, CASE WHEN p_partkey % 5 <> 0 THEN (10000 + p_partkey)::VARCHAR END AS norad_id FROM part")
 def tle_records(spark, sf):
-    """Element sets as JSON records, one file a part, with a broken checksum in every fifth."""
+    """Element sets as JSON records, one file a part, with a broken checksum in every fifth; lines hold the short form of long numbers."""
     p = read(spark, sf, "part", "p_partkey")
     k = F.col("p_partkey")
     n = (k + 10000).cast("string")
-    one = tle_line("1 ", [n, F.lit("U 98067A   24001.00000000  .00000000  00000-0  10000-3 0  999")])
-    two = tle_line("2 ", [n, F.lit("  51.6000 010.0000 0010000 020.0000 030.0000 15.50000000    1")])
+    letter = F.substring(F.lit("ABCDEFGHJKLMNPQRSTUVWXYZ"), F.expr("cast((p_partkey + 10000) div 10000 - 9 as int)"), F.lit(1))
+    short = F.when(k + 10000 <= 99_999, n).when(k + 10000 <= 339_999, F.concat(letter, F.substring(n, -4, 4))).otherwise(F.substring(n, -5, 5))
+    one = tle_line("1 ", [short, F.lit("U 98067A   24001.00000000  .00000000  00000-0  10000-3 0  999")])
+    two = tle_line("2 ", [short, F.lit("  51.6000 010.0000 0010000 020.0000 030.0000 15.50000000    1")])
     wrong = F.concat(F.substring(one, 1, 68), ((F.substring(one, 69, 1).cast("int") + 1) % 10).cast("string"))
     record = F.struct(F.when(k % 5 == 0, wrong).otherwise(one).alias("tle_line1"), two.alias("TLE_LINE2"), n.alias("NORAD_CAT_ID"))
     found, _ = sources.adapt(p.select(k.cast("string").alias("path"), F.to_json(F.array(record)).alias("text")), "TLE")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perigee.functions import catalog as C
+from perigee.operators.rounds import settled
 
 OMM_NUMBERS = ("MEAN_MOTION", "ECCENTRICITY", "INCLINATION", "RA_OF_ASC_NODE", "ARG_OF_PERICENTER", "MEAN_ANOMALY", "BSTAR", "MEAN_MOTION_DOT", "MEAN_MOTION_DDOT")
 
@@ -102,9 +103,8 @@ def omm_checked(found: DataFrame, *kept: str) -> DataFrame:
         .when(utc(v("EPOCH")).isNull(), "EPOCH_INVALID")
         .when(~need | ~F.coalesce(ranges, F.lit(False)), "NUMBER_INVALID")
     )
-    return found.select(
-        "path", *kept, v("OBJECT_NAME").alias("object_name"), C.norad_id(v("NORAD_CAT_ID")).alias("norad_id"), C.designator(v("OBJECT_ID")).alias("cospar"), utc(v("EPOCH")).alias("epoch"), *[c.alias(k.lower()) for k, c in number.items()], issue.alias("issue")
-    )
+    told = {"object_name": v("OBJECT_NAME"), "norad_id": C.norad_id(v("NORAD_CAT_ID")), "cospar": C.designator(v("OBJECT_ID")), "epoch": utc(v("EPOCH")), **{k.lower(): c for k, c in number.items()}, "issue": issue}
+    return settled(found, **told).select("path", *kept, *told)
 
 
 def oem_states(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
