@@ -267,7 +267,9 @@ def supersession_order(events: DataFrame, ident: str = "event_revision_id", pare
     total, rounds = way.count(), 0
     while 2**rounds <= total and not way.where("at is not null").isEmpty():
         ahead = way.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("most").alias("m"), F.col("depth").alias("d"))
-        step = way.join(ahead, "at", "left").select("id", F.col("next").alias("at"), F.greatest("most", F.coalesce("m", "most")).alias("most"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"))
+        # rows at their root have no key to join by, and together they would go to one task
+        done, rest = way.where("at is null"), way.where("at is not null")
+        step = rest.join(ahead, "at", "left").select("id", F.col("next").alias("at"), F.greatest("most", F.coalesce("m", "most")).alias("most"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth")).unionByName(done)
         way, rounds = materialised(step), rounds + 1
     named = way.select(F.col("id").alias(ident), F.col("at").isNotNull().alias("__cycle"), F.col("most").alias("sort_id"), "depth")
     out = events.join(named, ident).join(many.withColumnRenamed("id", ident), ident, "left")
