@@ -34,3 +34,9 @@ def test_border_of_the_radius(spark, tmp_path):
     rows = "SELECT i AS vec_id, [v, 0, 0, v, 0, 0]::FLOAT[] AS embedding FROM (VALUES (1, 0.0), (2, 0.05), (3, 0.02)) AS t(i, v)"
     assert len(against(spark, tmp_path, "chord_candidates", "embeddings", rows)) == 2
     assert against(spark, tmp_path, "screening_statistics", "embeddings", rows) == [(1, 3, 3, 2)]
+
+
+def test_border_of_refined_events(spark, tmp_path):
+    """A pair further apart than 0.04 by less than the refinement's slack."""
+    rows = "SELECT i AS vec_id, [v, 0, 0, v, 0, 0]::FLOAT[] AS embedding FROM (VALUES (1, -1.2e-9), (2, 0.04), (3, 0.02)) AS t(i, v)"
+    assert len(against(spark, tmp_path, "refined_events", "embeddings", rows)) == 2
