@@ -10,7 +10,7 @@ from perigee.functions import constants as K
 from perigee.functions import geometry as G
 from perigee.functions import rf, sky
 from perigee.operators import catalog_screening, ephemeris, propagation, screening
-from perigee.plans.queries import _CHORD, _POINTS, _points, _rv, _states, query, read, rounded
+from perigee.plans.queries import dealt, _CHORD, _POINTS, _points, _rv, _states, query, read, rounded
 from perigee.sources import records as sources
 
 _JD = "(epoch_ms(o_orderdate) / 86400000.0 + 2440587.5 - 2451545.0)"
@@ -251,7 +251,7 @@ def ground_tracks(spark, sf):
 @query("SELECT p_partkey::VARCHAR AS path, p_partkey::VARCHAR AS norad_id, CASE WHEN p_partkey % 4 = 1 THEN 'NUMBER_INVALID' WHEN p_partkey % 4 = 2 THEN 'FRAME_UNSUPPORTED' END AS issue, CASE WHEN p_partkey % 4 IN (0, 3) THEN round(p_size / 4.0, 5) END AS motion FROM part")
 def omm_records(spark, sf):
     """OMM objects in JSON, one file a part; keys in either case."""
-    p = read(spark, sf, "part", "p_partkey", "p_size")
+    p = dealt(read(spark, sf, "part", "p_partkey", "p_size"), "p_partkey")
     k = F.col("p_partkey")
     said = {"ccsds_omm_vers": F.lit("2.0"), "CENTER_NAME": F.lit("EARTH"), "REF_FRAME": F.when(k % 4 == 2, "ICRF").otherwise("TEME"), "TIME_SYSTEM": F.lit("UTC"), "MEAN_ELEMENT_THEORY": F.lit("SGP4"), "NORAD_CAT_ID": k.cast("string"), "EPOCH": F.lit("2024-01-01T00:00:00.000")}
     said |= {"MEAN_MOTION": (F.col("p_size") / 4.0).cast("string"), "ECCENTRICITY": F.when(k % 4 == 1, "1.5").otherwise("0.01"), "INCLINATION": F.lit("51.6"), "RA_OF_ASC_NODE": F.lit("10"), "ARG_OF_PERICENTER": F.lit("20"), "MEAN_ANOMALY": F.lit("30"), "BSTAR": F.lit("0.0001"), "MEAN_MOTION_DOT": F.lit("0"), "MEAN_MOTION_DDOT": F.lit("0")}
@@ -272,7 +272,7 @@ def tle_line(number, body: list) -> F.Column:
 @query("SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 5 = 0 THEN 'TLE_LINE1_CHECKSUM_INVALID' END AS issue, CASE WHEN p_partkey % 5 <> 0 THEN (10000 + p_partkey)::VARCHAR END AS norad_id FROM part")
 def tle_records(spark, sf):
     """Element sets as JSON records, one file a part, with a broken checksum in every fifth; lines hold the short form of long numbers."""
-    p = read(spark, sf, "part", "p_partkey")
+    p = dealt(read(spark, sf, "part", "p_partkey"), "p_partkey")
     k = F.col("p_partkey")
     n = (k + 10000).cast("string")
     letter = F.substring(F.lit("ABCDEFGHJKLMNPQRSTUVWXYZ"), F.expr("cast((p_partkey + 10000) div 10000 - 9 as int)"), F.lit(1))
