@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from perigee.functions import catalog as C
 from perigee.operators import catalog as OC
 from perigee.operators import validation
-from perigee.plans.queries import query, read
+from perigee.plans.queries import dealt, query, read
 
 # The lines of a published element set, without their checksums.
 _ONE = "1 25544U 98067A   24001.00000000  .00016717  00000-0  10270-3 0  900"
@@ -70,7 +70,7 @@ def record_issues(spark, sf):
     for i, (field, value, _, _) in enumerate(RECORDS):
         put = F.when(k % len(RECORDS) == i, F.create_map(F.lit(field), F.lit(value))).otherwise(put)
     kept = F.map_filter(plain, lambda n, _: ~F.map_contains_key(F.col("put"), n))
-    rows = read(spark, sf, "part", "p_partkey").select(k, put.alias("put")).select("p_partkey", F.map_concat(kept, F.col("put")).alias("record"))
+    rows = dealt(read(spark, sf, "part", "p_partkey"), "p_partkey").select(k, put.alias("put")).select("p_partkey", F.map_concat(kept, F.col("put")).alias("record"))
     s = lambda x: F.lit(x).cast("string")
     p = F.struct(s("src").alias("source_id"), s("prov").alias("provider"), s("2024-01-03T00:00:00Z").alias("retrieved_at"), s("ds").alias("dataset_id"), s("sha256:a").alias("dataset_hash"), s(None).alias("source_uri"), s("COMPLETE").alias("source_status"), F.lit(False).alias("partial_update"), s(None).alias("license_id"))
     out = validation.validated(rows, p)
