@@ -40,7 +40,7 @@ def element_rules(spark, sf):
     """Each rule of a two-line set, broken alone in every so many parts."""
     k = F.col("p_partkey")
     one, two = _lines(k, LINES)
-    rows = read(spark, sf, "part", "p_partkey").select(k, one.alias("one"), two.alias("two"))
+    rows = dealt(read(spark, sf, "part", "p_partkey"), "p_partkey").select(k, one.alias("one"), two.alias("two"))
     found = validation.element_issues(F.col("one"), F.col("two"), F.lit(None).cast("string"))
     return rows.select("p_partkey", F.array_join(F.array_sort(F.transform(found, lambda x: x["code"])), ",").alias("codes"))
 

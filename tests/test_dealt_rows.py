@@ -5,7 +5,7 @@ import pytest
 from perigee.plans import QUERIES
 
 
-@pytest.mark.parametrize("name", ["omm_records", "tle_records", "record_issues"])
+@pytest.mark.parametrize("name", ["omm_records", "tle_records", "record_issues", "element_rules"])
 def test_rows_are_dealt(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     n = spark.conf.get("spark.sql.shuffle.partitions")
