@@ -1,9 +1,11 @@
 """Decay estimates: confirmed records first, then a search back from now, then one ahead.
 
 Each object is one row.  Its grid of times (two hours apart for 60 days back, half an hour apart
-for 180 days ahead) is searched in blocks, coarse to fine: a block is passed over where the
-perigees at both of its ends are well above the threshold, and walked point by point otherwise;
-objects that have been found leave the search.  The result is that of the whole walk.
+for 180 days ahead) is searched in blocks, coarse to fine: the whole grid and then each block is
+passed over where a bound on the model's radius, which takes no state, lies above the threshold,
+and a block is walked point by point otherwise.  Deep-space orbits have no such bound: there a
+block is passed over where the perigees at both of its ends are well above the threshold.
+Objects that have been found leave the search.  The result is that of the whole walk.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from perigee.functions import constants as K
 from perigee.functions import sgp4
 from perigee.operators.propagation import ELEMENTS
 
-#: Points of a block, and how far above the threshold both perigees must be for it to be passed over.
-BLOCK, CLEAR_KM = 48, 100.0
-#: Objects that one evaluation of a block may take.
-AT_ONCE = 1000
+#: Points of a block, and how far above the threshold bounds, or both perigees in deep space, must be for it to be passed over.
+BLOCK, BOUND_KM, CLEAR_KM = 48, 1.0, 100.0
+#: Objects that one evaluation of a block may take: its arrays stay in a core's cache.
+AT_ONCE = 100
 _FLATTENING = 1 / 298.257223563
 
 
@@ -64,6 +66,11 @@ class _Sky:
 
     def __init__(self, epoch_ms: np.ndarray, elements: list[np.ndarray]):
         self.epoch, self.elements, self.jd = epoch_ms, elements, epoch_ms / K.MS_DAY + K.UNIX_EPOCH_JD
+        self.mean = sgp4.mean_orbits(*elements, self.jd)
+
+    def clear(self, i: np.ndarray, start_ms: int, end_ms: int, km: float) -> np.ndarray:
+        """Whether objects ``i`` surely have a state above that altitude at all times from start to end."""
+        return sgp4.least_radius(self.mean, i, (start_ms - self.epoch[i]) / 60000.0, (end_ms - self.epoch[i]) / 60000.0) > K.EARTH_RADIUS_KM + km + BOUND_KM
 
     def at(self, i: np.ndarray, t_ms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(altitude, perigee) of objects ``i``; NaN where there is no state."""
@@ -75,14 +82,21 @@ def first_crossing(sky: _Sky, which: np.ndarray, start_ms: int, end_ms: int, ste
     """(time, failed) for objects ``which``: the first grid time, both ends included, without a state or at or under the threshold; -1 for none."""
     n = int((end_ms - start_ms) // step_ms) + 1
     at, failed = np.full(len(which), -1, np.int64), np.zeros(len(which), bool)
-    open_ = np.arange(len(which))
-    low = sky.at(which, np.full(len(which), start_ms))[1] if n > 0 else None
+    open_ = np.flatnonzero(~sky.clear(which, start_ms, start_ms + (n - 1) * step_ms, cfg.reentry_km)) if n > 0 else np.zeros(0, np.int64)
+    perigees = lambda j, t_ms: sky.at(which[j], np.full(len(j), t_ms))[1]
+    deep = sky.mean.deep[which]
+    low = np.full(len(which), np.nan)
+    if len(far := open_[deep[open_]]):
+        low[far] = perigees(far, start_ms)
     for k in range(0, n, BLOCK):
         if not len(open_):
             break
         to = min(k + BLOCK, n)
-        last = sky.at(which[open_], np.full(len(open_), start_ms + min(to, n - 1) * step_ms))[1]
-        near = ~(np.minimum(low, last) > cfg.reentry_km + CLEAR_KM)  # a missing state isn't clear
+        near = ~sky.clear(which[open_], start_ms + k * step_ms, start_ms + (to - 1) * step_ms, cfg.reentry_km)
+        if len(far := open_[deep[open_]]):
+            last = perigees(far, start_ms + min(to, n - 1) * step_ms)
+            near[deep[open_]] = ~(np.minimum(low[far], last) > cfg.reentry_km + CLEAR_KM)  # a missing state isn't clear
+            low[far] = last
         found = np.zeros(len(open_), bool)
         walk = np.flatnonzero(near)
         for j in range(0, len(walk), AT_ONCE):
@@ -96,7 +110,7 @@ def first_crossing(sky: _Sky, which: np.ndarray, start_ms: int, end_ms: int, ste
             at[got] = times[first[some_found]]
             failed[got] = np.isnan(height[some_found, first[some_found]])
             found[some[some_found]] = True
-        open_, low = open_[~found], last[~found]
+        open_ = open_[~found]
     return at, failed
 
 

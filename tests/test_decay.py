@@ -78,6 +78,43 @@ def test_most_blocks_are_passed_over(spark, monkeypatch):
     assert (at == -1).all() and sum(calls) <= 3 * (8641 // decay.BLOCK + 3)
 
 
+def test_low_orbits_without_drag_cost_no_walk(monkeypatch):
+    """An orbit that stays a few kilometres above the threshold, and one that decays on the way."""
+    calls = []
+    plain = sgp4.propagate
+    monkeypatch.setattr(sgp4, "propagate", lambda *a: calls.append(len(a[0])) or plain(*a))
+    sky = decay._Sky(np.full(2, float(NOW)), [np.full(2, x) for x in (50.0, 0.0, 1e-3, 0.0, 0.0)] + [np.array([16.4, 16.2]), np.array([0.0, 1e-4])])
+    at, _ = decay.first_crossing(sky, np.arange(2), NOW, NOW + 180 * DAY, 1_800_000, decay.Decay())
+    assert at[0] == -1 and at[1] > NOW and sum(calls) < 1000
+
+
+def test_a_failure_between_good_ends_is_found():
+    """The eccentricity leaves its range within a block at whose ends there are states, high above the threshold."""
+    elements = (150.9243985638815, 160.01384530005114, 6.331760555693388e-05, 271.8915241006045, 280.43175397327906, 16.17487493917273, 0.012040369573670523)
+    sky = decay._Sky(np.full(1, float(NOW)), [np.full(1, x) for x in elements])
+    at, failed = decay.first_crossing(sky, np.arange(1), NOW - 60 * DAY, NOW, 7_200_000, decay.Decay())
+    assert (at[0], failed[0]) == (1_703_865_600_000, True)
+
+
+def test_no_state_lies_under_the_bound():
+    rng = np.random.default_rng(15)
+    n = 200
+    ecc = np.where(rng.random(n) < 0.5, 10 ** rng.uniform(-6, -1.5, n), rng.uniform(0, 0.6, n))
+    motion = 86400 / (2 * np.pi * np.sqrt(((6378.135 + rng.uniform(80, 500, n)) / (1 - ecc)) ** 3 / sgp4.MU))
+    elements = [rng.uniform(0, 180, n), rng.uniform(0, 360, n), ecc, rng.uniform(0, 360, n), rng.uniform(0, 360, n), motion, rng.choice([0, 1, -1], n) * 10 ** rng.uniform(-6, -1.5, n)]
+    jd = np.full(n, 2460310.5)
+    mean, bounded = sgp4.mean_orbits(*elements, jd), 0
+    for start, end in ((-80_000.0, -78_000.0), (-700.0, 700.0), (0.0, 1440.0), (30_000.0, 31_440.0), (0.0, 200_000.0)):
+        t = np.linspace(start, end, 60)
+        position, _, code = sgp4.propagate(*(np.repeat(x, 60) for x in elements), np.tile(t, n), np.repeat(jd, 60))
+        radius = np.sqrt((position**2).sum(1)).reshape(n, 60)
+        floor = sgp4.least_radius(mean, np.arange(n), np.full(n, start), np.full(n, end))
+        sure = ~np.isnan(floor)
+        assert (code.reshape(n, 60)[sure] == 0).all() and (radius[sure].min(1) >= floor[sure] - 1e-6).all()
+        bounded += sure.sum()
+    assert bounded > n
+
+
 def test_altitude_of_known_places():
     got = decay.altitude(np.array([[6378.137, 0, 0], [0, 0, 6356.7523142 + 100], [0, 6378.137 + 500, 0]]))
     assert np.abs(got - [0, 100, 500]).max() < 1e-6
