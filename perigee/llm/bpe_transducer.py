@@ -6,7 +6,7 @@ of the neighbour, and so on with falling ranks.  :func:`lookahead` bounds that c
 
 A text is read in chunks and parted into pre-tokens.  Every pre-token goes through :class:`_Run`,
 which keeps, for each byte of a sliding window, the last token of the prefix that ends there, and
-emits the part on which all continuations agree.  A run without a break is fed as it comes, so
+emits the part on which all continuations agree.  A :class:`_State` names the tokens that end at a byte.  A run without a break is fed as it comes, so
 memory does not grow with the text; what a short pre-token gave is kept in a bounded table.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -61,6 +62,7 @@ class Merges:
         self.single = [self.ids.get(bytes([b]), -1) for b in range(256)]
         self.halves = {made: (a, b, i) for ((a, b), i), made in zip(self.rank.items(), self.made, strict=True)}
         self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.ahead = lookahead(self)
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that stand at a token's edge (0 left, 1 right) while it is made, each with the rank that ends it."""
@@ -102,39 +104,84 @@ def lookahead(merges: Merges) -> int:
     return max(reach.values(), default=0)
 
 
+class _State(dict):
+    """A state of the read: the longest suffix of what was read that begins a token, and the tokens it ends with, longest first.
+
+    The token of its last byte alone (-1: none) comes apart: where no longer one fits, nothing else
+    is left.  Items are the states after one more byte, made when they are first met.
+    """
+
+    __slots__ = ("tables", "text", "ends", "single")
+
+    def __init__(self, tables: _Tables, text: bytes):
+        self.tables, self.text = tables, text
+        found = ((tables.m.ids.get(text[i:]), len(text) - i) for i in range(len(text) - 1))
+        self.ends = tuple((t, size) for t, size in found if t is not None)
+        self.single = tables.m.single[text[-1]] if text else -1
+
+    def __missing__(self, byte: int) -> _State:
+        text = self.text + bytes([byte])
+        while text not in self.tables.prefixes:
+            text = text[1:]
+        states = self.tables.states
+        if text not in states:
+            states[text] = _State(self.tables, text)
+        out = self[byte] = states[text]
+        return out
+
+
+class _Fits(dict):
+    """Whether two tokens stand side by side, by ``first << 32 | second``."""
+
+    def __init__(self, merges: Merges):
+        self.m = merges
+
+    def __missing__(self, key: int) -> bool:
+        if len(self) >= MEMO:
+            self.clear()
+        out = self[key] = self.m.stand(key >> 32, key & 0xFFFFFFFF)
+        return out
+
+
+class _Tables:
+    """What all runs of an encoder share: the states of the read (as many as tokens have prefixes) and the pairs of tokens met."""
+
+    def __init__(self, merges: Merges):
+        self.m, self.ahead = merges, merges.ahead
+        self.prefixes = {b""}.union(t[:i] for t in merges.ids for i in range(1, len(t) + 1))
+        self.states: dict[bytes, _State] = {}
+        self.root = self.states[b""] = _State(self, b"")
+        self.fits = _Fits(merges)
+        self.size = {t: len(b) for t, b in merges.bytes_of.items()}
+
+
 class _Run:
     """The transducer within one long pre-token: feed bytes, get ids as soon as they are stable."""
 
-    def __init__(self, merges: Merges, ahead: int):
-        self.m, self.ahead = merges, ahead
+    def __init__(self, tables: _Tables):
+        self.tables, self.m, self.ahead = tables, tables.m, tables.ahead
         self.data = bytearray()
         self.last: list[int] = []  # last token of each prefix
         self.before = -1  # the token emitted last
-        self.fits: dict[tuple[int, int], bool] = {}
-
-    def _pair(self, a: int, b: int) -> bool:
-        out = self.fits.get((a, b))
-        if out is None:
-            if len(self.fits) >= MEMO // 4:
-                self.fits.clear()
-            out = self.fits[a, b] = self.m.stand(a, b)
-        return out
+        self.state = tables.root
 
     def whole(self, data: bytes) -> list[int]:
         """Ids of a pre-token that is there in full: the last token of each prefix in turn, then back from the end."""
-        get, pair, last, n = self.m.ids.get, self._pair, [], len(data)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.m.longest), end):
-                t = get(data[start:end])
-                if t is not None and (not start or pair(last[start - 1], t)):
-                    last.append(t)
+        state, fits, size_of, last = self.tables.root, self.tables.fits, self.tables.size, []
+        for end, byte in enumerate(data):
+            state = state[byte]
+            for t, size in state.ends:
+                if size > end or fits[last[end - size] << 32 | t]:
                     break
             else:
-                raise ValueError("a byte sequence has no tokens")
-        out = []
+                t = state.single
+                if t < 0:
+                    raise ValueError("a byte sequence has no tokens")
+            last.append(t)
+        out, n = [], len(data)
         while n:
             out.append(last[n - 1])
-            n -= len(self.m.bytes_of[out[-1]])
+            n -= size_of[out[-1]]
         return out[::-1]
 
     def _path(self, end: int) -> list[tuple[int, int]]:
@@ -147,24 +194,26 @@ class _Run:
         return out
 
     def feed(self, data: bytes, final: bool = False) -> list[int]:
-        start = len(self.data)
+        fits, longest, end = self.tables.fits, self.m.longest, len(self.data)
         self.data += data
-        ids, longest = self.m.ids, self.m.longest
-        for end in range(start + 1, len(self.data) + 1):
-            for size in range(min(longest, end), 0, -1):
-                t = ids.get(bytes(self.data[end - size : end]))
-                if t is None:
+        for byte in data:
+            end += 1
+            self.state = self.state[byte]
+            for t, size in self.state.ends:
+                if size > end:  # begins in what has been emitted
                     continue
                 before = self.last[end - size - 1] if end > size else self.before
-                if before < 0 or self._pair(before, t):
-                    self.last.append(t)
+                if before < 0 or fits[before << 32 | t]:
                     break
             else:
-                raise ValueError("a byte sequence has no tokens")
+                t = self.state.single
+                if t < 0:
+                    raise ValueError("a byte sequence has no tokens")
+            self.last.append(t)
         n = len(self.data)
         if final:
             out = [t for _, t in reversed(self._path(n))]
-            self.data, self.last, self.before = bytearray(), [], -1
+            self.data, self.last, self.before, self.state = bytearray(), [], -1, self.tables.root
             return out
         if n < self.ahead + longest:
             return []
@@ -186,8 +235,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.m = load(path)
-        self.ahead = lookahead(self.m)
-        self.run = _Run(self.m, self.ahead)  # its table of token pairs serves all short pre-tokens
+        self.tables = _Tables(self.m)
+        self.run = _Run(self.tables)
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.m.special, key=len, reverse=True))) if self.m.special else None
         self.hold = max((len(x) for x in self.m.special), default=1) - 1
         outer = self
@@ -201,7 +250,8 @@ class Encoder:
                     self.clear()
                 out = self.older.get(word)
                 if out is None:
-                    out = np.asarray(outer.run.whole(word.encode()), "<u4").tobytes()
+                    ids = outer.run.whole(word.encode())
+                    out = struct.pack(f"<{len(ids)}I", *ids)
                 if len(word) <= 64:
                     self[word] = out
                 return out
@@ -256,7 +306,7 @@ class _Splitter:
                 words = []
                 first = last[1] if last[0] == " " and last[1:2].strip() else last[0]
                 self.kind = next(p for _, p in _KINDS if regex.match(p, first))
-                self.run = _Run(self.e.m, self.e.ahead)
+                self.run = _Run(self.e.tables)
                 body, self.rest = self.rest[:-_HOLD], self.rest[-_HOLD:]
                 yield self._ids(self.run.feed(body.encode()))
         yield from self._emit(words)
@@ -286,7 +336,7 @@ class _Splitter:
             if len(w) <= LONGEST:
                 yield self.e.memo[w]
             else:
-                run = _Run(self.e.m, self.e.ahead)
+                run = _Run(self.e.tables)
                 data = w.encode()
                 for i in range(0, len(data), 1024):
                     yield self._ids(run.feed(data[i : i + 1024]))

@@ -385,6 +385,26 @@ def test_bpe(spark, docs, texts, monkeypatch, chunk):
         assert all(got[i].n_tokens == len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts))
 
 
+def test_bpe_reads_each_byte_once(monkeypatch):
+    """Words that were never met cost a step of the read a byte, and no look at the vocabulary for every start of a token."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library, draw, looks = bpe_transducer.Encoder(path), Tokenizer.from_file(path), random.Random(3), []
+
+    class Counted(dict):
+        def get(self, *a):
+            looks.append(1)
+            return dict.get(self, *a)
+
+    monkeypatch.setattr(encoder.m, "ids", Counted(encoder.m.ids))
+    words = ["".join(draw.choice("abcdeé") for _ in range(draw.randrange(4, 60))) for _ in range(3000)]
+    for text in (" ".join(words), "".join(words)):
+        got = np.frombuffer(b"".join(encoder.encode(bpe_transducer.chunks(text, 1000))), "<u4").tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids
+    assert len(looks) < sum(map(len, words))
+
+
 # 9 ---------------------------------------------------------------------------
 
 
