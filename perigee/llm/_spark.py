@@ -31,11 +31,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/perigee/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` from a Parquet table in the shared folder; cuts the lineage."""
+def written(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """The rows of ``df`` from a Parquet table in the shared folder; cuts the lineage.
+
+    A task of a writer and of a reader holds a row group.  Parquet looks at its size after a hundred rows
+    at first, which is too late where a row takes megabytes: ``group_bytes`` closes it at about that size, looked at after every row.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    small = {"compression": "zstd", "parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1} if group_bytes else {}
+    df.write.options(**small).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -32,6 +32,8 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 COVERED = 80
 #: Bytes of text in a shard, and places that one descent starts from.
 SHARD_BYTES, GROUP = 3 << 20, 1 << 15
+#: Bytes of packed shards in a row group, which a task holds whole.
+HELD_BYTES = 8 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -39,7 +41,7 @@ _WORD = ~_BREAK
 _WORD[[0x20, 0x09]] = False
 _ONE = np.uint64(1)
 
-_SHARD = "words array<string>, lang_of array<int>, counts array<long>, keys array<long>, langs array<string>, lang_words array<long>, ids binary, first binary"
+_SHARD = "words array<string>, lang_of array<int>, counts array<long>, langs array<string>, lang_words array<long>, ids binary, first binary"
 _COUNT = "lang string, phrase string, n long"
 
 
@@ -52,6 +54,15 @@ def _unpacked(x: bytes, kind: type, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(x, size, codec="zstd", asbytes=True) if size else b"", kind)
 
 
+def _salts(langs: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], np.uint64)
+
+
+def _word_keys(words: pa.Array, lang: np.ndarray, langs: list[str]) -> np.ndarray:
+    """Keys of (language, word), those by which :func:`shards` tells words apart; they are not stored, as they don't compress."""
+    return S.mix(np.concatenate([S.words(block, _WORD).hash for block in S.blocks(words)]) ^ _salts(langs)[lang])
+
+
 def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Shards of whole documents: dictionary of (language, word), ids of the words in order, bits where a piece begins."""
 
@@ -59,7 +70,7 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shar
         for table in S.shards(batches, "text", shard_bytes):
             coded = table.column("lang").combine_chunks().dictionary_encode()
             langs, lang_of_row = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            salt = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], np.uint64)
+            salt = _salts(langs)
             symbol, lang, first, raw, start, end = [], [], [], [], [], []
             base = 0
             for block in S.blocks(table.column("text")):
@@ -74,16 +85,16 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shar
                 raw.append(low), start.append(w.start + base), end.append(w.end + base)
                 base += len(low)
             symbol, lang, first, raw, start, end = (np.concatenate(x) for x in (symbol, lang, first, raw, start, end))
-            keys, at, ids, counts = np.unique(symbol, return_index=True, return_inverse=True, return_counts=True)
+            _, at, ids, counts = np.unique(symbol, return_index=True, return_inverse=True, return_counts=True)
             one = lambda x: pa.array([x])
             words = S.gathered(raw, start[at], end[at]).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                    *(one(x) for x in (lang[at].astype(np.int32), counts.astype(np.int64), S.signed(keys), langs, np.bincount(lang, minlength=len(langs)).astype(np.int64))),
+                    *(one(x) for x in (lang[at].astype(np.int32), counts.astype(np.int64), langs, np.bincount(lang, minlength=len(langs)).astype(np.int64))),
                     one(_packed(ids.astype(np.int32))), one(_packed(np.packbits(first))),
                 ],
-                ["words", "lang_of", "counts", "keys", "langs", "lang_words", "ids", "first"],
+                ["words", "lang_of", "counts", "langs", "lang_words", "ids", "first"],
             )
 
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
@@ -169,10 +180,10 @@ def _opened(batches: Iterator[pa.RecordBatch], filters: list[Filter]) -> Iterato
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in batch.schema.names}
-            keys = row["keys"].values.to_numpy().view(np.uint64)
             n = int(row["counts"].values.to_numpy().sum())
             if n < 2:
                 continue
+            keys = _word_keys(row["words"].values, row["lang_of"].values.to_numpy(), row["langs"].as_py())
             ids = _unpacked(row["ids"].as_py(), np.int32, n).astype(np.int64)
             first = np.unpackbits(_unpacked(row["first"].as_py(), np.uint8, -(-n // 8)))[:n].astype(bool)
             good = filters[0].has(keys)
@@ -189,7 +200,7 @@ def _opened(batches: Iterator[pa.RecordBatch], filters: list[Filter]) -> Iterato
             yield row["words"].values, row["langs"].values.take(row["lang_of"].values), keys, ids, masks
 
 
-_READ = ["counts", "words", "keys", "langs", "lang_of", "ids", "first"]
+_READ = ["counts", "words", "langs", "lang_of", "ids", "first"]
 
 
 def phrase_keys(packed: DataFrame, filters: list[Filter], size: int) -> DataFrame:
@@ -248,15 +259,25 @@ def _descend(ids: np.ndarray, masks: list[np.ndarray], n_words: int, sizes: tupl
                 yield path, count
 
 
+def _keyed(words: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lang = batch.column("lang").dictionary_encode()
+                yield batch.append_column("key", pa.array(S.signed(_word_keys(batch.column("phrase"), lang.indices.to_numpy(), lang.dictionary.to_pylist()))))
+
+    return words.mapInArrow(run, "lang string, phrase string, n long, key long")
+
+
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of all phrases of 1 to ``longest`` words with n >= least, and (lang, n) of all word occurrences."""
-    packed = written(shards(docs, text_col, lang_col), "phrase-shards")
+    packed = written(shards(docs, text_col, lang_col), "phrase-shards", HELD_BYTES)
     totals = written(packed.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.lang_words").alias("n")), "word-totals")
 
-    each = packed.select("langs", F.explode(F.arrays_zip("words", "lang_of", "counts", "keys")).alias("x"))
-    said = each.select(F.element_at("langs", F.col("x.lang_of") + 1).alias("lang"), F.col("x.words").alias("phrase"), F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
+    each = packed.select("langs", F.explode(F.arrays_zip("words", "lang_of", "counts")).alias("x"))
+    said = each.select(F.element_at("langs", F.col("x.lang_of") + 1).alias("lang"), F.col("x.words").alias("phrase"), F.col("x.counts").alias("n"))
     enough = lambda df: df.where(F.col("n") >= least)
-    words = written(enough(said.groupBy("lang", "phrase").agg(F.min("key").alias("key"), F.sum("n").alias("n"))), "words")
+    words = written(_keyed(enough(said.groupBy("lang", "phrase").agg(F.sum("n").alias("n")))), "words")
     out = words.select("lang", "phrase", "n")
     if longest == 1:
         return out, totals

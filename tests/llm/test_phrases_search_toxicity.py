@@ -225,3 +225,20 @@ def test_toxicity_of_odd_labels(spark, empty):
     assert toxicity.score(docs, toxicity.fit(docs, none)).agg(F.max("score")).first()[0] < 0.001
     assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 1"))).collect()} == {1}
     assert toxicity.score(empty, toxicity.fit(empty, none)).count() == 0
+
+
+def test_row_groups_of_packed_shards_are_bounded(spark, monkeypatch):
+    """A task holds a row group of shards, so its size may not follow the number of shards in a file."""
+    import pyarrow.parquet as pq
+
+    kept, pack = [], phrase_mining.shards
+    monkeypatch.setattr(phrase_mining, "shards", lambda d, t, g: pack(d, t, g, 20_000))
+    monkeypatch.setattr(phrase_mining, "discard", lambda *tables: kept.extend(tables))
+    monkeypatch.setattr(phrase_mining, "HELD_BYTES", 100_000, raising=False)
+    texts = spark.range(90).select("id", F.expr("array_join(transform(sequence(1, 3000), x -> 'w' || xxhash64(id * 3000 + x) % 1000000), ' ') AS text"), F.lit("en").alias("lang"))
+    phrases, _ = phrase_mining.frequent_phrases(texts.coalesce(1), least=2, longest=2)
+    assert phrases.count() > 10
+    (file,) = {f.removeprefix("file:") for f in kept[0].inputFiles()}
+    groups = pq.ParquetFile(file).metadata
+    assert groups.num_rows == 90 and groups.num_row_groups > 10
+    assert max(groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)) < 300_000
