@@ -66,3 +66,25 @@ def test_paths_are_those_of_the_ids(two):
 def test_slabs_with_no_finite_place_keep_to_cells(two):
     states, *_ = two
     assert not screening.crowds(states.withColumn("p0x", F.when(F.col("id") == "o3", float("nan")).otherwise(F.col("p0x"))), CFG).count()
+
+
+def test_pairs_of_blocks_are_refined_in_their_tasks(two):
+    """Candidates grow with the square of a slab: none goes through a shuffle on its way to the refinement."""
+    from perigee.plans import queries
+
+    states, p, _ = two
+    dense = states.where("slab = 1")
+    found = queries._refined(screening.near_pairs(dense, CFG, paths=True), 0.04)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+    assert len(plan) == 3 and "Exchange" not in plan[1] and "Exchange" in plan[2]
+    _, distance, ids = brute(p)
+    got = {tuple(sorted((r.a, r.b))): r.miss_km for r in found.where("tca_ms is not null").collect()}
+    want = {ids[k]: distance[k] for k in range(len(ids)) if distance[k] <= 0.04}
+    assert set(want) ^ set(got) <= {ids[k] for k in range(len(ids)) if abs(distance[k] - 0.04) < 1e-6}
+    assert len(got) > 10_000 and all(abs(got[k] - want[k]) < 1e-4 for k in set(want) & set(got))
+
+
+def test_even_pairs_are_the_same(two):
+    states, *_ = two
+    rows = lambda even: sorted((r.slab, r.a.id, r.b.id, r.distance_km) for r in screening.near_pairs(states, CFG, even=even).collect())
+    assert rows(True) == rows(False)
