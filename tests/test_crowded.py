@@ -68,6 +68,18 @@ def test_slabs_with_no_finite_place_keep_to_cells(two):
     assert not screening.crowds(states.withColumn("p0x", F.when(F.col("id") == "o3", float("nan")).otherwise(F.col("p0x"))), CFG).count()
 
 
+@pytest.mark.parametrize("block", [crowded.BLOCK, 150])
+def test_tiles_of_a_part_of_a_block(two, block, monkeypatch):
+    for name, value in (("BLOCK", block), ("TILE", 1000), ("WIDE", 90)):
+        monkeypatch.setattr(crowded, name, value, raising=False)
+    states, *tables = two
+    near = [(r.slab, r.a.id, r.b.id) for r in screening.near_pairs(states, CFG).collect()]
+    assert len(near) == len(set(near))
+    for slab, p in enumerate(tables, 1):
+        _, distance, ids = brute(p)
+        assert {x[1:] for x in near if x[0] == slab} == {ids[k] for k in np.flatnonzero(distance <= 0.05 + 1e-9)}
+
+
 def test_pairs_of_blocks_are_refined_in_their_tasks(two):
     """Candidates grow with the square of a slab: none goes through a shuffle on its way to the refinement."""
     from perigee.plans import queries
@@ -88,3 +100,13 @@ def test_even_pairs_are_the_same(two):
     states, *_ = two
     rows = lambda even: sorted((r.slab, r.a.id, r.b.id, r.distance_km) for r in screening.near_pairs(states, CFG, even=even).collect())
     assert rows(True) == rows(False)
+
+
+def test_copies_of_a_row_do_not_follow_the_slab(spark):
+    """A row goes to as many pairs of blocks as there are blocks: with twice the objects there are not twice as many."""
+    blocks = []
+    for n in (90_000, 180_000):
+        path = [(F.col("id") % 1000 * (i + 1) / 100_000).alias(c) for i, c in enumerate(PATH)]
+        states = spark.range(n).select(F.lit(1).cast("long").alias("slab"), "id", F.lit(10.0).alias("seconds"), *path)
+        blocks += [r.blocks for r in screening.crowds(states, CFG).collect()]
+    assert len(blocks) == 2 and blocks[1] <= max(blocks[0], 4)
